@@ -1,0 +1 @@
+"""Empty on purpose: the workload is a batch report with no streaming part."""
