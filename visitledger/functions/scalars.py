@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from visitledger.constants import QUARTER_CUTS
 
-# The characters of Unicode property White_Space. Spark's
+# The code points of Unicode property White_Space. Spark's
 # one-argument trim only strips the plain space.
-WHITE_SPACE = (
-    "\t\n\u000b\f\r \u0085  "
-    "           "
-    "    　"
+WHITE_SPACE_POINTS = (
+    *range(0x09, 0x0E),
+    0x20,
+    0x85,
+    0xA0,
+    0x1680,
+    *range(0x2000, 0x200B),
+    0x2028,
+    0x2029,
+    0x202F,
+    0x205F,
+    0x3000,
 )
+WHITE_SPACE = "".join(map(chr, WHITE_SPACE_POINTS))
 
 
 def _col(c: Column | str) -> Column:

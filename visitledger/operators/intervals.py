@@ -36,7 +36,8 @@ def _names(eq: Keys) -> list[str]:
     return [f"__k{i}" for i in range(len(eq))]
 
 
-def _point_rows(df: DataFrame, eq: Keys, point: str, keep: Sequence[str]) -> DataFrame:
+def point_rows(df: DataFrame, eq: Keys, point: str, keep: Sequence[str]) -> DataFrame:
+    """Rows with a key and a day, as `__k0`, .., `__at` and the `keep` columns."""
     keys = [F.col(left).alias(k) for (left, _), k in zip(eq, _names(eq))]
     return df.select(*keys, F.col(point).alias("__at"), *keep).dropna(
         subset=[*_names(eq), "__at"]
@@ -57,7 +58,7 @@ def _span_rows(
 
 def distinct_points(df: DataFrame, eq: Keys, point: str) -> DataFrame:
     """Distinct (key, day) of the non-NULL points, combined before the shuffle."""
-    return _point_rows(df, eq, point, []).distinct()
+    return point_rows(df, eq, point, []).distinct()
 
 
 def _in_cells(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,31 +127,49 @@ def interval_left_join(
     return join_hits(left, hits, eq, point)
 
 
-def first_cover(
-    points: DataFrame,
+def cover_days(
+    days: DataFrame,
     spans: DataFrame,
     eq: Keys,
-    point: str,
     lo: str,
     hi: str,
     order: Sequence[Column],
     take: Sequence[str],
 ) -> DataFrame:
-    """For each distinct (key, day) the first span over it under `order`.
+    """For each of `days` the first span over it under `order`.
 
-    Returns key columns and day under their `points` names plus `take`; days no
-    span covers are absent. `order` may use `take` columns only. Of the spans
-    with the same key and bounds only the first can ever be chosen, so the rest
-    are dropped per task, before the shuffle; a hot key is thus left with one
-    row per distinct pair of dates.
+    `days` is unique in (`__k0`, .., `__at`) and may carry more columns, which
+    come back with `take`; days no span covers are absent. Of the spans with the
+    same key and bounds only the first can ever be chosen, so the rest are
+    dropped per task, before the shuffle; a hot key is thus left with one row
+    per distinct pair of dates.
     """
     keys = _names(eq)
     best = first_per_key(
         _span_rows(spans, eq, lo, hi, take), [*keys, "__lo", "__hi"], order
     )
-    pairs = _in_cells(distinct_points(points, eq, point), best, keys)
-    chosen = first_per_key(pairs, [*keys, "__at"], order)
-    names = [F.col(k).alias(left) for (left, _), k in zip(eq, keys)]
+    pairs = _in_cells(days, best, keys)
+    return first_per_key(pairs, [*keys, "__at"], order).drop("__lo", "__hi")
+
+
+def first_cover(
+    points: DataFrame,
+    spans: DataFrame,
+    eq: Keys,
+    point: str,
+    lo: str,
+    hi: str,
+    order: Sequence[Column],
+    take: Sequence[str],
+) -> DataFrame:
+    """For each distinct (key, day) of `points` the first span over it.
+
+    Returns key columns and day under their `points` names plus `take`; days no
+    span covers are absent. `order` may use `take` columns only.
+    """
+    days = distinct_points(points, eq, point)
+    chosen = cover_days(days, spans, eq, lo, hi, order, take)
+    names = [F.col(k).alias(left) for (left, _), k in zip(eq, _names(eq))]
     return chosen.select(*names, F.col("__at").alias(point), *take)
 
 

@@ -11,12 +11,12 @@ from visitledger import constants as k
 from visitledger.operators import (
     as_of,
     drop_excluded,
-    first_cover,
     first_per_key,
     latest_per_key,
     null_aware_anti,
     spans_without_points,
 )
+from visitledger.operators.intervals import cover_days, point_rows
 from visitledger.plans.visits import insurance_lookup
 
 CLAIM_COLUMNS = (
@@ -70,33 +70,27 @@ def allocate_first_claim(claims: DataFrame, revenue: DataFrame) -> DataFrame:
     First means earliest billed, then newest version. A day brings the revenue
     of one visit, the one with the lowest id. Claims that cover visit days but
     win none disappear; claims that cover none stay, with NULL. Versions of one
-    claim compete like strangers; equal rows are one.
+    claim compete like strangers; equal rows are one. Both tables are read more
+    than once: stage them first.
     """
     typed = claims.select(*CLAIM_COLUMNS).withColumns(
         {c: F.col(c).cast("date") for c in PERIOD.values()}
     )
-    rest = [c for c in CLAIM_COLUMNS if c not in ("billed_date", "updated_at")]
+    take = [c for c in CLAIM_COLUMNS if c not in ("mrn", "agency")]
+    rest = [c for c in take if c not in ("billed_date", "updated_at")]
     order = [F.col("billed_date").asc_nulls_first(), F.col("updated_at").desc_nulls_last()]
     order += [F.col(c).asc_nulls_first() for c in rest]
+    credit = revenue.select("mrn", "agency", "visit_date", "unique_id", "revenue")
     days = first_per_key(
-        revenue.select("mrn", "agency", "visit_date", "unique_id", F.col("revenue").alias("expected")),
-        ["mrn", "agency", "visit_date"],
-        [F.col("unique_id").asc_nulls_first(), F.col("expected").asc_nulls_first()],
-    )
-    winners = first_cover(
-        revenue,
-        typed,
-        eq=CLAIM_EQ,
-        point="visit_date",
-        order=order,
-        take=[c for c in CLAIM_COLUMNS if c not in ("mrn", "agency")],
-        **PERIOD,
-    )
-    expected = F.sum("expected").alias("expected_revenue")
+        point_rows(credit, CLAIM_EQ, "visit_date", ["unique_id", "revenue"]),
+        ["__k0", "__k1", "__at"],
+        [F.col("unique_id").asc_nulls_first(), F.col("revenue").asc_nulls_first()],
+    ).drop("unique_id")
     won = (
-        winners.join(days, ["mrn", "agency", "visit_date"])
+        cover_days(days, typed, CLAIM_EQ, order=order, take=take, **PERIOD)
+        .withColumnsRenamed({"__k0": "mrn", "__k1": "agency"})
         .groupBy(*CLAIM_COLUMNS)
-        .agg(expected)
+        .agg(F.sum("revenue").alias("expected_revenue"))
     )
     idle = spans_without_points(typed, revenue, CLAIM_EQ, "visit_date", **PERIOD)
     return won.unionByName(

@@ -20,6 +20,7 @@ from visitledger.operators import (
     open_total,
 )
 from visitledger.plans.claims import (
+    CLAIM_COLUMNS,
     CLAIM_EQ,
     PERIOD,
     allocate_first_claim,
@@ -51,19 +52,24 @@ from visitledger.sources.staging import stage
 from visitledger.sources.tables import Inputs
 
 
-def billed_visits(revenue: DataFrame, claims: DataFrame) -> DataFrame:
-    """Revenue rows whose day lies in a paid claim of the patient and agency."""
+def paid_periods(claims: DataFrame) -> DataFrame:
+    """Patient, agency and period of the claims with a known payment."""
     paid = claims.where(F.col("anticipated_payment").isNotNull())
+    return paid.select("mrn", "agency", *PERIOD.values())
+
+
+def billed_visits(revenue: DataFrame, paid: DataFrame) -> DataFrame:
+    """Revenue rows whose day lies in a paid period of the patient and agency."""
     return cover_semi(revenue, paid, CLAIM_EQ, "visit_date", **PERIOD)
 
 
-def open_receivables(revenue: DataFrame, claims: DataFrame) -> DataFrame:
-    """Revenue rows not billed by any of `claims`, private payers left out.
+def open_receivables(revenue: DataFrame, paid: DataFrame) -> DataFrame:
+    """Revenue rows not billed in any of the `paid` periods, private payers out.
 
     The exclusion is by visit id with SQL's NOT IN rules: a billed row without
-    an id empties the result. `revenue` is read twice: stage it first.
+    an id empties the result. Both tables are read twice: stage them first.
     """
-    billed = billed_visits(revenue, claims)
+    billed = billed_visits(revenue, paid)
     unbilled = null_aware_anti(revenue, billed, "unique_id", "unique_id")
     open_rows = drop_excluded(unbilled, "insurance", k.PRIVATE_PAYERS)
     return open_rows.withColumn("unbilled_ar", F.col("revenue")).select(
@@ -120,8 +126,9 @@ def unbilled_report(inputs: Inputs, day: date) -> DataFrame:
     """
     revenue = stage(price_visits(inputs, day), "revenue")
     claims = drop_advance_claims(standing_claims(inputs.claims, day))
+    claims = stage(claims.select(*CLAIM_COLUMNS), "claims")
     counted = latest_claims(allocate_first_claim(claims, revenue))
-    return open_receivables(revenue, counted)
+    return open_receivables(revenue, stage(paid_periods(counted), "paid_periods"))
 
 
 class Dashboard(NamedTuple):

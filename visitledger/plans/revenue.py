@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from visitledger import constants as k
 from visitledger.functions import normal_name
 from visitledger.operators import drop_excluded, interval_hits, interval_left_join
 from visitledger.operators.intervals import join_hits
 from visitledger.sources.schemas import REVENUE
+from visitledger.sources.tables import conform
+
+# What both kinds of pricing bring, before the PDGM flag is added.
+PRICED = StructType([f for f in REVENUE.fields if f.name != "pdgm_non_pdgm"])
 
 EPISODE_EQ = [("episode_identifier", "episode_identifier")]
 
@@ -115,18 +120,6 @@ def prorate_by_month(visits: DataFrame, periods: DataFrame) -> DataFrame:
     return join_hits(visits, facts, EPISODE_EQ, "visit_date")
 
 
-def _align(df: DataFrame) -> DataFrame:
-    """The revenue columns in order, with typed NULLs for those `df` lacks."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in REVENUE.fields
-            if f.name != "pdgm_non_pdgm"
-        ]
-    )
-
-
 def align_revenue(df: DataFrame) -> DataFrame:
     """Rename visit columns to report columns and fill the missing ones."""
     renamed = (
@@ -134,7 +127,7 @@ def align_revenue(df: DataFrame) -> DataFrame:
         .withColumnRenamed("total_hours", "hours_worked")
         .withColumn("revenue_date", F.col("visit_date"))
     )
-    return _align(renamed)
+    return conform(renamed, PRICED)
 
 
 def revenue_fact(

@@ -16,13 +16,14 @@ def staging_folder(spark: SparkSession) -> str:
     Only a local session without the setting gets a folder of its own, because a
     folder on one machine is of no use to the executors of a cluster.
     """
-    folder = spark.conf.get(SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="visitledger-")
-        spark.conf.set(SETTING, folder)
-    return f"{folder}/{spark.sparkContext.applicationId}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="visitledger-"))
+        folder = context.getCheckpointDir()
+    return f"{folder}/{context.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -6,8 +6,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 from visitledger.sources import schemas
 
@@ -31,14 +30,24 @@ SCHEMAS = {name: getattr(schemas, name.upper()) for name in Inputs._fields}
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """The columns of `schema` in order and type; columns `df` lacks are NULL."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    """The columns of `schema` in order and type; columns `df` lacks are NULL.
+
+    Columns that have the type already are left bare, so filters on them reach
+    the file reader, and timestamps without a zone stay as they are.
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(field: StructField) -> str:
+        kind = have.get(field.name)
+        zoneless = isinstance(field.dataType, TimestampType) and isinstance(
+            kind, TimestampNTZType
+        )
+        if kind == field.dataType or zoneless:
+            return f"`{field.name}`"
+        source = "NULL" if kind is None else f"`{field.name}`"
+        return f"CAST({source} AS {field.dataType.simpleString()}) AS `{field.name}`"
+
+    return df.selectExpr(*[text(f) for f in schema.fields])
 
 
 def _inputs(load: Callable[[str], DataFrame]) -> Inputs:
