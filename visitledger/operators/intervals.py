@@ -26,8 +26,8 @@ from visitledger.operators.keys import first_per_key
 # Cell widths in days as powers of two. An interval lives at the narrowest zoom
 # at least as long as itself, so it touches at most two cells there; the widest
 # zoom is longer than all of years 1 to 9999, so open ends like 9999-12-31 cost
-# no more than others. A point is looked up once per zoom.
-ZOOMS = (6, 11, 22)
+# no more than others. A point is looked up once per zoom in use.
+ZOOMS = (6, 9, 22)
 
 Keys = Sequence[tuple[str, str]]
 
@@ -61,31 +61,32 @@ def distinct_points(df: DataFrame, eq: Keys, point: str) -> DataFrame:
     return point_rows(df, eq, point, []).distinct()
 
 
-def _in_cells(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Each (point, span) pair with the point inside the span, exactly once."""
-    day = F.unix_date("__at")
-    cells = [F.struct(F.lit(z).alias("z"), F.shiftright(day, z).alias("c")) for z in ZOOMS]
-    probes = points.withColumn("__cell", F.explode(F.array(*cells)))
+def _zoom() -> Column:
+    days = F.date_diff("__hi", "__lo")
+    zoom = F.lit(ZOOMS[-1])
+    for bits in reversed(ZOOMS[:-1]):
+        zoom = F.when(days < 2**bits, bits).otherwise(zoom)
+    return zoom
 
-    first, last = F.unix_date("__lo"), F.unix_date("__hi")
 
-    def touched(zoom: int) -> Column:
-        ends = F.sequence(F.shiftright(first, zoom), F.shiftright(last, zoom))
-        return F.transform(ends, lambda c: F.struct(F.lit(zoom).alias("z"), c.alias("c")))
-
-    places = touched(ZOOMS[-1])
-    for zoom in reversed(ZOOMS[:-1]):
-        places = F.when(last - first < 2**zoom, touched(zoom)).otherwise(places)
-    placed = spans.withColumn("__cell", F.explode(places))
-
-    def flat(df: DataFrame) -> DataFrame:
-        zoom, cell = F.col("__cell.z").alias("__zoom"), F.col("__cell.c").alias("__tile")
-        return df.select("*", zoom, cell).drop("__cell")
+def _in_cells(
+    points: DataFrame, spans: DataFrame, keys: list[str], lengths: DataFrame
+) -> DataFrame:
+    """Each (point, span) pair with the point inside the span, exactly once.
 
-    pairs = flat(probes).join(flat(placed), [*keys, "__zoom", "__tile"])
-    return pairs.where(F.col("__at").between(F.col("__lo"), F.col("__hi"))).drop(
-        "__zoom", "__tile"
+    `lengths` holds the bounds of `spans`, possibly more; the zooms in use are
+    read off it beforehand, a set of at most three numbers.
+    """
+    used = lengths.agg(F.collect_set(_zoom())).scalar()
+    probes = points.withColumn("__zoom", F.explode(used)).withColumn(
+        "__tile", F.expr("shiftright(unix_date(__at), __zoom)")
     )
+    tiles = F.expr(
+        "sequence(shiftright(unix_date(__lo), __zoom), shiftright(unix_date(__hi), __zoom))"
+    )
+    placed = spans.withColumn("__zoom", _zoom()).withColumn("__tile", F.explode(tiles))
+    pairs = probes.join(placed, [*keys, "__zoom", "__tile"]).drop("__zoom", "__tile")
+    return pairs.where(F.col("__at").between(F.col("__lo"), F.col("__hi")))
 
 
 def interval_hits(
@@ -96,9 +97,8 @@ def interval_hits(
     `points` comes from `distinct_points` (extra columns ride along). The result
     has the key as `__k0`, `__k1`, .. and the day as `__at`.
     """
-    keys = _names(eq)
-    pairs = _in_cells(points, _span_rows(spans, eq, lo, hi, take), keys)
-    return pairs.drop("__lo", "__hi")
+    rows = _span_rows(spans, eq, lo, hi, take)
+    return _in_cells(points, rows, _names(eq), rows).drop("__lo", "__hi")
 
 
 def join_hits(left: DataFrame, hits: DataFrame, eq: Keys, point: str) -> DataFrame:
@@ -145,10 +145,9 @@ def cover_days(
     per distinct pair of dates.
     """
     keys = _names(eq)
-    best = first_per_key(
-        _span_rows(spans, eq, lo, hi, take), [*keys, "__lo", "__hi"], order
-    )
-    pairs = _in_cells(days, best, keys)
+    rows = _span_rows(spans, eq, lo, hi, take)
+    best = first_per_key(rows, [*keys, "__lo", "__hi"], order)
+    pairs = _in_cells(days, best, keys, rows)
     return first_per_key(pairs, [*keys, "__at"], order).drop("__lo", "__hi")
 
 
