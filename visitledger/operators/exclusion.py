@@ -24,7 +24,7 @@ def null_aware_anti(
     Spark's own plan for NOT IN broadcasts the right side whatever its size.
     Here the right keys are made distinct (combined before the shuffle) and
     joined as a plain anti join on the key; the NULL rules come from one scalar
-    over the same keys:
+    over the same keys, so `right` is read twice:
 
     - right empty: every left row stays, also with a NULL key;
     - right holds a NULL: nothing stays;
@@ -32,7 +32,7 @@ def null_aware_anti(
     """
     probe = F.col(left_key) if isinstance(left_key, str) else left_key
     member = F.col(right_key) if isinstance(right_key, str) else right_key
-    keys = right.select(member.alias("__member")).distinct()
+    keys = right.select(member.alias("__member"))
     missing = F.col("__member").isNull()
     state = keys.agg(
         F.when(F.count(F.lit(1)) == 0, "empty")
@@ -44,4 +44,4 @@ def null_aware_anti(
         (state == "empty") | ((state == "keys") & probe.isNotNull())
     ).withColumn("__probe", probe)
     on = F.col("__probe") == F.col("__member")
-    return kept.join(keys.where(~missing), on, "left_anti").drop("__probe")
+    return kept.join(keys.distinct(), on, "left_anti").drop("__probe")

@@ -48,7 +48,7 @@ from visitledger.plans.visits import (
     clean_visits,
 )
 from visitledger.sources.schemas import OPEN_RECEIVABLES
-from visitledger.sources.staging import stage
+from visitledger.sources.staging import stage, stage_all
 from visitledger.sources.tables import Inputs
 
 
@@ -67,9 +67,10 @@ def open_receivables(revenue: DataFrame, paid: DataFrame) -> DataFrame:
     """Revenue rows not billed in any of the `paid` periods, private payers out.
 
     The exclusion is by visit id with SQL's NOT IN rules: a billed row without
-    an id empties the result. Both tables are read twice: stage them first.
+    an id empties the result. `revenue` is read more than once: stage it first.
     """
-    billed = billed_visits(revenue, paid)
+    billed = billed_visits(revenue, paid).select("unique_id").distinct()
+    billed = stage(billed, "billed_ids")
     unbilled = null_aware_anti(revenue, billed, "unique_id", "unique_id")
     open_rows = drop_excluded(unbilled, "insurance", k.PRIVATE_PAYERS)
     return open_rows.withColumn("unbilled_ar", F.col("revenue")).select(
@@ -77,41 +78,60 @@ def open_receivables(revenue: DataFrame, paid: DataFrame) -> DataFrame:
     )
 
 
-def price_visits(inputs: Inputs, day: date) -> DataFrame:
-    """The revenue fact: every billable visit known before `day`, priced.
+PERIOD_COLUMNS = (
+    "agency",
+    "mrn",
+    "episode_start_date",
+    "episode_end_date",
+    "unique_id",
+    "episode_identifier",
+    "billing_period_start_date",
+    "billing_period_end_date",
+    "billing_period",
+    "anticipated_30_day_payment",
+    "eoe_anticipated_payment",
+    "payment_multiplier",
+    "total_scheduled_visits",
+    "total_completed_visits",
+    "lupa_level",
+    "eoe_date",
+)
+
+
+class Known(NamedTuple):
+    """What was known on the day: one row per episode period, visit, claim version."""
+
+    pdgm: DataFrame
+    visits: DataFrame
+    claims: DataFrame
 
-    Visits and PDGM episodes feed several branches. They are staged with the
-    columns those branches need, so raw history is scanned and ranked once.
+
+def known_on(inputs: Inputs, day: date) -> Known:
+    """Stage the three tables that feed several branches of the report.
+
+    Raw history is scanned and ranked once, and only the columns the branches
+    need are written.
     """
-    pdgm = stage(
-        pdgm_episodes(inputs.pdgm_episodes, inputs.insurance_map, day).select(
-            "agency",
-            "mrn",
-            "episode_start_date",
-            "episode_end_date",
-            "unique_id",
-            "episode_identifier",
-            "billing_period_start_date",
-            "billing_period_end_date",
-            "billing_period",
-            "anticipated_30_day_payment",
-            "eoe_anticipated_payment",
-            "payment_multiplier",
-            "total_scheduled_visits",
-            "total_completed_visits",
-            "lupa_level",
-            "eoe_date",
-        ),
-        "pdgm_episodes",
-    )
-    managed = managed_care_episodes(inputs.mc_episodes, inputs.insurance_map, day)
+    pdgm = pdgm_episodes(inputs.pdgm_episodes, inputs.insurance_map, day)
     visits = clean_visits(inputs.visits, inputs.task_map, inputs.insurance_map, day)
-    listed = billable_visits(visits, inputs.non_billable_tasks)
-    listed = stage(listed.select(*REPORT_COLUMNS), "visits")
-    placed = stage(attach_episode(listed, episode_set(pdgm, managed)), "placed_visits")
+    visits = billable_visits(visits, inputs.non_billable_tasks)
+    claims = drop_advance_claims(standing_claims(inputs.claims, day))
+    frames = {
+        "pdgm": pdgm.select(*PERIOD_COLUMNS),
+        "visits": visits.select(*REPORT_COLUMNS),
+        "claims": claims.select(*CLAIM_COLUMNS),
+    }
+    return Known(*stage_all(frames))
+
+
+def price_visits(known: Known, inputs: Inputs, day: date) -> DataFrame:
+    """The revenue fact: every billable visit known before `day`, priced."""
+    managed = managed_care_episodes(inputs.mc_episodes, inputs.insurance_map, day)
+    episodes = episode_set(known.pdgm, managed)
+    placed = stage(attach_episode(known.visits, episodes), "placed_visits")
     return revenue_fact(
         rate_card_revenue(per_visit_payers(placed), inputs.rate_cards),
-        prorate_by_month(episodic_payers(placed), billing_periods(pdgm)),
+        prorate_by_month(episodic_payers(placed), billing_periods(known.pdgm)),
         inputs.pdgm_flags,
         inputs.revenue_exceptions,
     )
@@ -124,10 +144,9 @@ def unbilled_report(inputs: Inputs, day: date) -> DataFrame:
     cards are used as they are now. The earliest recorded day itself gives an
     empty report, because nothing was known before it.
     """
-    revenue = stage(price_visits(inputs, day), "revenue")
-    claims = drop_advance_claims(standing_claims(inputs.claims, day))
-    claims = stage(claims.select(*CLAIM_COLUMNS), "claims")
-    counted = latest_claims(allocate_first_claim(claims, revenue))
+    known = known_on(inputs, day)
+    revenue = stage(price_visits(known, inputs, day), "revenue")
+    counted = latest_claims(allocate_first_claim(known.claims, revenue))
     return open_receivables(revenue, stage(paid_periods(counted), "paid_periods"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """Stage frames that do not depend on each other at the same time.
+
+    The jobs share the cluster, so small tables are written in the gaps the
+    last tasks of a large one leave.
+    """
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda name: stage(frames[name], name), frames))

@@ -49,6 +49,7 @@ from visitledger.plans.episodes import (
 )
 from visitledger.plans.report import (
     dashboard,
+    known_on,
     open_receivables,
     paid_periods,
     price_visits,
@@ -499,7 +500,8 @@ def q_map_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_revenue_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return price_visits(inputs(spark, sf_dir), SNAPSHOT)
+    found = inputs(spark, sf_dir)
+    return price_visits(known_on(found, SNAPSHOT), found, SNAPSHOT)
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
