@@ -377,9 +377,15 @@ _TEXTS = {
         SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_orderkey END AS key FROM orders
         WHERE CASE WHEN o_custkey % 10 <> 0 THEN o_orderkey END NOT IN (
             SELECT l_orderkey FROM lineitem WHERE l_quantity < 0)""",
-    "interval_left_join": f"""
-        SELECT l_orderkey, l_partkey, l_suppkey, ship_day, o_orderkey, span_end
-        FROM shipments LEFT JOIN spans ON {SPAN_MATCH}""",
+    "interval_left_join": """
+        SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS ship_day, kind, span_end
+        FROM lineitem LEFT JOIN (
+            SELECT o_orderkey, CAST(o_orderdate AS DATE) AS span_start, kind,
+                   CASE kind WHEN 'short' THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INTEGER)
+                        WHEN 'long' THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 1500 AS INTEGER)
+                        ELSE CASE WHEN o_orderkey % 4 = 0 THEN DATE '9999-12-31' END END AS span_end
+            FROM orders CROSS JOIN (VALUES ('short'), ('long'), ('open')) AS k(kind)) s
+        ON l_orderkey = o_orderkey AND CAST(l_shipdate AS DATE) BETWEEN span_start AND span_end""",
     "cover_semi": f"SELECT * FROM shipments WHERE EXISTS (SELECT 1 FROM spans WHERE {SPAN_MATCH})",
     "cover_anti": f"SELECT * FROM shipments WHERE NOT EXISTS (SELECT 1 FROM spans WHERE {SPAN_MATCH})",
     "spans_without_points": f"""

@@ -201,10 +201,29 @@ SPAN = {"eq": [("custkey", "o_custkey")], "point": "ship_day", "lo": "span_start
 
 
 def q_interval_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in a short, a long and an open span of their own order."""
+    orders = table(spark, sf_dir, "orders")
+    start = F.to_date("o_orderdate")
+    ends = {
+        "short": F.date_add(start, (F.col("o_orderkey") % 90).cast("int")),
+        "long": F.date_add(start, (F.col("o_orderkey") % 1500).cast("int")),
+        "open": F.when(F.col("o_orderkey") % 4 == 0, F.lit(date(9999, 12, 31))),
+    }
+    kinds = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("kind"), e.alias("span_end")) for n, e in ends.items()])
+    )
+    spans = orders.select("o_orderkey", start.alias("span_start"), kinds.alias("span"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("ship_day", F.to_date("l_shipdate"))
     joined = interval_left_join(
-        _shipments(spark, sf_dir), _order_spans(spark, sf_dir), take=["o_orderkey", "span_end"], **SPAN
+        lines,
+        spans.select("o_orderkey", "span_start", "span.kind", "span.span_end"),
+        eq=[("l_orderkey", "o_orderkey")],
+        point="ship_day",
+        lo="span_start",
+        hi="span_end",
+        take=["kind", "span_end"],
     )
-    return joined.select("l_orderkey", "l_partkey", "l_suppkey", "ship_day", "o_orderkey", "span_end")
+    return joined.select("l_orderkey", "l_partkey", "l_suppkey", "ship_day", "kind", "span_end")
 
 
 def q_cover_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
