@@ -53,6 +53,24 @@ def test_staged_tables_keep_their_schema_and_are_pruned(spark):
     assert staging_folder(spark).endswith(spark.sparkContext.applicationId)
 
 
+class Elsewhere:
+    """A session on a cluster, as far as staging looks at it."""
+
+    def __init__(self, settings):
+        self.settings = {"spark.app.id": "app-1", "spark.master": "yarn"} | settings
+        self.conf = self
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+
+def test_a_cluster_names_the_shared_folder():
+    named = Elsewhere({"spark.checkpoint.dir": "hdfs://shared/tmp"})
+    assert staging_folder(named) == "hdfs://shared/tmp/app-1"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging_folder(Elsewhere({}))
+
+
 def test_steps_are_importable_apart():
     steps = [
         visits.attach_episode,

@@ -98,36 +98,41 @@ PERIOD_COLUMNS = (
 )
 
 
+MANAGED_COLUMNS = ("agency", "mrn", "episode_start_date", "episode_end_date", "unique_id")
+
+
 class Known(NamedTuple):
-    """What was known on the day: one row per episode period, visit, claim version."""
+    """What was known on the day, each table reduced to what the report uses."""
 
     pdgm: DataFrame
+    managed: DataFrame
     visits: DataFrame
     claims: DataFrame
 
 
 def known_on(inputs: Inputs, day: date) -> Known:
-    """Stage the three tables that feed several branches of the report.
+    """Stage the four tables that feed several branches of the report.
 
     Raw history is scanned and ranked once, and only the columns the branches
     need are written.
     """
     pdgm = pdgm_episodes(inputs.pdgm_episodes, inputs.insurance_map, day)
+    managed = managed_care_episodes(inputs.mc_episodes, inputs.insurance_map, day)
     visits = clean_visits(inputs.visits, inputs.task_map, inputs.insurance_map, day)
     visits = billable_visits(visits, inputs.non_billable_tasks)
     claims = drop_advance_claims(standing_claims(inputs.claims, day))
     frames = {
         "pdgm": pdgm.select(*PERIOD_COLUMNS),
+        "managed": managed.select(*MANAGED_COLUMNS),
         "visits": visits.select(*REPORT_COLUMNS),
         "claims": claims.select(*CLAIM_COLUMNS),
     }
     return Known(*stage_all(frames))
 
 
-def price_visits(known: Known, inputs: Inputs, day: date) -> DataFrame:
-    """The revenue fact: every billable visit known before `day`, priced."""
-    managed = managed_care_episodes(inputs.mc_episodes, inputs.insurance_map, day)
-    episodes = episode_set(known.pdgm, managed)
+def price_visits(known: Known, inputs: Inputs) -> DataFrame:
+    """The revenue fact: every known billable visit, priced."""
+    episodes = episode_set(known.pdgm, known.managed)
     placed = stage(attach_episode(known.visits, episodes), "placed_visits")
     return revenue_fact(
         rate_card_revenue(per_visit_payers(placed), inputs.rate_cards),
@@ -145,7 +150,7 @@ def unbilled_report(inputs: Inputs, day: date) -> DataFrame:
     empty report, because nothing was known before it.
     """
     known = known_on(inputs, day)
-    revenue = stage(price_visits(known, inputs, day), "revenue")
+    revenue = stage(price_visits(known, inputs), "revenue")
     counted = latest_claims(allocate_first_claim(known.claims, revenue))
     return open_receivables(revenue, stage(paid_periods(counted), "paid_periods"))
 

@@ -17,14 +17,15 @@ def staging_folder(spark: SparkSession) -> str:
     Only a local session without the setting gets a folder of its own, because a
     folder on one machine is of no use to the executors of a cluster.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
+    folder = spark.conf.get(SETTING, None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {SETTING} to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="visitledger-"))
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="visitledger-"))
         folder = context.getCheckpointDir()
-    return f"{folder}/{context.applicationId}"
+    return f"{folder}/{spark.conf.get('spark.app.id')}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -520,7 +520,7 @@ def q_map_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_revenue_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inputs(spark, sf_dir)
-    return price_visits(known_on(found, SNAPSHOT), found, SNAPSHOT)
+    return price_visits(known_on(found, SNAPSHOT), found)
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
