@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
-import tempfile
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
 from uuid import uuid4
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = Lock()
+_writers = 0
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`.
+    """The shared folder for intermediate tables.
 
-    Only a local session without the setting gets a folder of its own, because a
-    folder on one machine is of no use to the executors of a cluster.
+    `spark.checkpoint.dir`, or the directory given to `setCheckpointDir`. Where
+    neither is set, a folder inside the warehouse, which every executor reaches
+    as well.
     """
-    folder = spark.conf.get(SETTING, None)
-    if folder is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder all executors can reach")
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="visitledger-"))
-        folder = context.getCheckpointDir()
-    return f"{folder}/{spark.conf.get('spark.app.id')}"
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def _shuffles_removed_after_write(spark: SparkSession) -> Iterator[None]:
+    """While a staged table is written, its shuffle files go as soon as it is done."""
+    global _writers
+    with _lock:
+        if _writers == 0:
+            _shuffles_removed_after_write.before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if _writers == 0:
+                spark.conf.set(_CLEANUP, _shuffles_removed_after_write.before)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back.
 
     Used where several branches need one result: it is computed once, survives
-    the loss of executors, and each branch reads only its own columns. Files
-    stay until the folder is cleaned, like Spark's own checkpoints.
+    the loss of executors, and each branch reads only its own columns. The
+    caller's result may be read at any later time, so the files stay until
+    `remove_staged` or until the folder is cleaned, like Spark's checkpoints.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed_after_write(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,7 +65,33 @@ def stage_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
     """Stage frames that do not depend on each other at the same time.
 
     The jobs share the cluster, so small tables are written in the gaps the
-    last tasks of a large one leave.
+    last tasks of a large one leave. The threads inherit the caller's job group
+    and scheduler pool.
+    """
+    found: dict[str, DataFrame] = {}
+    failed: list[BaseException] = []
+
+    def work(name: str) -> None:
+        try:
+            found[name] = stage(frames[name], name)
+        except BaseException as problem:  # raised again below, in the caller's thread
+            failed.append(problem)
+
+    threads = [InheritableThread(target=work, args=(name,)) for name in frames]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failed:
+        raise failed[0]
+    return [found[name] for name in frames]
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete every table this application has staged.
+
+    For the end of a run, once its results are written elsewhere. Deletes
+    through the Hadoop file system, so the folder may be in any store.
     """
-    with ThreadPoolExecutor(len(frames)) as pool:
-        return list(pool.map(lambda name: stage(frames[name], name), frames))
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
