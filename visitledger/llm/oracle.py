@@ -50,5 +50,14 @@ WITH docs AS (
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM docs WINDOW same AS (PARTITION BY t)
+""",
+    "op5_warc": """
+WITH bodies AS (
+    SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first FROM bodies)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM grouped
 """,
 }

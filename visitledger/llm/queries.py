@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitledger.llm.exact_dedup import exact_dedup
+from visitledger.llm.language import fit, held_out, identify
 from visitledger.llm.mixing import mixing_plan
 from visitledger.llm.packing import pack
+from visitledger.llm.quality import score_quality
 from visitledger.llm.sharding import assign_shards
+from visitledger.llm.warc import round_trip
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +31,45 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(
+        "doc_id",
+        F.col("_evidence").alias("evidence"),
+        F.col("_host_rate").alias("host_rate"),
+        F.col("_path_rate").alias("path_rate"),
+        F.col("_quality").alias("quality_score"),
+        F.col("_keep").alias("keep"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    number = r"^<urn:page:(-?\d+)>$"
+    response = F.col("record_type") == "response"
+    return records.where(F.col("record_type").isin("response", "revisit")).select(
+        F.regexp_extract("record_id", number, 1).try_cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.regexp_extract("refers_to", number, 1).try_cast("long").alias("refers_to"),
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    return identify(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(documents(spark, sf_dir))
     return placed.select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
@@ -45,7 +81,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
+    "op6_language": op6_language,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
 }

@@ -33,7 +33,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> np.ndarray:
     """1, m, m^2, ... modulo 2^64."""
-    found = np.full(n, _MULTIPLIER, np.uint64)
+    found = np.full(n, _MULTIPLIER, np.uint64)  # uint64 arrays wrap around silently
     if n:
         found[0] = 1
     return np.multiply.accumulate(found)
@@ -46,13 +46,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def sealed(sums: np.ndarray, lengths: np.ndarray | np.uint64) -> np.ndarray:
+    """The hash of strings whose code points, weighed with `powers`, add up to `sums`."""
+    return mix(sums + np.multiply(lengths, _SPREAD, dtype=np.uint64))
+
+
 def run_hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run, given all runs of `points` in order without gaps."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     place = np.arange(len(points), dtype=np.int64) - np.repeat(starts, lengths)
     values = (points.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * _SPREAD)
+    return sealed(np.add.reduceat(values, starts), lengths.astype(np.uint64))
 
 
 def words_of(texts: list[str], keep: tuple[int, ...] = (LETTER, NUMBER)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
