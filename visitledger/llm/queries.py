@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitledger.llm.exact_dedup import exact_dedup
+from visitledger.llm.jaccard import jaccard_classes
 from visitledger.llm.language import fit, held_out, identify
 from visitledger.llm.mixing import mixing_plan
 from visitledger.llm.packing import pack
@@ -79,6 +80,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).drop("row").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
@@ -87,4 +92,5 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
+    "op9_jaccard_join": op9_jaccard_join,
 }
