@@ -12,6 +12,7 @@ from visitledger.llm.mixing import mixing_plan
 from visitledger.llm.packing import pack
 from visitledger.llm.quality import score_quality
 from visitledger.llm.sharding import assign_shards
+from visitledger.llm.spots import fingerprint, fingerprints
 from visitledger.llm.warc import round_trip
 
 
@@ -84,6 +85,18 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir)).drop("row").withColumnRenamed("id", "doc_id")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        fingerprint(F.col("signatures")).alias("fingerprint"),
+        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
@@ -93,4 +106,5 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_fingerprints": op10_fingerprints,
 }
