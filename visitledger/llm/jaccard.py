@@ -18,7 +18,7 @@ from visitledger.sources.staging import stage
 THRESHOLD = 0.8
 #: MinHash values of a set, how many are compared at a time, and the probability of
 #: reaching the threshold below which a pair is dropped.
-HASHES = 64
+HASHES = 128
 STEP = 16
 TOLERANCE = 1e-6
 #: Sets compared with each other in one go, at most about so many on either side.
@@ -78,7 +78,7 @@ def _set_rows(docs: DataFrame) -> DataFrame:
 
 
 def _postings(texts: DataFrame, frequent: pd.DataFrame, threshold: float) -> DataFrame:
-    """The prefix of each set as shingle, node (the key's first half).
+    """The prefix of each set as shingle, node (the key's first half), size.
 
     Shingles are taken from the rarest on, unknown ones first; two sets that reach
     the threshold share one of the first n - ceil(t n) + 1, under any order that
@@ -109,34 +109,54 @@ def _postings(texts: DataFrame, frequent: pd.DataFrame, threshold: float) -> Dat
             rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
             short = rank <= sizes[owner] - np.ceil(threshold * sizes[owner] - 1e-9)
             nodes = np.array([int.from_bytes(k[:8], "big", signed=True) if k else 0 for k in keys], np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(found[short]), pa.array(nodes[owner[short]])], ["shingle", "node"])
+            columns = [_signed(found[short]), pa.array(nodes[owner[short]]), pa.array(sizes[owner[short]].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "node", "size"])
 
-    return texts.mapInArrow(work, "shingle long, node long")
+    return texts.mapInArrow(work, "shingle long, node long, size int")
 
 
-def _blocks(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their block, and pairs of blocks that share a shingle.
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """The distinct `rows` whose `keys` belong to two nodes at least, with the smallest node as low."""
+    same = Window.partitionBy(*keys)
+    ends = rows.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
+    return ends.where("low < high").drop("high").distinct()
 
-    A node's leader is the smallest node it shares a shingle with, so near copies
-    fall into one block; a leader with many followers gets several.
+
+def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their block, and the nodes to compare in each numbered pair of blocks.
+
+    Candidates share a shingle and have sizes of one or of neighbouring classes,
+    a class reaching from one size to 1 / threshold times that. A node's leader is
+    the smallest of its candidates, so near copies fall into one block; a leader
+    with many followers gets several. In a block everything is compared (pair
+    null), between two blocks what shares a shingle.
     """
-    by_shingle = Window.partitionBy("shingle")
-    shared = postings.withColumn("low", F.min("node").over(by_shingle)).withColumn("high", F.max("node").over(by_shingle))
-    shared = stage(shared.where("low < high").select("shingle", "node", "low").distinct(), "jaccard-shared")
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
+    shared = stage(_shared(postings, "shingle").drop("low"), "jaccard-shared")
+    classed = shared.withColumn("class", F.explode(F.array(size_class, size_class + 1))).drop("size")
+    shared = stage(_shared(classed, "shingle", "class"), "jaccard-classed")
     nodes = stage(shared.groupBy("node").agg(F.min("low").alias("leader")), "jaccard-nodes")
     split = nodes.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     nodes = nodes.join(split, "leader").select(
         "node", F.struct("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).alias("block")
     )
     nodes = stage(nodes, "jaccard-blocks")
-    seen = stage(shared.join(nodes, "node").select("shingle", "block").distinct(), "jaccard-seen")
-    other = seen.withColumnRenamed("block", "right")
-    pairs = seen.withColumnRenamed("block", "left").join(other, "shingle").where("left <= right")
-    return nodes, stage(pairs.select("left", "right").distinct(), "jaccard-pairs")
+    placed = stage(shared.drop("low").join(nodes, "node"), "jaccard-placed")
+    seen = stage(placed.select("shingle", "class", "block").distinct(), "jaccard-seen")
+    meeting = (
+        seen.withColumnRenamed("block", "left")
+        .join(seen.withColumnRenamed("block", "right"), ["shingle", "class"])
+        .where("left < right")
+        .select("shingle", "class", F.struct("left", "right").alias("pair"))
+    )
+    meeting = stage(meeting, "jaccard-meeting")
+    sides = meeting.select("shingle", "class", "pair", F.explode(F.array("pair.left", "pair.right")).alias("block"))
+    across = sides.join(placed, ["shingle", "class", "block"]).select("pair", "block", "node").distinct()
+    return nodes, stage(across.select("pair", (F.col("block") == F.col("pair.left")).alias("first"), "node"), "jaccard-pairs")
 
 
 def _signatures(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """The sets of `involved` (rep, key, copies, block) with MinHash values and shingles."""
+    """The sets of `involved` (rep, key, copies, node, block) with MinHash values and shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, 1):
@@ -153,40 +173,38 @@ def _signatures(docs: DataFrame, involved: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[i] for i in rows], pa.binary()),
+                    pa.array(sizes[rows]),
                     pa.array([v.tobytes() for v in values], pa.binary()),
                     pa.array([found[starts[i] : starts[i] + sizes[i]].tobytes() for i in rows], pa.binary()),
                 ],
-                ["key", "hashes", "shingles"],
+                ["key", "size", "hashes", "shingles"],
             )
 
     texts = docs.join(involved.select("rep", "key"), docs["id"].eqNullSafe(involved["rep"])).select("key", "text")
-    found = texts.mapInArrow(work, "key binary, hashes binary, shingles binary").dropDuplicates(["key"])
-    return stage(found.join(involved.select("key", "copies", "block"), "key"), "jaccard-sets")
+    found = texts.mapInArrow(work, "key binary, size long, hashes binary, shingles binary").dropDuplicates(["key"])
+    return stage(found.join(involved.select("key", "copies", "node", "block"), "key"), "jaccard-sets")
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Links among `left`, or between `left` and `right`, as one row per linked set.
+def _decoded(column: pd.Series, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column]
 
-    Both have key, copies, hashes and shingles. Pairs whose sizes rule them out go
-    first; then STEP MinHash values at a time are compared and hopeless pairs
-    dropped; the rest is verified on the shingles. Returns key, links (documents
-    behind the partners) and root, the smallest key it is connected to here.
+
+def hopeful(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Pairs among `left`, or between `left` and `right`, that MinHash leaves open.
+
+    Both have key, size and hashes. Pairs whose sizes rule them out go first; then
+    STEP values at a time are compared, and a pair is dropped as soon as it has
+    fewer matches than `least_matches` asks for. Returns a row for each set with
+    an open pair: key, and partners, the keys of its open pairs one after the
+    other, each pair being listed once.
     """
     both = left if right is None else pd.concat([left, right], ignore_index=True)
-    hashes = np.stack([np.frombuffer(h, np.uint32) for h in both["hashes"]])
-    sets = [np.frombuffer(s, np.uint64) for s in both["shingles"]]
-    sizes = np.array([len(s) for s in sets])
-    n, split = len(both), 0 if right is None else len(left)
-    rows, columns = (0, n, 0, n)[:2], (0, n) if right is None else (split, n)
-    if right is not None:
-        rows = (0, split)
-    low = np.minimum.outer(sizes[slice(*rows)], sizes[slice(*columns)])
-    high = np.maximum.outer(sizes[slice(*rows)], sizes[slice(*columns)])
-    fit = low >= threshold * high - 1e-9
-    if right is None:
-        fit = np.triu(fit, 1)
-    a, b = np.nonzero(fit)
-    a, b = a + rows[0], b + columns[0]
+    hashes, sizes, n = np.stack(_decoded(both["hashes"], np.uint32)), both["size"].to_numpy(np.int64), len(both)
+    split = 0 if right is None else len(left)
+    rows, columns = sizes[: split or n], sizes[split:]
+    fit = np.minimum.outer(rows, columns) >= threshold * np.maximum.outer(rows, columns) - 1e-9
+    a, b = np.nonzero(fit if split else np.triu(fit, 1))
+    b = b + split
     matches = np.zeros(len(a), np.int64)
     for upto, least in least_matches(threshold).items():
         part = slice(upto - STEP, upto)
@@ -195,40 +213,62 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float = T
             matches[some] += (hashes[a[some], part] == hashes[b[some], part]).sum(axis=1)
         on = matches >= least
         a, b, matches = a[on], b[on], matches[on]
-    common = np.fromiter((len(np.intersect1d(sets[i], sets[j], True)) for i, j in zip(a, b)), np.int64, len(a))
-    linked = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
-    a, b = a[linked], b[linked]
-    copies = both["copies"].to_numpy(np.int64)
-    links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
-    root = np.argsort(np.argsort(both["key"].to_numpy()))
-    while True:  # the smallest key spreads along the links
+    keys = both["key"].to_numpy()
+    partners = {i: b"".join(keys[b[a == i]]) for i in np.unique(a)}
+    some = np.union1d(a, b)
+    return pd.DataFrame({"key": keys[some], "partners": [partners.get(i, b"") for i in some]})
+
+
+def verified(found: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Links among the open pairs of `found` (key, partners, copies, shingles).
+
+    Returns key, links (documents behind the partners) and root, the smallest key
+    it is connected to here, for each linked set.
+    """
+    found = found.sort_values("key", ignore_index=True)
+    keys, copies = found["key"].to_numpy(), found["copies"].to_numpy(np.int64)
+    place, sets = {k: i for i, k in enumerate(keys)}, _decoded(found["shingles"], np.uint64)
+    a, b = [], []
+    for i, partners in enumerate(found["partners"]):
+        for at in range(0, len(partners), 16):
+            j = place[partners[at : at + 16]]
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= threshold * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                a.append(i)
+                b.append(j)
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    links = np.bincount(a, copies[b], len(keys)) + np.bincount(b, copies[a], len(keys))
+    root, before = np.arange(len(keys)), None
+    while before is None or (root != before).any():  # the smallest key spreads along the links
         before = root.copy()
         np.minimum.at(root, a, before[b])
         np.minimum.at(root, b, before[a])
-        if (root == before).all():
-            break
-    keys = both["key"].sort_values().to_numpy()
-    some = np.union1d(a, b)
-    return pd.DataFrame({"key": both["key"].to_numpy()[some], "links": links[some].astype(np.int64), "root": keys[root[some]]})
+    some = np.union1d(a, b).astype(np.int64)
+    return pd.DataFrame({"key": keys[some], "links": links[some].astype(np.int64), "root": keys[root[some]]})
 
 
-def _links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Partial link counts and connections of every pair of blocks: key, links, root."""
-    sides = pairs.select(
-        "left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array("left")).otherwise(F.array("left", "right"))).alias("block")
-    )
-    members = sides.join(sets, "block").withColumn("first", F.col("block") == F.col("left"))
+def _links(sets: DataFrame, across: DataFrame, threshold: float) -> DataFrame:
+    """Partial link counts and connections of every block and pair of blocks: key, links, root."""
 
-    def work(found: pd.DataFrame) -> pd.DataFrame:
-        left, right = found[found["first"]], found[~found["first"]]
-        if len(left) == 0 or len(found) < 2:
-            return pd.DataFrame({"key": [], "links": [], "root": []})
-        return compare(left, right if len(right) else None, threshold)
+    def prune(found: pd.DataFrame) -> pd.DataFrame:
+        first = found["first"].to_numpy(bool)
+        left, right = found[first], found[~first]
+        inside = found["inside"].iloc[0]
+        if len(found) < 2 or not inside and (len(left) == 0 or len(right) == 0):
+            return pd.DataFrame({"key": [], "partners": [], "at": []})
+        return hopeful(left, None if inside else right, threshold).assign(at=found["at"].iloc[0])
 
-    columns = members.select("left", "right", "first", "key", "copies", "hashes", "shingles")
-    return columns.groupBy("left", "right").applyInPandas(
-        lambda found: work(found.drop(columns=["left", "right"])), "key binary, links long, root binary"
+    narrow = sets.select("node", "key", "size", "hashes", "block")
+    inside = narrow.select(F.xxhash64("block").alias("at"), F.lit(True).alias("first"), F.lit(True).alias("inside"), "key", "size", "hashes")
+    between = across.join(narrow, "node").select(
+        F.xxhash64("pair").alias("at"), "first", F.lit(False).alias("inside"), "key", "size", "hashes"
     )
+    open_pairs = [
+        members.groupBy("at").applyInPandas(prune, "key binary, partners binary, at long") for members in (inside, between)
+    ]
+    found = stage(open_pairs[0].unionByName(open_pairs[1]), "jaccard-open")
+    shingles = found.join(sets.select("key", "copies", "shingles"), "key")
+    return shingles.groupBy("at").applyInPandas(lambda rows: verified(rows, threshold), "key binary, links long, root binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -293,10 +333,10 @@ def jaccard_classes(
     groups = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = stage(groups.withColumn("node", node), "jaccard-groups")
 
-    nodes, pairs = _blocks(_postings(rows.select("text"), frequent, threshold))
-    involved = stage(groups.join(nodes, "node").select("rep", "key", "copies", "block"), "jaccard-involved")
+    nodes, across = _blocks(_postings(rows.select("text"), frequent, threshold), threshold)
+    involved = stage(groups.join(nodes, "node").select("rep", "key", "copies", "node", "block"), "jaccard-involved")
     sets = _signatures(rows, involved)
-    found = stage(_links(sets, pairs, threshold), "jaccard-links")
+    found = stage(_links(sets, across, threshold), "jaccard-links")
     labels = connected(found.select("key", "root"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
 
