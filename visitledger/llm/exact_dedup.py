@@ -19,6 +19,11 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
 
 
+def keyed(id_col: Column) -> Column:
+    """An id as a join key that is never null, so that one shuffle serves a join and what follows."""
+    return F.coalesce(id_col.cast("string"), F.lit("null"))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One narrow row per document: id, row, raw, digest, n_bytes.
 
@@ -101,8 +106,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that agree in both are thinned to one.
     """
     keep = exact_dedup(docs, id_col, text_col).where("kept")
-    keep = stage(keep.select(F.col("id").alias("_kept_id"), F.col("raw").alias("_kept_raw")), "kept")
-    marked = docs.withColumn("_raw", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = marked[id_col].eqNullSafe(keep["_kept_id"]) & (marked["_raw"] == keep["_kept_raw"])
-    found = marked.join(keep, same, "left_semi").dropDuplicates([id_col, "_raw"])
+    keep = stage(keep.select(keyed(F.col("id")).alias("_kept_id"), F.col("raw").alias("_kept_raw")), "kept")
+    marked = docs.withColumn("_id", keyed(F.col(id_col)))
+    marked = marked.withColumn("_raw", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = (marked["_id"] == keep["_kept_id"]) & (marked["_raw"] == keep["_kept_raw"])
+    found = marked.join(keep, same, "left_semi").dropDuplicates(["_id", "_raw"])
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitledger.llm.exact_dedup import keyed
 from visitledger.llm.runs import chunks
 from visitledger.llm.shingles import min_hashes, set_keys, shingle_sets
 from visitledger.sources.staging import stage
@@ -368,8 +369,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = stage(jaccard_classes(docs, id_col, text_col, threshold), "near-classes")
     worded = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("id", "row")).alias("keep"))
     keep = worded.select("keep.id", "keep.row").union(found.where("n_shingles = 0").select("id", "row"))
-    keep = stage(keep.distinct(), "near-kept").select(F.col("id").alias("_kept_id"), F.col("row").alias("_kept_row"))
+    keep = stage(keep.distinct(), "near-kept").select(keyed(F.col("id")).alias("_kept_id"), F.col("row").alias("_kept_row"))
     hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    same = hashed[id_col].eqNullSafe(keep["_kept_id"]) & (hashed["_row"] == keep["_kept_row"])
-    thinned = hashed.join(keep, same, "left_semi").dropDuplicates([id_col, "_row"])
+    hashed = hashed.withColumn("_id", keyed(F.col(id_col)))
+    same = (hashed["_id"] == keep["_kept_id"]) & (hashed["_row"] == keep["_kept_row"])
+    thinned = hashed.join(keep, same, "left_semi").dropDuplicates(["_id", "_row"])
     return thinned.select(*[F.col(f"`{c}`") for c in docs.columns])

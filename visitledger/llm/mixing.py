@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitledger.llm.exact_dedup import keyed
 from visitledger.sources.staging import stage
 
 #: Weight of the first, second, ... source, repeating, and how each one's rate
@@ -174,11 +175,15 @@ def mixed_documents(
     copies = stage(
         copies.groupBy("id", "row_hash", "size").agg(F.collect_list("copy").alias("copies")), "mix-copies"
     ).select(
-        F.col("id").alias("_id"), F.col("row_hash").alias("_row_hash"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
+        keyed(F.col("id")).alias("_mixed_id"),
+        F.col("row_hash").alias("_row_hash"),
+        F.col("size").alias("_size"),
+        F.col("copies").alias("_copies"),
     )
     hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    same = hashed[id_col].eqNullSafe(copies["_id"]) & (hashed["_row"] == copies["_row_hash"])
-    found = hashed.join(copies, same).dropDuplicates([id_col, "_row"]).withColumn("_copy", F.explode("_copies"))
+    hashed = hashed.withColumn("_id", keyed(F.col(id_col)))
+    same = (hashed["_id"] == copies["_mixed_id"]) & (hashed["_row"] == copies["_row_hash"])
+    found = hashed.join(copies, same).dropDuplicates(["_id", "_row"]).withColumn("_copy", F.explode("_copies"))
     starts = F.split(F.regexp_replace(text_col, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = F.array_join(F.slice(starts, F.lit(1), F.col("_copy.words").cast("int")), "")
     text = F.when(F.col("_copy.words") < F.col("_size"), cut).otherwise(F.col(text_col))

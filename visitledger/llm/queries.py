@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from visitledger.llm.language import fit, held_out, identify
 from visitledger.llm.mixing import mixing_plan
 from visitledger.llm.packing import pack
 from visitledger.llm.quality import score_quality
+from visitledger.llm.repeats import remove_repeats
 from visitledger.llm.sharding import assign_shards
 from visitledger.llm.spots import fingerprint, fingerprints
 from visitledger.llm.warc import round_trip
@@ -20,6 +22,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(documents(spark, sf_dir))
     taken = F.aggregate(F.transform("copies", lambda c: c["words"]), F.lit(0).cast("long"), lambda a, b: a + b)
@@ -98,6 +110,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
@@ -107,4 +120,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
