@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from visitledger.llm.exact_dedup import drop_copies
 from visitledger.llm.jaccard import drop_near_copies
@@ -16,7 +15,7 @@ from visitledger.sources.staging import stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are probably of low quality."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels).where("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score_quality(docs, labels).where("keep").select("doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

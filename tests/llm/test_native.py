@@ -1,0 +1,211 @@
+"""Exact dedup, mixing, sharding and fingerprints against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.compare import differences, duck
+from tests.llm.tables import DOCS, doc, frame, odd_docs, words, write
+from visitledger.llm import exact_dedup, mixing, sharding, spots
+from visitledger.llm.oracle import ORACLE
+from visitledger.llm.queries import QUERIES
+
+_FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def _copies(rng):
+    rows = [doc(i, " ".join(words(rng, rng.randrange(1, 6), 4))) for i in range(300)]
+    return rows + [doc(1000 + i, "One Hot Text") for i in range(150)]
+
+
+@pytest.mark.parametrize("runs", [1, 5, 64])
+def test_exact_dedup(spark, runs, monkeypatch):
+    monkeypatch.setattr(exact_dedup.merge_runs, "__defaults__", (runs, 4))
+    rows = _copies(random.Random(1)) + odd_docs()
+    got = exact_dedup.exact_dedup(frame(spark, rows).repartition(7)).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[hashlib.sha256((r[1] or "").translate(_FOLD).encode()).digest()].append(r[0])
+    assert Counter((r["id"], bytes(r["digest"])) for r in got) == Counter((i, k) for k, v in groups.items() for i in v)
+    for r in got:
+        ids = groups[bytes(r["digest"])]
+        assert r["group_size"] == len(ids)
+        assert r["keep_id"] == max((i for i in ids if i is not None), default=None)
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len(groups) and all(r["id"] == r["keep_id"] for r in kept)
+
+
+def test_drop_copies_keeps_columns(spark):
+    rows = [(*r, "x", 1, {"a": 1}) for r in odd_docs()]
+    docs = frame(spark, rows, DOCS + ", digest string, id int, row map<string, int>")
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    assert len({(r["text"] or "").translate(_FOLD) for r in got.collect()}) == got.count()
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def _filled(sizes, weights, total):
+    targets, left = {}, dict(weights)
+    while left:
+        share = {s: total * w / sum(left.values()) for s, w in left.items()}
+        over = [s for s in left if share[s] > 3 * sizes[s]]
+        if not over:
+            return targets | share
+        for s in over:
+            targets[s] = 3 * sizes[s]
+            total -= targets[s]
+            del left[s]
+    return targets
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing(spark, seed):
+    rng = random.Random(seed)
+    names = [None, "Z", "a", "b", "é", "hot", "tiny"][: rng.randrange(2, 8)]
+    rows = [
+        doc(i, " ".join(words(rng, rng.randrange(0, 40))), source=rng.choice(names) if rng.random() > 0.4 else names[-1])
+        for i in range(200)
+    ]
+    rows += [doc(900, "just once", source="zz"), *odd_docs()]
+    plan = mixing.mixing_plan(frame(spark, rows)).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    want = _filled(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, sum(sizes.values()))
+    taken = Counter()
+    for r in plan:
+        words_taken = sum(c["words"] for c in r["copies"])
+        assert words_taken <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert all(0 <= c["position"] <= 1 for c in r["copies"])
+        taken[r["source"]] += words_taken
+    assert len(plan) == len(rows)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_mixed_documents_follow_the_plan(spark):
+    rows = [(*doc(i, f"a{i} b\tc  d\ne{i}", source="ab"[i % 5 == 0]), "x") for i in range(60)] + [(*r, "y") for r in odd_docs()]
+    docs = frame(spark, rows, DOCS + ", copies string")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    taken = Counter()
+    for r in got.collect():
+        taken[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+        assert any(x[0] == r["doc_id"] and (x[1] or "").strip().startswith(r["text"].strip()) for x in rows)
+    plan = mixing.mixing_plan(docs).select("source", F.explode("copies").alias("c")).groupBy("source").agg(F.sum("c.words"))
+    assert dict(taken) == {r[0]: r[1] for r in plan.collect()}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_curriculum_shifts_the_sources(spark):
+    rows = [doc(i, "w " * 10, source="abc"[i % 3]) for i in range(300)]
+    plan = mixing.mixing_plan(frame(spark, rows)).select("source", F.explode("copies").alias("c"))
+    mean = {r[0]: r[1] for r in plan.groupBy("source").agg(F.avg("c.position")).collect()}
+    assert mean["a"] < mean["b"] < mean["c"]  # the heavy source fades, the light one grows
+
+
+def test_lookup_table_is_even_and_stable():
+    shards = [f"s{i}" for i in range(7)]
+    table = sharding.lookup_table(shards, 503)
+    share = Counter(table)
+    assert max(share.values()) - min(share.values()) <= 1 and len(share) == 7
+    fewer = sharding.lookup_table(shards[:-1], 503)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != 6)
+    assert moved < 503 * 0.15
+    for wrong in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(wrong, 503)
+    with pytest.raises(ValueError):
+        sharding.lookup_table(shards, 504)
+    assert set(sharding.lookup_table(["only"], 2)) == {0}
+
+
+def test_sharding(spark, tmp_path):
+    rows = odd_docs() + [doc(i, "x") for i in range(100, 2000)]
+    table = sharding.lookup_table()
+    got = QUERIES["op7_sharding"](spark, write(spark, tmp_path, documents=frame(spark, rows))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % sharding.SLOTS
+        assert (r["slot"], r["shard"]) == (slot, sharding.SHARDS[table[slot]])
+    docs = frame(spark, [(1, "s", 5)], "doc_id long, shard string, slot int")
+    assert sharding.assign_shards(docs).first()["doc"]["shard"] == "s"
+    assert sharding.assign_shards(docs.limit(0)).count() == 0
+
+
+def _spots(text):
+    plain = re.sub(r"[\W_]+", " ", text.lower()).strip()
+    found, tokens, anchors = set(), plain.split(" ") if plain else [], set(spots.ANCHORS)
+    content = [(i, w) for i, w in enumerate(tokens) if w not in anchors]
+    place = {i: k for k, (i, _) in enumerate(content)}
+    for i, w in enumerate(tokens):
+        if w in anchors and i + 1 in place and place[i + 1] + 1 < len(content):
+            k = place[i + 1]
+            found.add(f"{w} {content[k][1]} {content[k + 1][1]}")
+        if i in place and all(i + j in place for j in range(4)):
+            found.add(" ".join(tokens[i : i + 4]))
+    return found or ({plain} if plain else {text} if text else set())
+
+
+def test_spot_signatures(spark):
+    rng = random.Random(3)
+    pool = [*spots.ANCHORS[:12], *words(rng, 30)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 25))) for _ in range(150)] + ["", "!!", "The", "cat", "the the cat"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", spots.spot_signatures(F.col("text")).alias("s")).collect()
+    every = sorted({x for t in texts for x in _spots(t)})
+    hashes = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in every], "x string").select("x", F.hash("x")).collect()}
+    for r in got:
+        assert list(r["s"]) == sorted({hashes[x] for x in _spots(r["text"])}), r["text"]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_fingerprints(spark, parts):
+    rng = random.Random(9)
+    rows = [doc(i, " ".join(rng.choice(["the", "of", *words(rng, 3)]) for _ in range(rng.randrange(40)))) for i in range(40)]
+    rows += [r for r in odd_docs() if r[0] not in range(40)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
+    try:
+        got = spots.fingerprints(frame(spark, rows).repartition(parts)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len(rows)
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0])
+    by_id = {r["id"]: r for r in got if r["id"] is not None}
+    for here, after in zip(known, known[1:]):
+        text, following, r = here[1] or "", after[1] or "", by_id[here[0]]
+        n = len(text) // 3
+        assert r["edited"] == text[: len(text) - n] + following[:n]
+        a, b, c = (set(x) for x in (r["signatures"], r["edited_signatures"], by_id[after[0]]["signatures"]))
+        assert r["near_edited"] == pytest.approx(_like(a, b)) and r["near_next"] == pytest.approx(_like(a, c))
+
+
+def _like(a, b):
+    if not a and not b:
+        return 1.0
+    return 0.0 if min(len(a), len(b)) < spots.LEAST * max(len(a), len(b)) else len(a & b) / len(a | b)
+
+
+def test_fingerprints_close_the_circle(spark):
+    one = spots.fingerprints(frame(spark, [doc(1, "abcdef")])).first()
+    assert one["edited"] == "abcdab" and one["near_next"] == 1.0
+    two = {r["id"]: r["edited"] for r in spots.fingerprints(frame(spark, [doc(1, "abc"), doc(2, "xyz")])).collect()}
+    assert two == {2: "xya", 1: "abx"}
+    assert spots.fingerprints(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_mixing", "op4_exact_dedup"])
+def test_against_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duck(folder)
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    assert differences(QUERIES[name](spark, folder), con, ORACLE[name]) == []

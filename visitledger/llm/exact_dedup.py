@@ -24,6 +24,16 @@ def keyed(id_col: Column) -> Column:
     return F.coalesce(id_col.cast("string"), F.lit("null"))
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that no name of theirs meets ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row but maps, which have no order."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One narrow row per document: id, row, raw, digest, n_bytes.
 
@@ -107,8 +117,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keep = exact_dedup(docs, id_col, text_col).where("kept")
     keep = stage(keep.select(keyed(F.col("id")).alias("_kept_id"), F.col("raw").alias("_kept_raw")), "kept")
-    marked = docs.withColumn("_id", keyed(F.col(id_col)))
-    marked = marked.withColumn("_raw", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = (marked["_id"] == keep["_kept_id"]) & (marked["_raw"] == keep["_kept_raw"])
-    found = marked.join(keep, same, "left_semi").dropDuplicates(["_id", "_raw"])
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.select(whole(docs), keyed(F.col(id_col)).alias("id"), raw.alias("raw"))
+    same = (marked["id"] == keep["_kept_id"]) & (marked["raw"] == keep["_kept_raw"])
+    return marked.join(keep, same, "left_semi").dropDuplicates(["id", "raw"]).select("doc.*")

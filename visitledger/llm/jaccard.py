@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitledger.llm.exact_dedup import keyed
+from visitledger.llm.exact_dedup import keyed, row_hash, whole
 from visitledger.llm.runs import chunks
 from visitledger.llm.shingles import min_hashes, set_keys, shingle_sets
 from visitledger.sources.staging import stage
@@ -323,7 +323,7 @@ def jaccard_classes(
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        row_hash(docs).alias("row"),
         F.col(text_col).alias("text"),
     )
     read = stage(_set_rows(rows), "jaccard-rows")
@@ -370,8 +370,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     worded = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("id", "row")).alias("keep"))
     keep = worded.select("keep.id", "keep.row").union(found.where("n_shingles = 0").select("id", "row"))
     keep = stage(keep.distinct(), "near-kept").select(keyed(F.col("id")).alias("_kept_id"), F.col("row").alias("_kept_row"))
-    hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    hashed = hashed.withColumn("_id", keyed(F.col(id_col)))
-    same = (hashed["_id"] == keep["_kept_id"]) & (hashed["_row"] == keep["_kept_row"])
-    thinned = hashed.join(keep, same, "left_semi").dropDuplicates(["_id", "_row"])
-    return thinned.select(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = docs.select(whole(docs), keyed(F.col(id_col)).alias("id"), row_hash(docs).alias("row"))
+    same = (hashed["id"] == keep["_kept_id"]) & (hashed["row"] == keep["_kept_row"])
+    return hashed.join(keep, same, "left_semi").dropDuplicates(["id", "row"]).select("doc.*")

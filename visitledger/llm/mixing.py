@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitledger.llm.exact_dedup import keyed
+from visitledger.llm.exact_dedup import keyed, row_hash, whole
 from visitledger.sources.staging import stage
 
 #: Weight of the first, second, ... source, repeating, and how each one's rate
@@ -109,7 +109,7 @@ def mixing_plan(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"),
+        row_hash(docs).alias("row_hash"),
         F.md5(F.col(id_col).cast("string")).alias("key"),
     )
     slice_of = F.coalesce(F.conv(F.substring("key", 1, 3), 16, 10).cast("int"), F.lit(0))
@@ -172,21 +172,15 @@ def mixed_documents(
     plan = mixing_plan(docs, id_col, text_col, source_col)
     copies = plan.select("id", "row_hash", "size", F.explode("copies").alias("copy"))
     # equal rows have one hash: together they offer all their copies to one of them
-    copies = stage(
-        copies.groupBy("id", "row_hash", "size").agg(F.collect_list("copy").alias("copies")), "mix-copies"
-    ).select(
-        keyed(F.col("id")).alias("_mixed_id"),
-        F.col("row_hash").alias("_row_hash"),
-        F.col("size").alias("_size"),
-        F.col("copies").alias("_copies"),
-    )
-    hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    hashed = hashed.withColumn("_id", keyed(F.col(id_col)))
-    same = (hashed["_id"] == copies["_mixed_id"]) & (hashed["_row"] == copies["_row_hash"])
-    found = hashed.join(copies, same).dropDuplicates(["_id", "_row"]).withColumn("_copy", F.explode("_copies"))
-    starts = F.split(F.regexp_replace(text_col, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(starts, F.lit(1), F.col("_copy.words").cast("int")), "")
-    text = F.when(F.col("_copy.words") < F.col("_size"), cut).otherwise(F.col(text_col))
-    order = ["_copy.position", id_col, "_row", "_copy.pass"]
-    ordered = found.withColumn(text_col, text).repartitionByRange(*order).sortWithinPartitions(*order)
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = stage(copies.groupBy("id", "row_hash", "size").agg(F.collect_list("copy").alias("copies")), "mix-copies")
+    copies = copies.select(keyed(F.col("id")).alias("mixed_id"), F.col("row_hash").alias("mixed_hash"), "size", "copies")
+    hashed = docs.select(whole(docs), keyed(F.col(id_col)).alias("id"), row_hash(docs).alias("row_hash"))
+    found = hashed.join(copies, (hashed["id"] == copies["mixed_id"]) & (hashed["row_hash"] == copies["mixed_hash"]))
+    found = found.dropDuplicates(["id", "row_hash"]).withColumn("copy", F.explode("copies"))
+    text = F.col("doc").getField(text_col)
+    starts = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(starts, F.lit(1), F.col("copy.words").cast("int")), "")
+    text = F.when(F.col("copy.words") < F.col("size"), cut).otherwise(text)
+    order = ["copy.position", "id", "row_hash", "copy.pass"]
+    ordered = found.withColumn("doc", F.col("doc").withField(text_col, text)).repartitionByRange(*order)
+    return ordered.sortWithinPartitions(*order).select("doc.*")

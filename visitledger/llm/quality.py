@@ -8,6 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitledger.llm.exact_dedup import whole
 from visitledger.sources.staging import stage
 
 #: Values a feature is binned into, and what is added to each bin's counts.
@@ -142,7 +143,7 @@ def score_quality(
     host_col: str = "source",
     path_col: str = "lang",
 ) -> DataFrame:
-    """`docs` with `_evidence`, `_host_rate`, `_path_rate`, `_quality` and `_keep`.
+    """Each row as doc, a struct of its columns, with evidence, host_rate, path_rate, quality, keep.
 
     A naive Bayes classifier over binned features, fitted on `labels` (id_col,
     quality), gives each document's evidence. Its site gives the prior: the
@@ -162,27 +163,20 @@ def score_quality(
     rate = known.agg(F.avg("quality")).first()[0]
     prior = min(max(0.5 if rate is None else float(rate), 1e-3), 1 - 1e-3)
 
-    def scored(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_evidence", evidence.column(features(F.col(text_col))))
-
-    narrow = scored(docs.select(text_col, host_col, path_col))
-    narrow = narrow.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col("_evidence").alias("evidence"))
-    sites = stage(site_posteriors(narrow, prior), "quality-sites").select(
-        F.col("host").alias("_host"),
-        F.col("path").alias("_path"),
-        F.col("path_n").alias("_path_n"),
-        F.col("path_sum").alias("_path_sum"),
-        F.col("host_rate").alias("_host_rate"),
-        F.col("path_strength").alias("_path_strength"),
-    )
-    own = _sigmoid(F.col("_evidence") + F.lit(log(prior / (1 - prior))))
-    others = F.greatest(F.col("_path_sum") - own, F.lit(0.0)) + F.col("_path_strength") * F.col("_host_rate")
-    joined = scored(docs).join(
-        sites, F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path")), "left"
+    scored = docs.select(
+        whole(docs),
+        F.col(host_col).alias("host"),
+        F.col(path_col).alias("path"),
+        evidence.column(features(F.col(text_col))).alias("evidence"),
     )
+    sites = stage(site_posteriors(scored.select("host", "path", "evidence"), prior), "quality-sites")
+    sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
+    own = _sigmoid(F.col("evidence") + F.lit(log(prior / (1 - prior))))
+    others = F.greatest(F.col("path_sum") - own, F.lit(0.0)) + F.col("path_strength") * F.col("host_rate")
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
     return (
-        joined.withColumn("_path_rate", others / (F.col("_path_n") - 1 + F.col("_path_strength")))
-        .withColumn("_quality", _sigmoid(F.col("_evidence") + _logit(F.col("_path_rate"))))
-        .withColumn("_keep", F.col("_quality") >= THRESHOLD)
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "_evidence", "_host_rate", "_path_rate", "_quality", "_keep")
+        joined.withColumn("path_rate", others / (F.col("path_n") - 1 + F.col("path_strength")))
+        .withColumn("quality", _sigmoid(F.col("evidence") + _logit(F.col("path_rate"))))
+        .withColumn("keep", F.col("quality") >= THRESHOLD)
+        .select("doc", "evidence", "host_rate", "path_rate", "quality", "keep")
     )

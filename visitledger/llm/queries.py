@@ -48,12 +48,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select(
-        "doc_id",
-        F.col("_evidence").alias("evidence"),
-        F.col("_host_rate").alias("host_rate"),
-        F.col("_path_rate").alias("path_rate"),
-        F.col("_quality").alias("quality_score"),
-        F.col("_keep").alias("keep"),
+        "doc.doc_id", "evidence", "host_rate", "path_rate", F.col("quality").alias("quality_score"), "keep"
     )
 
 
@@ -86,7 +81,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(documents(spark, sf_dir))
-    return placed.select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return placed.select("doc.doc_id", "slot", "shard")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitledger.llm.exact_dedup import whole
+
 #: Slots of the lookup table, a prime. It bounds what is broadcast.
 SLOTS = 65_537
 #: Names of the shards of the registered query.
@@ -66,14 +68,13 @@ def shard_table(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int
 def assign_shards(
     docs: DataFrame, id_col: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS
 ) -> DataFrame:
-    """`docs` with `_slot` and `_shard`, found by id in one lookup per row.
+    """Each row of `docs` as doc, a struct of its columns, with slot and shard.
 
-    The table has `slots` rows whatever the size of `docs`, so it is broadcast;
-    the documents do not move. Rows with equal ids share a shard; null and empty
-    ids share one as well. No column but the id matters, and columns named slot
-    or shard are left alone. An empty table gives an empty result.
+    One lookup by id per row. The table has `slots` rows whatever the size of
+    `docs`, so it is broadcast; the documents do not move. Rows with equal ids
+    share a shard; null and empty ids share one as well. No column but the id
+    matters. An empty table gives an empty result.
     """
     table = shard_table(docs.sparkSession, shards, slots)
-    table = table.select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    placed = docs.withColumn("_slot", slot_of(F.col(id_col), slots))
-    return placed.join(F.broadcast(table), "_slot").select(*[F.col(f"`{c}`") for c in docs.columns], "_slot", "_shard")
+    placed = docs.select(whole(docs), slot_of(F.col(id_col), slots).alias("slot"))
+    return placed.join(F.broadcast(table), "slot").select("doc", "slot", "shard")
