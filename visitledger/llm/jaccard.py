@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -29,6 +30,7 @@ FREQUENT = 1 << 17
 CHUNK = 2 << 20
 
 
+@lru_cache
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
     """After n compared MinHash values, the fewest matches a pair needs to go on.
 
@@ -186,90 +188,118 @@ def _signatures(docs: DataFrame, involved: DataFrame) -> DataFrame:
     return stage(found.join(involved.select("key", "copies", "node", "block"), "key"), "jaccard-sets")
 
 
-def _decoded(column: pd.Series, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column]
+def hopeful(keys: list[bytes], sizes: np.ndarray, hashes: np.ndarray, split: int, threshold: float) -> dict[bytes, bytes]:
+    """Pairs that MinHash leaves open, among all sets or, with `split`, across it.
 
-
-def hopeful(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Pairs among `left`, or between `left` and `right`, that MinHash leaves open.
-
-    Both have key, size and hashes. Pairs whose sizes rule them out go first; then
-    STEP values at a time are compared, and a pair is dropped as soon as it has
-    fewer matches than `least_matches` asks for. Returns a row for each set with
-    an open pair: key, and partners, the keys of its open pairs one after the
-    other, each pair being listed once.
+    Pairs whose sizes rule them out go first; then STEP values at a time are
+    compared, and a pair is dropped as soon as it has fewer matches than
+    `least_matches` asks for. Returns the partners of each set with an open pair,
+    their keys one after the other; each pair is listed with one of its sets.
     """
-    both = left if right is None else pd.concat([left, right], ignore_index=True)
-    hashes, sizes, n = np.stack(_decoded(both["hashes"], np.uint32)), both["size"].to_numpy(np.int64), len(both)
-    split = 0 if right is None else len(left)
-    rows, columns = sizes[: split or n], sizes[split:]
+    rows, columns = sizes[: split or len(sizes)], sizes[split:]
     fit = np.minimum.outer(rows, columns) >= threshold * np.maximum.outer(rows, columns) - 1e-9
     a, b = np.nonzero(fit if split else np.triu(fit, 1))
     b = b + split
     matches = np.zeros(len(a), np.int64)
     for upto, least in least_matches(threshold).items():
+        if not len(a):
+            return {}
         part = slice(upto - STEP, upto)
         for at in range(0, len(a), 1 << 16):
             some = slice(at, at + (1 << 16))
             matches[some] += (hashes[a[some], part] == hashes[b[some], part]).sum(axis=1)
         on = matches >= least
         a, b, matches = a[on], b[on], matches[on]
-    keys = both["key"].to_numpy()
-    partners = {i: b"".join(keys[b[a == i]]) for i in np.unique(a)}
-    some = np.union1d(a, b)
-    return pd.DataFrame({"key": keys[some], "partners": [partners.get(i, b"") for i in some]})
+    found = {keys[i]: b"" for i in np.union1d(a, b)}
+    for i in np.unique(a):
+        found[keys[i]] = b"".join(keys[j] for j in b[a == i])
+    return found
 
 
-def verified(found: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Links among the open pairs of `found` (key, partners, copies, shingles).
+def verified(keys: list[bytes], partners: list[bytes], copies: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple]:
+    """Links among open pairs: key, links and root of each linked set.
 
-    Returns key, links (documents behind the partners) and root, the smallest key
-    it is connected to here, for each linked set.
+    links counts the documents behind its partners; root is the smallest key it is
+    connected to here.
     """
-    found = found.sort_values("key", ignore_index=True)
-    keys, copies = found["key"].to_numpy(), found["copies"].to_numpy(np.int64)
-    place, sets = {k: i for i, k in enumerate(keys)}, _decoded(found["shingles"], np.uint64)
-    a, b = [], []
-    for i, partners in enumerate(found["partners"]):
-        for at in range(0, len(partners), 16):
-            j = place[partners[at : at + 16]]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    place, a, b = {keys[i]: k for k, i in enumerate(order)}, [], []
+    for i, theirs in enumerate(partners):
+        for at in range(0, len(theirs), 16):
+            j = order[place[theirs[at : at + 16]]]
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if common >= threshold * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
-                a.append(i)
-                b.append(j)
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    links = np.bincount(a, copies[b], len(keys)) + np.bincount(b, copies[a], len(keys))
-    root, before = np.arange(len(keys)), None
+                a.append(place[keys[i]])
+                b.append(place[keys[j]])
+    many, root, before = copies[order], np.arange(len(keys)), None
+    links = np.zeros(len(keys), np.int64)
+    np.add.at(links, a, many[b])
+    np.add.at(links, b, many[a])
     while before is None or (root != before).any():  # the smallest key spreads along the links
         before = root.copy()
         np.minimum.at(root, a, before[b])
         np.minimum.at(root, b, before[a])
-    some = np.union1d(a, b).astype(np.int64)
-    return pd.DataFrame({"key": keys[some], "links": links[some].astype(np.int64), "root": keys[root[some]]})
+    return [(keys[order[i]], int(links[i]), keys[order[root[i]]]) for i in sorted({*a, *b})]
+
+
+def _by_group(work: Callable[[dict[str, list]], list[tuple]], schema: pa.Schema) -> Callable:
+    """`work` on each run of rows with equal `at`, for batches sorted by it."""
+
+    def decided(rows: pa.RecordBatch) -> pa.RecordBatch:
+        at, columns, found = rows.column("at").to_numpy(), rows.to_pydict(), []
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for start, end in zip(cuts, cuts[1:]):
+            found += work({k: v[start:end] for k, v in columns.items()})
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(schema), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # of the group that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("at").to_numpy()
+            if rest and rest[0].column("at")[0].as_py() != at[0]:
+                yield decided(pa.concat_batches(rest))
+                rest = []
+            last = int(np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))[-1])
+            if last:
+                yield decided(pa.concat_batches([*rest, batch.slice(0, last)]))
+                rest = []
+            rest.append(batch.slice(last))
+        if rest:
+            yield decided(pa.concat_batches(rest))
+
+    return run
+
+
+_OPEN = pa.schema([("key", pa.binary()), ("partners", pa.binary()), ("at", pa.int64())])
+_LINKS = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
 
 def _links(sets: DataFrame, across: DataFrame, threshold: float) -> DataFrame:
     """Partial link counts and connections of every block and pair of blocks: key, links, root."""
 
-    def prune(found: pd.DataFrame) -> pd.DataFrame:
-        first = found["first"].to_numpy(bool)
-        left, right = found[first], found[~first]
-        inside = found["inside"].iloc[0]
-        if len(found) < 2 or not inside and (len(left) == 0 or len(right) == 0):
-            return pd.DataFrame({"key": [], "partners": [], "at": []})
-        return hopeful(left, None if inside else right, threshold).assign(at=found["at"].iloc[0])
+    def prune(rows: dict[str, list]) -> list[tuple]:
+        split = 0 if rows["inside"][0] else sum(rows["first"])
+        if len(rows["key"]) < 2 or not rows["inside"][0] and split in (0, len(rows["key"])):
+            return []
+        hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint32).reshape(-1, HASHES)
+        found = hopeful(rows["key"], np.array(rows["size"], np.int64), hashes, split, threshold)
+        return [(key, partners, rows["at"][0]) for key, partners in found.items()]
+
+    def verify(rows: dict[str, list]) -> list[tuple]:
+        shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        return verified(rows["key"], rows["partners"], np.array(rows["copies"], np.int64), shingles, threshold)
 
     narrow = sets.select("node", "key", "size", "hashes", "block")
     inside = narrow.select(F.xxhash64("block").alias("at"), F.lit(True).alias("first"), F.lit(True).alias("inside"), "key", "size", "hashes")
     between = across.join(narrow, "node").select(
         F.xxhash64("pair").alias("at"), "first", F.lit(False).alias("inside"), "key", "size", "hashes"
     )
-    open_pairs = [
-        members.groupBy("at").applyInPandas(prune, "key binary, partners binary, at long") for members in (inside, between)
-    ]
-    found = stage(open_pairs[0].unionByName(open_pairs[1]), "jaccard-open")
-    shingles = found.join(sets.select("key", "copies", "shingles"), "key")
-    return shingles.groupBy("at").applyInPandas(lambda rows: verified(rows, threshold), "key binary, links long, root binary")
+    members = inside.unionByName(between).repartition("at").sortWithinPartitions("at", F.desc("first"))
+    found = stage(members.mapInArrow(_by_group(prune, _OPEN), "key binary, partners binary, at long"), "jaccard-open")
+    shingles = found.join(sets.select("key", "copies", "shingles"), "key").repartition("at").sortWithinPartitions("at")
+    return shingles.mapInArrow(_by_group(verify, _LINKS), "key binary, links long, root binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
