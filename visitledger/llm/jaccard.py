@@ -126,13 +126,13 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their block, and the nodes to compare in each numbered pair of blocks.
+    """Nodes with their block, and the nodes to compare in each pair of blocks, numbered `at`.
 
     Candidates share a shingle and have sizes of one or of neighbouring classes,
     a class reaching from one size to 1 / threshold times that. A node's leader is
     the smallest of its candidates, so near copies fall into one block; a leader
-    with many followers gets several. In a block everything is compared (pair
-    null), between two blocks what shares a shingle.
+    with many followers gets several. In a block everything is compared, between
+    two blocks what shares a shingle.
     """
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
     shared = stage(_shared(postings, "shingle").drop("low"), "jaccard-shared")
@@ -140,9 +140,8 @@ def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     shared = stage(_shared(classed, "shingle", "class"), "jaccard-classed")
     nodes = stage(shared.groupBy("node").agg(F.min("low").alias("leader")), "jaccard-nodes")
     split = nodes.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    nodes = nodes.join(split, "leader").select(
-        "node", F.struct("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).alias("block")
-    )
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    nodes = nodes.join(split, "leader").select("node", F.xxhash64("leader", part).alias("block"))
     nodes = stage(nodes, "jaccard-blocks")
     placed = stage(shared.drop("low").join(nodes, "node"), "jaccard-placed")
     seen = stage(placed.select("shingle", "class", "block").distinct(), "jaccard-seen")
@@ -155,37 +154,28 @@ def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     meeting = stage(meeting, "jaccard-meeting")
     sides = meeting.select("shingle", "class", "pair", F.explode(F.array("pair.left", "pair.right")).alias("block"))
     across = sides.join(placed, ["shingle", "class", "block"]).select("pair", "block", "node").distinct()
-    return nodes, stage(across.select("pair", (F.col("block") == F.col("pair.left")).alias("first"), "node"), "jaccard-pairs")
+    across = across.select(F.xxhash64("pair").alias("at"), (F.col("block") == F.col("pair.left")).alias("first"), "node")
+    return nodes, stage(across, "jaccard-pairs")
 
 
-def _signatures(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """The sets of `involved` (rep, key, copies, node, block) with MinHash values and shingles."""
+def _signatures(texts: DataFrame) -> DataFrame:
+    """MinHash values of the sets of `texts` (key, node, block, copies, text): key, node, block, size, hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches, 1):
-            owner, found = shingle_sets(texts)
-            keys, sizes = set_keys(owner, found, len(texts))
-            wanted = batch.column(0).to_pylist()
-            starts = np.cumsum(sizes) - sizes
-            rows = [i for i, k in enumerate(keys) if k and k == wanted[i]]
+        for batch, part in _texts(batches, 3):
+            owner, found = shingle_sets(part)
+            keys, sizes = set_keys(owner, found, len(part))
+            rows = [i for i, key in enumerate(batch.column(0).to_pylist()) if key == keys[i]]  # others only share the id
             if not rows:
                 continue
             inside = np.isin(owner, rows)
-            cut = np.searchsorted(owner[inside], rows)
-            values = min_hashes(found[inside], cut, HASHES)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([keys[i] for i in rows], pa.binary()),
-                    pa.array(sizes[rows]),
-                    pa.array([v.tobytes() for v in values], pa.binary()),
-                    pa.array([found[starts[i] : starts[i] + sizes[i]].tobytes() for i in rows], pa.binary()),
-                ],
-                ["key", "size", "hashes", "shingles"],
-            )
-
-    texts = docs.join(involved.select("rep", "key"), docs["id"].eqNullSafe(involved["rep"])).select("key", "text")
-    found = texts.mapInArrow(work, "key binary, size long, hashes binary, shingles binary").dropDuplicates(["key"])
-    return stage(found.join(involved.select("key", "copies", "node", "block"), "key"), "jaccard-sets")
+            values = min_hashes(found[inside], np.searchsorted(owner[inside], rows), HASHES)
+            named = batch.take(pa.array(rows)).select(["key", "node", "block"])
+            columns = [*named.columns, pa.array(sizes[rows]), pa.array([v.tobytes() for v in values], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "block", "size", "hashes"])
+
+    narrow = texts.select("key", "node", "block", "text")
+    return stage(narrow.mapInArrow(work, "key binary, node long, block long, size long, hashes binary"), "jaccard-sets")
 
 
 def hopeful(keys: list[bytes], sizes: np.ndarray, hashes: np.ndarray, split: int, threshold: float) -> dict[bytes, bytes]:
@@ -276,30 +266,36 @@ _OPEN = pa.schema([("key", pa.binary()), ("partners", pa.binary()), ("at", pa.in
 _LINKS = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
 
-def _links(sets: DataFrame, across: DataFrame, threshold: float) -> DataFrame:
+def _links(texts: DataFrame, across: DataFrame, threshold: float) -> DataFrame:
     """Partial link counts and connections of every block and pair of blocks: key, links, root."""
 
     def prune(rows: dict[str, list]) -> list[tuple]:
+        at = rows["at"][0]
+        chosen = sorted({key: i for i, key in enumerate(rows["key"])}.values())  # a repeated row counts once
+        rows = {k: [v[i] for i in chosen] for k, v in rows.items()}
         split = 0 if rows["inside"][0] else sum(rows["first"])
-        if len(rows["key"]) < 2 or not rows["inside"][0] and split in (0, len(rows["key"])):
+        if len(chosen) < 2 or not rows["inside"][0] and split in (0, len(chosen)):
             return []
         hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint32).reshape(-1, HASHES)
         found = hopeful(rows["key"], np.array(rows["size"], np.int64), hashes, split, threshold)
-        return [(key, partners, rows["at"][0]) for key, partners in found.items()]
+        return [(key, partners, at) for key, partners in found.items()]
 
     def verify(rows: dict[str, list]) -> list[tuple]:
-        shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        return verified(rows["key"], rows["partners"], np.array(rows["copies"], np.int64), shingles, threshold)
-
-    narrow = sets.select("node", "key", "size", "hashes", "block")
-    inside = narrow.select(F.xxhash64("block").alias("at"), F.lit(True).alias("first"), F.lit(True).alias("inside"), "key", "size", "hashes")
-    between = across.join(narrow, "node").select(
-        F.xxhash64("pair").alias("at"), "first", F.lit(False).alias("inside"), "key", "size", "hashes"
-    )
+        owner, found = shingle_sets([t or "" for t in rows["text"]])
+        keys, sizes = set_keys(owner, found, len(rows["text"]))
+        sets = np.split(found, np.cumsum(sizes)[:-1])
+        chosen = sorted({key: i for i, key in enumerate(rows["key"]) if key == keys[i]}.values())
+        key, partners = ([rows[c][i] for i in chosen] for c in ("key", "partners"))
+        copies = np.array([rows["copies"][i] for i in chosen], np.int64)
+        return verified(key, partners, copies, [sets[i] for i in chosen], threshold)
+
+    sets = _signatures(texts)
+    inside = sets.select(F.col("block").alias("at"), F.lit(True).alias("first"), F.lit(True).alias("inside"), "key", "size", "hashes")
+    between = across.join(sets, "node").select("at", "first", F.lit(False).alias("inside"), "key", "size", "hashes")
     members = inside.unionByName(between).repartition("at").sortWithinPartitions("at", F.desc("first"))
     found = stage(members.mapInArrow(_by_group(prune, _OPEN), "key binary, partners binary, at long"), "jaccard-open")
-    shingles = found.join(sets.select("key", "copies", "shingles"), "key").repartition("at").sortWithinPartitions("at")
-    return shingles.mapInArrow(_by_group(verify, _LINKS), "key binary, links long, root binary")
+    full = found.join(texts.select("key", "copies", "text"), "key").repartition("at").sortWithinPartitions("at")
+    return full.mapInArrow(_by_group(verify, _LINKS), "key binary, links long, root binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -365,9 +361,9 @@ def jaccard_classes(
     groups = stage(groups.withColumn("node", node), "jaccard-groups")
 
     nodes, across = _blocks(_postings(rows.select("text"), frequent, threshold), threshold)
-    involved = stage(groups.join(nodes, "node").select("rep", "key", "copies", "node", "block"), "jaccard-involved")
-    sets = _signatures(rows, involved)
-    found = stage(_links(sets, across, threshold), "jaccard-links")
+    involved = groups.join(nodes, "node").select("rep", "key", "copies", "node", "block")
+    texts = rows.join(involved, rows["id"].eqNullSafe(involved["rep"])).select("key", "copies", "node", "block", "text")
+    found = stage(_links(stage(texts, "jaccard-texts"), across, threshold), "jaccard-links")
     labels = connected(found.select("key", "root"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
 

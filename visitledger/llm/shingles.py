@@ -64,7 +64,6 @@ def min_hashes(found: np.ndarray, starts: np.ndarray, many: int) -> np.ndarray:
     """`many` MinHash values, uint32, of each set; one row per start."""
     values = np.empty((len(starts), many), np.uint32)
     for k in range(many):
-        salt = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64)
-        hashed = mix(found ^ salt) >> np.uint64(32)
-        values[:, k] = np.minimum.reduceat(hashed, starts)
+        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1)  # odd: the shingles' own hashes are permuted
+        values[:, k] = np.minimum.reduceat(mix(found * factor) >> np.uint64(32), starts)
     return values
