@@ -6,8 +6,9 @@ from visitledger.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cpus=8, app="visitledger-tests")
+def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("staged")
+    session = local_session(cpus=8, app="visitledger-tests", folder=str(folder))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -131,7 +131,7 @@ def test_equal_claim_rows_are_one(spark):
 def test_a_stale_version_can_win_and_then_be_dropped(spark):
     """The older version takes the day, the newer one covers no visit and stays.
 
-    The newest version is kept afterwards, so the day ends up unbilled.
+    The newest version is kept afterwards, so the day stays open.
     """
     found = claims(
         spark,
@@ -144,7 +144,7 @@ def test_a_stale_version_can_win_and_then_be_dropped(spark):
     assert billed_visits(visits, paid_periods(counted)).count() == 0
 
 
-def test_unpaid_winner_leaves_the_day_unbilled(spark):
+def test_unpaid_winner_leaves_the_day_open(spark):
     found = claims(
         spark,
         claim("unpaid", billed="2024-02-01", anticipated_payment=None),

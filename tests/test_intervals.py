@@ -125,7 +125,7 @@ def test_plans_without_pairing_whole_keys(spark, no_broadcast):
     _, _, left, right = _frames(spark, 0)
     plan = explained(interval_left_join(left, right, take=["j"], **ARGS))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert "__tile" in plan
+    assert "__block" in plan and "ScalarSubquery" not in plan and "Subquery" not in plan
     # Existence needs no join of points with spans at all, only the way back.
     assert explained(cover_semi(left, right, **ARGS)).count("SortMergeJoin") == 1
 
@@ -153,3 +153,21 @@ def test_hot_key_makes_no_more_pairs(spark, share):
     assert most <= 1000
     if share:
         assert got.where("k = -1").count() == 1000
+
+
+@pytest.mark.parametrize("hi", ["date_add(d, 599)", "DATE '9999-12-31'", "date_add(d, cast(5000 + id % 900 as int))"])
+def test_long_spans_meet_only_the_points_inside(spark, hi):
+    """One key, many days, long and open spans: the join's output is the hits."""
+    from visitledger.operators import intervals
+
+    days = spark.range(400).select(F.lit("k").alias("__k0"), F.expr("date_add(DATE '1995-06-30', cast(id * 5 as int))").alias("__at"))
+    spans = spark.range(300).select("id", F.lit("k").alias("__k0"), F.expr("date_add(DATE '1994-01-01', cast(id * 7 as int))").alias("d"))
+    spans = spans.select("__k0", F.col("d").alias("__lo"), F.expr(hi).alias("__hi"))
+    pairs = intervals._in_blocks(days, spans, ["__k0"])
+    inside = days.join(spans, "__k0").where(F.col("__at").between(F.col("__lo"), F.col("__hi")))
+    assert pairs.count() == inside.count() > 0
+    assert "Filter" not in explained(pairs).split("Join")[0]
+    blocks = spans.withColumns({"__from": F.unix_date("__lo"), "__to": F.unix_date("__hi") + 1}).select(
+        F.expr(f"size(concat({', '.join(intervals._cut(n) for n in range(intervals.LEVELS))}))").alias("n")
+    )
+    assert blocks.agg(F.max("n")).first()[0] <= 14 * intervals.LEVELS

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
-from datetime import date
+import random
+from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.frames import at, explained, frame, rows
@@ -53,3 +55,60 @@ def test_rows_are_thinned_before_the_shuffle(spark):
     plan = explained(latest_per_key(df, ["l_orderkey"], "l_shipdate", ["l_partkey"]))
     assert "row_number(), 1, Partial" in plan
     assert plan.index("row_number(), 1, Final") < plan.index("Exchange") < plan.index("1, Partial")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_days_are_utc_days(spark, zone, tmp_path):
+    """Instants around midnight, under any session zone, with the bound in the reader."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["2024-01-01 23:59:59", "2024-01-02 00:00:00", "2024-01-02 02:00:00"]
+    spark.sql("SELECT explode(array(" + ", ".join(f"timestamp'{t} UTC'" for t in texts) + ")) AS at").write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.read.parquet(f"{tmp_path}/t")
+        assert as_of(df, "at", date(2024, 1, 2)).count() == 1
+        assert "LessThan(at" in explained(as_of(df, "at", date(2024, 1, 2)))
+        assert [r[0] for r in snapshot_dates(df, "at").collect()] == ["2024-01-02", "2024-01-01"]
+        naive = df.select(F.expr("timestamp_ntz'2024-01-01 23:30:00'").alias("at"))
+        assert as_of(naive, "at", date(2024, 1, 2)).count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_versions_that_tie_are_equal(spark):
+    """The choice among versions of one instant does not hang on the partitioning."""
+    from visitledger.plans.visits import visit_versions
+    from visitledger.sources.schemas import VISITS
+
+    base = {"unique_visit_id": "v", "updated_at": datetime(2024, 1, 1), "target_date": date(2024, 1, 1)}
+    made = [base | {"provider_last": p, "mileage": m} for p in ("a", "b", None) for m in (1.0, 2.0, None)]
+    found = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(made)
+        df = spark.createDataFrame([tuple(r.get(c) for c in VISITS.names) for r in made], VISITS).repartition(seed + 1)
+        found.add(visit_versions(df, date(2025, 1, 1)).first())
+    assert len(found) == 1
+
+
+def test_sources_are_typed_like_the_warehouse(spark):
+    from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
+
+    from visitledger.sources.tables import conform
+
+    schema = StructType(
+        [StructField("n", LongType()), StructField("mrn", StringType()), StructField("day", DateType()), StructField("no", StringType())]
+    )
+    df = spark.sql(
+        "SELECT * FROM VALUES (2.5D, 12345.0D, timestamp'2024-01-02 02:00:00 UTC'),"
+        " (0.6D, 0.5D, timestamp'2024-01-01 23:00:00 UTC'), (NULL, NULL, NULL) AS t(n, mrn, day)"
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = conform(df, schema).collect()
+        spark.conf.set("spark.sql.session.timeZone", before)
+        assert [tuple(r) for r in got] == [
+            (3, "12345", date(2024, 1, 2), None),
+            (1, "0.5", date(2024, 1, 1), None),
+            (None, None, None, None),
+        ]

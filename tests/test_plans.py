@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from tests.frames import explained
 from visitledger.plans import claims, episodes, report, revenue, visits
-from visitledger.sources.staging import stage, staging_folder
+from visitledger.sources.staging import stage, stage_all, staging_folder
 from workload.queries import QUERIES
 from workload.roles import SNAPSHOT, inputs
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("unbilled")])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_pairing_of_everything(spark, no_broadcast, name):
     plan = explained(QUERIES[name](spark, SF_DIR))
     for word in ("NestedLoop", "Cartesian", "Broadcast", "Python", "MapInPandas"):
@@ -56,27 +60,52 @@ def test_staged_tables_keep_their_schema_and_are_pruned(spark):
 class Elsewhere:
     """A session on a cluster, as far as staging looks at it."""
 
-    def __init__(self, settings):
-        self.settings = {"spark.app.id": "app-1", "spark.master": "yarn"} | settings
-        self.conf = self
+    applicationId = "app-1"
+
+    def __init__(self, settings, directory=None):
+        self.settings = {"spark.sql.warehouse.dir": "hdfs://shared/house"} | settings
+        self.conf = self.sparkContext = self
+        self.directory = directory
 
     def get(self, name, default=None):
         return self.settings.get(name, default)
 
+    def getCheckpointDir(self):  # noqa: N802
+        return self.directory
+
 
-def test_a_cluster_names_the_shared_folder():
-    named = Elsewhere({"spark.checkpoint.dir": "hdfs://shared/tmp"})
+def test_staged_tables_go_to_a_shared_folder():
+    named = Elsewhere({"spark.checkpoint.dir": "hdfs://shared/tmp/"}, "hdfs://other")
     assert staging_folder(named) == "hdfs://shared/tmp/app-1"
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        staging_folder(Elsewhere({}))
-
-
-def test_steps_are_importable_apart():
-    steps = [
-        visits.attach_episode,
-        revenue.rate_card_revenue,
-        revenue.prorate_by_month,
-        claims.allocate_first_claim,
-        report.open_receivables,
-    ]
-    assert all(s.__doc__ for s in steps)
+    assert staging_folder(Elsewhere({}, "hdfs://set")) == "hdfs://set/app-1"
+    assert staging_folder(Elsewhere({})) == "hdfs://shared/house/_staged/app-1"
+
+
+def test_staging_removes_shuffles_and_its_own_files(spark, tmp_path):
+    df = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert df.count() == 7
+    mine = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert mine.exists()
+    with pytest.raises(AnalysisException):
+        stage_all({"a": spark.range(3).select("id"), "b": spark.range(3).selectExpr("nothing")})
+
+
+def test_the_report_reads_what_it_needs(spark, no_broadcast, monkeypatch):
+    """Each staged step of the report: no pairing, history scanned once, wide rows moved once."""
+    found = inputs(spark, SF_DIR)
+    known = report.known_on(found, SNAPSHOT)
+    fact = stage(report.price_visits(known, found), "revenue")
+    paid = stage(report.paid_periods(claims.latest_claims(claims.allocate_first_claim(known.claims, fact))), "paid")
+    plan = explained(report.open_receivables_by_day(fact, paid)).split("== Initial Plan")[0]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "billed_days-" in plan and "excluded-" not in plan  # no table of billed ids
+    standing = explained(claims.standing_claims(found.claims, SNAPSHOT))
+    assert standing.count("FileScan") == 1
+
+
+def test_rate_cards_do_not_move_the_visits(spark):
+    found = inputs(spark, SF_DIR)
+    done = stage(visits.completed_visits(visits.tidy_visits(found.visits)).withColumn("payment_model", F.lit(None).cast("string")), "done")
+    cards = stage(found.rate_cards, "cards")
+    plan = explained(revenue.rate_card_revenue(done, cards))
+    assert "hashpartitioning" not in plan and plan.count("FileScan") == 2

@@ -72,15 +72,15 @@ def test_no_visit_is_lost_or_made_up(results):
 @pytest.mark.parametrize("key", ["agency", "insurance"])
 def test_matrix_adds_up(results, key):
     report = whole_amounts(results[-1])
-    matrix = ageing_matrix(report, key, "visit_date", "unbilled_ar", TODAY).collect()
+    matrix = ageing_matrix(report, key, "visit_date", "open_amount", TODAY).collect()
     for column in range(1, len(matrix[0])):
         assert sum(r[column] for r in matrix[:-1]) == matrix[-1][column]
     past = report.where(F.col("visit_date") <= F.lit(TODAY)).where(F.col(key).isNotNull())
-    assert matrix[-1]["Row_Total"] == open_total(past, "unbilled_ar").collect()[0][0]
+    assert matrix[-1]["Row_Total"] == open_total(past, "open_amount").collect()[0][0]
 
 
 def test_cluster_settings_grow_with_the_data():
     name = "spark.sql.shuffle.partitions"
     assert cluster_settings(0)[name] == "200"
     assert cluster_settings(10 * 1024**4)[name] == "81920"
-    assert cluster_settings(100 * 1024**4)[name] == "100000"
+    assert cluster_settings(100 * 1024**4)[name] == "819200"

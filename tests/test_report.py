@@ -11,7 +11,7 @@ from tests.test_episodes import episode
 from tests.test_visits import visit
 from visitledger import constants as k
 from visitledger.operators import aged_detail, ageing_matrix, date_bounds, in_date_range, open_total
-from visitledger.plans.report import dashboard, open_receivables, paid_periods, unbilled_report
+from visitledger.plans.report import dashboard, open_receivables, paid_periods, open_report
 from visitledger.sources import schemas
 from visitledger.sources.tables import (
     SCHEMAS,
@@ -48,7 +48,7 @@ def test_open_receivables(spark):
     )
     got = open_receivables(rows_in, paid(spark, claim("c")))
     assert got.columns == schemas.OPEN_RECEIVABLES.names
-    assert rows(got, "unique_id", "unbilled_ar") == [("open", 10.0), ("twice", 10.0), ("twice", 11.0)]
+    assert rows(got, "unique_id", "open_amount") == [("open", 10.0), ("twice", 10.0), ("twice", 11.0)]
 
 
 def test_nothing_billed_keeps_rows_without_id(spark):
@@ -147,11 +147,11 @@ EXPECTED = [
     ("v3", 500.0, "X2", "E1", "PDGM", "g"),
     ("v4", 62.5, None, None, "Non PDGM", "g"),
 ]
-COLUMNS = ("unique_id", "unbilled_ar", "billing_period_id", "episode_identifier", "pdgm_non_pdgm", "task_group")
+COLUMNS = ("unique_id", "open_amount", "billing_period_id", "episode_identifier", "pdgm_non_pdgm", "task_group")
 
 
 def test_whole_report(spark):
-    report = unbilled_report(small_inputs(spark), D)
+    report = open_report(small_inputs(spark), D)
     assert rows(report, *COLUMNS) == EXPECTED
     shown = dashboard(report, TODAY)
     assert rows(shown.total) == [(562.0,)]
@@ -168,12 +168,12 @@ def test_whole_report(spark):
 
 
 def test_before_the_first_record_nothing_is_known(spark):
-    assert unbilled_report(small_inputs(spark), date(2024, 2, 1)).count() == 0
+    assert open_report(small_inputs(spark), date(2024, 2, 1)).count() == 0
 
 
 def test_row_order_and_partitions_do_not_matter(spark):
     shuffled = Inputs(*[df.repartition(5, F.rand(7)) for df in small_inputs(spark)])
-    assert rows(unbilled_report(shuffled, D), *COLUMNS) == EXPECTED
+    assert rows(open_report(shuffled, D), *COLUMNS) == EXPECTED
 
 
 def test_reading_and_writing(spark, tmp_path):

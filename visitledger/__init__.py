@@ -1 +1 @@
-"""Unbilled-receivables analytics as Spark DataFrame operators and one report."""
+"""Receivables analytics as Spark DataFrame operators and one report."""

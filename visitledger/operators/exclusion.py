@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitledger.sources.staging import stage
+
 
 def drop_excluded(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """SQL `column NOT IN (values)`: listed values go, and so do NULLs."""
@@ -21,10 +23,9 @@ def null_aware_anti(
 ) -> DataFrame:
     """SQL `left_key NOT IN (SELECT right_key FROM right)`, without a broadcast.
 
-    Spark's own plan for NOT IN broadcasts the right side whatever its size.
-    Here the right keys are made distinct (combined before the shuffle) and
-    joined as a plain anti join on the key; the NULL rules come from one scalar
-    over the same keys, so `right` is read twice:
+    Spark's own plan for NOT IN broadcasts the right side whatever its size. Here
+    the distinct right keys, a NULL among them, are staged, so that `right` is
+    read once; the NULL rules come from one scalar over them:
 
     - right empty: every left row stays, also with a NULL key;
     - right holds a NULL: nothing stays;
@@ -32,16 +33,20 @@ def null_aware_anti(
     """
     probe = F.col(left_key) if isinstance(left_key, str) else left_key
     member = F.col(right_key) if isinstance(right_key, str) else right_key
-    keys = right.select(member.alias("__member"))
-    missing = F.col("__member").isNull()
-    state = keys.agg(
-        F.when(F.count(F.lit(1)) == 0, "empty")
-        .when(F.count_if(missing) > 0, "null")
-        .otherwise("keys")
-        .alias("state")
-    ).scalar()
+    keys = stage(right.select(member.alias("__member")).distinct(), "excluded")
+    state = exclusion_state(keys.select(F.col("__member").isNull().alias("missing")))
     kept = left.where(
         (state == "empty") | ((state == "keys") & probe.isNotNull())
     ).withColumn("__probe", probe)
     on = F.col("__probe") == F.col("__member")
-    return kept.join(keys.distinct(), on, "left_anti").drop("__probe")
+    return kept.join(keys.where(F.col("__member").isNotNull()), on, "left_anti").drop("__probe")
+
+
+def exclusion_state(members: DataFrame) -> Column:
+    """"empty", "null" or "keys": what NOT IN over `members` (missing boolean) comes to."""
+    return members.agg(
+        F.when(F.count(F.lit(1)) == 0, "empty")
+        .when(F.count_if("missing") > 0, "null")
+        .otherwise("keys")
+        .alias("state")
+    ).scalar()

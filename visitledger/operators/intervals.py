@@ -6,7 +6,8 @@ quadratic for a hot one, so the operators here
 
 - reduce points to distinct (key, day) before comparing. A key then has at most
   one point per calendar day, however many rows it holds;
-- join on (key, calendar cell) instead of the key alone;
+- cut intervals into aligned blocks of days and join on (key, block), so that
+  only points inside an interval meet it;
 - or replace the comparison by a running maximum over days where only the
   existence of a match counts.
 
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from visitledger.operators.keys import first_per_key
 
-# Cell widths in days as powers of two. An interval lives at the narrowest zoom
-# at least as long as itself, so it touches at most two cells there; the widest
-# zoom is longer than all of years 1 to 9999, so open ends like 9999-12-31 cost
-# no more than others. A point is looked up once per zoom in use.
-ZOOMS = (6, 9, 22)
+# Blocks hold 8^level days and start at multiples of that. An interval is cut into
+# the largest blocks that fit, at most 14 of a level; a point lies in one block of
+# each level. Eight levels reach over all of years 1 to 9999.
+LEVELS = 8
+_BITS = 3
 
 Keys = Sequence[tuple[str, str]]
 
@@ -61,32 +62,41 @@ def distinct_points(df: DataFrame, eq: Keys, point: str) -> DataFrame:
     return point_rows(df, eq, point, []).distinct()
 
 
-def _zoom() -> Column:
-    days = F.date_diff("__hi", "__lo")
-    zoom = F.lit(ZOOMS[-1])
-    for bits in reversed(ZOOMS[:-1]):
-        zoom = F.when(days < 2**bits, bits).otherwise(zoom)
-    return zoom
+def _cut(level: int) -> str:
+    """The blocks of one level that an interval is cut into.
 
+    `__from` and `__to` are its first day and the day after its last. Inside they
+    hold the blocks from `low` to before `high`; whatever of it fills blocks of
+    the next level is left to that level.
+    """
+    low, high = f"-shiftright(-__from, {_BITS * level})", f"shiftright(__to, {_BITS * level})"
+    up_low = f"8 * -shiftright(-__from, {_BITS * (level + 1)})"
+    up_high = f"8 * shiftright(__to, {_BITS * (level + 1)})"
 
-def _in_cells(
-    points: DataFrame, spans: DataFrame, keys: list[str], lengths: DataFrame
-) -> DataFrame:
+    def run(start: str, end: str) -> str:
+        return f"if({start} < {end}, sequence({start}, {end} - 1), cast(array() as array<int>))"
+
+    whole = run(low, high)
+    blocks = whole
+    if level + 1 < LEVELS:
+        blocks = f"if({up_low} < {up_high}, concat({run(low, up_low)}, {run(up_high, high)}), {whole})"
+    return f"transform({blocks}, b -> struct({level} as level, b as block))"
+
+
+def _in_blocks(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Each (point, span) pair with the point inside the span, exactly once.
 
-    `lengths` holds the bounds of `spans`, possibly more; the zooms in use are
-    read off it beforehand, a set of at most three numbers.
+    The blocks of a span do not overlap, so the equality join returns the hits
+    and nothing else.
     """
-    used = lengths.agg(F.collect_set(_zoom())).scalar()
-    probes = points.withColumn("__zoom", F.explode(used)).withColumn(
-        "__tile", F.expr("shiftright(unix_date(__at), __zoom)")
-    )
-    tiles = F.expr(
-        "sequence(shiftright(unix_date(__lo), __zoom), shiftright(unix_date(__hi), __zoom))"
+    levels = ", ".join(
+        f"struct({level} as level, shiftright(unix_date(__at), {_BITS * level}) as block)" for level in range(LEVELS)
     )
-    placed = spans.withColumn("__zoom", _zoom()).withColumn("__tile", F.explode(tiles))
-    pairs = probes.join(placed, [*keys, "__zoom", "__tile"]).drop("__zoom", "__tile")
-    return pairs.where(F.col("__at").between(F.col("__lo"), F.col("__hi")))
+    probes = points.withColumn("__block", F.explode(F.expr(f"array({levels})")))
+    bounds = spans.withColumns({"__from": F.unix_date("__lo"), "__to": F.unix_date("__hi") + 1})
+    cuts = F.explode(F.expr(f"concat({', '.join(_cut(level) for level in range(LEVELS))})"))
+    placed = bounds.withColumn("__block", cuts).drop("__from", "__to")
+    return probes.join(placed, [*keys, "__block"]).drop("__block")
 
 
 def interval_hits(
@@ -98,7 +108,7 @@ def interval_hits(
     has the key as `__k0`, `__k1`, .. and the day as `__at`.
     """
     rows = _span_rows(spans, eq, lo, hi, take)
-    return _in_cells(points, rows, _names(eq), rows).drop("__lo", "__hi")
+    return _in_blocks(points, rows, _names(eq)).drop("__lo", "__hi")
 
 
 def join_hits(left: DataFrame, hits: DataFrame, eq: Keys, point: str) -> DataFrame:
@@ -147,7 +157,7 @@ def cover_days(
     keys = _names(eq)
     rows = _span_rows(spans, eq, lo, hi, take)
     best = first_per_key(rows, [*keys, "__lo", "__hi"], order)
-    pairs = _in_cells(days, best, keys, rows)
+    pairs = _in_blocks(days, best, keys)
     return first_per_key(pairs, [*keys, "__at"], order).drop("__lo", "__hi")
 
 

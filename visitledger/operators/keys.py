@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
+
+
+def _zoned(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, TimestampType)
 
 
 def snapshot_dates(df: DataFrame, updated: str) -> DataFrame:
-    """Distinct calendar dates of `updated` as ISO text, newest first."""
-    days = df.select(F.to_date(updated).cast("string").alias("snapshot_date"))
+    """Distinct calendar dates of `updated` as ISO text, newest first; UTC for instants."""
+    day = F.to_date(updated)
+    if _zoned(df, updated):
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(updated) / 86400).cast("int"))
+    days = df.select(day.cast("string").alias("snapshot_date"))
     return days.distinct().orderBy(F.col("snapshot_date").desc())
 
 
@@ -19,8 +27,12 @@ def as_of(df: DataFrame, updated: str, day: date) -> DataFrame:
     """Rows recorded before `day`; the day itself is out.
 
     Spark turns the date comparison into a timestamp bound that reaches the
-    Parquet reader, so older-only files and row groups are all that is read.
+    Parquet reader, so older-only files and row groups are all that is read. The
+    bound of instants is midnight UTC, whatever the session's zone.
     """
+    if _zoned(df, updated):
+        midnight = datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
+        return df.where(F.col(updated) < F.timestamp_seconds(F.lit(int(midnight.timestamp()))))
     return df.where(F.to_date(updated) < F.lit(day))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from visitledger.functions import base_id, trim_ws
 from visitledger.operators import as_of, first_per_key, latest_per_key
 from visitledger.plans.visits import insurance_lookup
+from visitledger.sources.schemas import MC_EPISODES, PDGM_EPISODES, every_column
 
 PDGM_DATES = (
     "dob",
@@ -55,8 +56,9 @@ MANAGED_COUNTS = (
     "msw",
 )
 
-# Order among versions of an episode recorded at the same instant.
-PDGM_TIEBREAK = (
+# Order among versions of an episode recorded at the same instant: these columns,
+# then all others, so that versions that tie are equal.
+_FIRST_PDGM_TIEBREAK = (
     "episode_start_date",
     "episode_end_date",
     "billing_period_start_date",
@@ -74,7 +76,7 @@ PDGM_TIEBREAK = (
     "anticipated_30_day_payment",
     "eoe_anticipated_payment",
 )
-MANAGED_TIEBREAK = (
+_FIRST_MANAGED_TIEBREAK = (
     "episode_start_date",
     "episode_end_date",
     "mrn",
@@ -83,6 +85,8 @@ MANAGED_TIEBREAK = (
     "total_completed_visits",
     "total_missed_visits",
 )
+PDGM_TIEBREAK = every_column(PDGM_EPISODES, _FIRST_PDGM_TIEBREAK, "unique_id", "updated_at")
+MANAGED_TIEBREAK = every_column(MC_EPISODES, _FIRST_MANAGED_TIEBREAK, "unique_id", "updated_at")
 
 
 def active_episodes(df: DataFrame) -> DataFrame:

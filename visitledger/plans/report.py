@@ -19,6 +19,8 @@ from visitledger.operators import (
     null_aware_anti,
     open_total,
 )
+from visitledger.operators.exclusion import exclusion_state
+from visitledger.operators.intervals import covered_points
 from visitledger.plans.claims import (
     CLAIM_COLUMNS,
     CLAIM_EQ,
@@ -67,15 +69,31 @@ def open_receivables(revenue: DataFrame, paid: DataFrame) -> DataFrame:
     """Revenue rows not billed in any of the `paid` periods, private payers out.
 
     The exclusion is by visit id with SQL's NOT IN rules: a billed row without
-    an id empties the result. `revenue` is read more than once: stage it first.
+    an id empties the result, and an id that is billed on one day is out on all.
+    `revenue` is read more than once: stage it first.
     """
-    billed = billed_visits(revenue, paid).select("unique_id").distinct()
-    billed = stage(billed, "billed_ids")
-    unbilled = null_aware_anti(revenue, billed, "unique_id", "unique_id")
-    open_rows = drop_excluded(unbilled, "insurance", k.PRIVATE_PAYERS)
-    return open_rows.withColumn("unbilled_ar", F.col("revenue")).select(
-        *OPEN_RECEIVABLES.fieldNames()
-    )
+    billed = billed_visits(revenue, paid).select("unique_id")
+    return _open_columns(null_aware_anti(revenue, billed, "unique_id", "unique_id"))
+
+
+def open_receivables_by_day(revenue: DataFrame, paid: DataFrame) -> DataFrame:
+    """The same where all rows of an id share patient, agency and day, as in the report.
+
+    An id is then billed exactly if its day is, so the wide rows move once, on
+    patient, agency and day, and no table of billed ids is made.
+    """
+    covered = stage(covered_points(revenue, paid, CLAIM_EQ, "visit_date", **PERIOD), "billed_days")
+    on = [*(c for c, _ in CLAIM_EQ), "visit_date"]
+    nameless = revenue.where(F.col("unique_id").isNull()).join(covered, on, "left_semi")
+    days = covered.select(F.lit(False).alias("missing"))
+    state = exclusion_state(days.union(nameless.select(F.lit(True).alias("missing"))))
+    kept = revenue.where((state == "empty") | ((state == "keys") & F.col("unique_id").isNotNull()))
+    return _open_columns(kept.join(covered, on, "left_anti"))
+
+
+def _open_columns(rows: DataFrame) -> DataFrame:
+    open_rows = drop_excluded(rows, "insurance", k.PRIVATE_PAYERS)
+    return open_rows.withColumn("open_amount", F.col("revenue")).select(*OPEN_RECEIVABLES.fieldNames())
 
 
 PERIOD_COLUMNS = (
@@ -120,29 +138,35 @@ def known_on(inputs: Inputs, day: date) -> Known:
     managed = managed_care_episodes(inputs.mc_episodes, inputs.insurance_map, day)
     visits = clean_visits(inputs.visits, inputs.task_map, inputs.insurance_map, day)
     visits = billable_visits(visits, inputs.non_billable_tasks)
-    claims = drop_advance_claims(standing_claims(inputs.claims, day))
+    claims = standing_claims(inputs.claims, day)
     frames = {
         "pdgm": pdgm.select(*PERIOD_COLUMNS),
         "managed": managed.select(*MANAGED_COLUMNS),
         "visits": visits.select(*REPORT_COLUMNS),
         "claims": claims.select(*CLAIM_COLUMNS),
     }
-    return Known(*stage_all(frames))
+    known = Known(*stage_all(frames))
+    return known._replace(claims=drop_advance_claims(known.claims))
 
 
 def price_visits(known: Known, inputs: Inputs) -> DataFrame:
-    """The revenue fact: every known billable visit, priced."""
-    episodes = episode_set(known.pdgm, known.managed)
-    placed = stage(attach_episode(known.visits, episodes), "placed_visits")
+    """The revenue fact: every known billable visit, priced.
+
+    Each kind of payer is placed in its episodes on its own; only the episodic
+    visits, which proration reads twice, are written.
+    """
+    episodes = stage(episode_set(known.pdgm, known.managed), "episodes")
+    per_visit = attach_episode(per_visit_payers(known.visits), episodes)
+    episodic = stage(attach_episode(episodic_payers(known.visits), episodes), "episodic_visits")
     return revenue_fact(
-        rate_card_revenue(per_visit_payers(placed), inputs.rate_cards),
-        prorate_by_month(episodic_payers(placed), billing_periods(known.pdgm)),
+        rate_card_revenue(per_visit, inputs.rate_cards),
+        prorate_by_month(episodic, billing_periods(known.pdgm)),
         inputs.pdgm_flags,
         inputs.revenue_exceptions,
     )
 
 
-def unbilled_report(inputs: Inputs, day: date) -> DataFrame:
+def open_report(inputs: Inputs, day: date) -> DataFrame:
     """All receivables open as known before `day`: one row per priced visit.
 
     Only visits, episodes and claims are rolled back to `day`; mappings and rate
@@ -152,7 +176,7 @@ def unbilled_report(inputs: Inputs, day: date) -> DataFrame:
     known = known_on(inputs, day)
     revenue = stage(price_visits(known, inputs), "revenue")
     counted = latest_claims(allocate_first_claim(known.claims, revenue))
-    return open_receivables(revenue, stage(paid_periods(counted), "paid_periods"))
+    return open_receivables_by_day(revenue, stage(paid_periods(counted), "paid_periods"))
 
 
 class Dashboard(NamedTuple):
@@ -166,7 +190,7 @@ class Dashboard(NamedTuple):
 
 def whole_amounts(report: DataFrame) -> DataFrame:
     """Amounts rounded to whole units, halves to even, before any sum."""
-    return report.withColumn("unbilled_ar", half_even("unbilled_ar"))
+    return report.withColumn("open_amount", half_even("open_amount"))
 
 
 def dashboard(
@@ -185,8 +209,8 @@ def dashboard(
         rows = in_date_range(rows, "visit_date", start or date.min, end or date.max)
     rows = stage(rows, "report")
     return Dashboard(
-        detail=aged_detail(rows, "visit_date", "unbilled_ar", today),
-        total=open_total(rows, "unbilled_ar"),
-        by_agency=ageing_matrix(rows, "agency", "visit_date", "unbilled_ar", today),
-        by_insurance=ageing_matrix(rows, "insurance", "visit_date", "unbilled_ar", today),
+        detail=aged_detail(rows, "visit_date", "open_amount", today),
+        total=open_total(rows, "open_amount"),
+        by_agency=ageing_matrix(rows, "agency", "visit_date", "open_amount", today),
+        by_insurance=ageing_matrix(rows, "insurance", "visit_date", "open_amount", today),
     )

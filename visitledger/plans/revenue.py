@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from visitledger import constants as k
 from visitledger.functions import normal_name
-from visitledger.operators import drop_excluded, interval_hits, interval_left_join
+from visitledger.operators import drop_excluded, interval_hits
 from visitledger.operators.intervals import join_hits
 from visitledger.sources.schemas import REVENUE
 from visitledger.sources.tables import conform
@@ -33,34 +33,36 @@ def episodic_payers(visits: DataFrame) -> DataFrame:
 
 
 def rate_card_revenue(visits: DataFrame, rate_cards: DataFrame) -> DataFrame:
-    """Add rate type, rate and revenue from the cards valid on the visit day.
+    """Add rate type, rate, validity and revenue from the cards valid on the visit day.
 
     Hourly cards pay rate x hours rounded to cents, unit cards the rate; other
     types pay NULL. Overlapping cards repeat the visit, as they do in the total.
+
+    Rate cards are a mapping: one left join on payer, task and place with the
+    dates beside it. Spark broadcasts the cards while they are under its own
+    limit, and the visits are read once and do not move.
     """
     cards = rate_cards.select(
-        "insurer",
-        "task_name",
-        normal_name("location").alias("place"),
-        "from_date",
-        "to_date",
+        F.col("insurer").alias("card_insurer"),
+        F.col("task_name").alias("card_task"),
+        normal_name("location").alias("card_place"),
+        F.col("from_date").alias("rate_card_from_date"),
+        F.col("to_date").alias("rate_card_to_date"),
         F.col("type").alias("rate_type"),
         "rate",
     )
-    priced = interval_left_join(
-        visits.withColumn("place", normal_name("agency")),
-        cards,
-        eq=[("insurance", "insurer"), ("task_name", "task_name"), ("place", "place")],
-        point="visit_date",
-        lo="from_date",
-        hi="to_date",
-        take=["rate_type", "rate"],
+    valid = (
+        (F.col("insurance") == F.col("card_insurer"))
+        & (F.col("task_name") == F.col("card_task"))
+        & (normal_name("agency") == F.col("card_place"))
+        & F.col("visit_date").between(F.col("rate_card_from_date"), F.col("rate_card_to_date"))
     )
+    priced = visits.join(cards, valid, "left").drop("card_insurer", "card_task", "card_place")
     rate, kind = F.col("rate"), F.col("rate_type")
     amount = F.when(kind == k.HOURLY, F.round(rate * F.col("total_hours"), 2)).when(
         kind == k.UNIT, rate
     )
-    return priced.withColumn("revenue", amount.cast("double")).drop("place")
+    return priced.withColumn("revenue", amount.cast("double"))
 
 
 def prorate_by_month(visits: DataFrame, periods: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ from visitledger.operators import (
     latest_per_key,
     null_aware_anti,
 )
+from visitledger.sources.schemas import VISITS, every_column
 
-# Order among versions of a visit recorded at the same instant. Rows equal in
-# all of these look the same to the report.
-VERSION_TIEBREAK = (
+# Order among versions of a visit recorded at the same instant: these columns, then
+# all others, so that versions that tie are equal.
+_FIRST_TIEBREAK = (
     "target_date",
     "task_name",
     "task_type",
@@ -33,6 +34,7 @@ VERSION_TIEBREAK = (
     "medical_record_number",
     "patient_last",
 )
+VERSION_TIEBREAK = every_column(VISITS, _FIRST_TIEBREAK, "unique_visit_id", "updated_at")
 
 # The columns of a clean visit that the report goes on to use.
 REPORT_COLUMNS = (

@@ -7,13 +7,15 @@ from math import ceil
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int = 8, app: str = "visitledger") -> SparkSession:
+def local_session(cpus: int = 8, app: str = "visitledger", folder: str | None = None) -> SparkSession:
     """A UTC session on this machine, for tests and the benchmark.
 
+    `folder` takes the staged tables.
+
     On a cluster the caller brings the session; none of these settings is needed
-    for right results.
+    for right results, and dates are UTC dates whatever the session's zone.
     """
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -22,8 +24,10 @@ def local_session(cpus: int = 8, app: str = "visitledger") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    if folder is not None:
+        builder = builder.config("spark.checkpoint.dir", f"file://{folder}")
+    return builder.getOrCreate()
 
 
 def cluster_settings(shuffle_bytes: int) -> dict[str, str]:
@@ -35,7 +39,7 @@ def cluster_settings(shuffle_bytes: int) -> dict[str, str]:
     visit history itself, narrowed to the columns the report uses.
     """
     target = 128 * 1024**2
-    partitions = min(max(ceil(shuffle_bytes / target), 200), 100_000)
+    partitions = max(ceil(shuffle_bytes / target), 200)
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",

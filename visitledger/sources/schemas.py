@@ -29,6 +29,11 @@ def _schema(*parts: tuple[str, str]) -> StructType:
     return schema
 
 
+def every_column(schema: StructType, first: tuple[str, ...], *without: str) -> tuple[str, ...]:
+    """`first` and then all other columns of `schema` but `without`."""
+    return (*first, *(c for c in schema.fieldNames() if c not in first and c not in without))
+
+
 VISITS = _schema(
     ("string", "unique_visit_id"),
     ("timestamp", "updated_at"),
@@ -126,4 +131,4 @@ REVENUE = _schema(
 # The report: the revenue columns with the open amount before the PDGM flag.
 OPEN_RECEIVABLES = StructType(
     [*REVENUE.fields[:-1]]
-).add("unbilled_ar", DoubleType()).add(REVENUE["pdgm_non_pdgm"])
+).add("open_amount", DoubleType()).add(REVENUE["pdgm_non_pdgm"])

@@ -6,7 +6,19 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    DataType,
+    DateType,
+    DoubleType,
+    FloatType,
+    FractionalType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from visitledger.sources import schemas
 
@@ -29,6 +41,24 @@ class Inputs(NamedTuple):
 SCHEMAS = {name: getattr(schemas, name.upper()) for name in Inputs._fields}
 
 
+def _typed(name: str, kind: DataType, want: DataType) -> str:
+    """SQL for a column of type `kind` as `want`.
+
+    Fractions become integers by rounding, halves up. A whole number stored as a
+    double reads like an integer, so that it matches the same number kept as
+    text. Instants become dates in UTC, whatever the session's zone.
+    """
+    cast = f"CAST({name} AS {want.simpleString()})"
+    if isinstance(want, LongType) and isinstance(kind, FractionalType):
+        return f"CAST(ROUND({name}) AS bigint)"
+    if isinstance(want, StringType) and isinstance(kind, (DoubleType, FloatType)):
+        whole = f"{name} = ROUND({name}) AND ABS({name}) < 1e15"
+        return f"CASE WHEN {whole} THEN CAST(CAST({name} AS bigint) AS string) ELSE {cast} END"
+    if isinstance(want, DateType) and isinstance(kind, TimestampType):
+        return f"DATE_FROM_UNIX_DATE(CAST(FLOOR(UNIX_SECONDS({name}) / 86400) AS int))"
+    return cast
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """The columns of `schema` in order and type; columns `df` lacks are NULL.
 
@@ -44,8 +74,9 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
         )
         if kind == field.dataType or zoneless:
             return f"`{field.name}`"
-        source = "NULL" if kind is None else f"`{field.name}`"
-        return f"CAST({source} AS {field.dataType.simpleString()}) AS `{field.name}`"
+        if kind is None:
+            return f"CAST(NULL AS {field.dataType.simpleString()}) AS `{field.name}`"
+        return f"{_typed(f'`{field.name}`', kind, field.dataType)} AS `{field.name}`"
 
     return df.selectExpr(*[text(f) for f in schema.fields])
 

@@ -25,6 +25,12 @@ def _first(columns) -> str:
     return ", ".join(f"{c} ASC NULLS FIRST" for c in columns)
 
 
+def _tied(role: str, columns) -> list[str]:
+    """Those of `columns` that the role's table has; the others are NULL in Spark."""
+    found = set(re.findall(r"\bAS (\w+)", ROLES[role]))
+    return [c for c in columns if c in found]
+
+
 def _trim(text: str) -> str:
     return f"trim({text}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
 
@@ -62,6 +68,8 @@ def _matrix(rows: str, key: str, day: str, amount: str, today: str) -> str:
 
 D = f"DATE '{SNAPSHOT}'"
 
+CLAIM_COLUMNS_FILLED = [c for c in CLAIM_COLUMNS if c not in ("payer_type", "branch", "medicare_subscriber_number")]
+
 # Named steps; a query's WITH clause is built from the ones it mentions.
 STEPS = {name: role_sql(name) for name in ROLES}
 
@@ -80,7 +88,7 @@ STEPS["done_all"] = f"""
 STEPS["newest_visit"] = f"""
     SELECT * FROM visits WHERE CAST(updated_at AS DATE) < {D}
     QUALIFY row_number() OVER (PARTITION BY unique_visit_id
-        ORDER BY updated_at DESC NULLS LAST, {_first(VERSION_TIEBREAK)}) = 1"""
+        ORDER BY updated_at DESC NULLS LAST, {_first(_tied("visits", VERSION_TIEBREAK))}) = 1"""
 
 STEPS["done"] = STEPS["done_all"].replace("FROM visits", "FROM newest_visit")
 
@@ -109,17 +117,17 @@ STEPS["pdgm"] = f"""
                  THEN substr(unique_id, 1, position('.' IN unique_id) - 1) ELSE unique_id END AS unique_id)
           FROM (SELECT * FROM pdgm_episodes WHERE CAST(updated_at AS DATE) < {D}
                 QUALIFY row_number() OVER (PARTITION BY unique_id
-                    ORDER BY updated_at DESC NULLS LAST, {_first(PDGM_TIEBREAK)}) = 1)
+                    ORDER BY updated_at DESC NULLS LAST, {_first(_tied("pdgm_episodes", PDGM_TIEBREAK))}) = 1)
           WHERE {_ACTIVE}) AS e
     LEFT JOIN payer_map i ON trim(e.insurance) = i.insurance AND e.agency = i.office
     QUALIFY row_number() OVER (PARTITION BY unique_id
-        ORDER BY updated_at DESC NULLS LAST, {_first(f"e.{c}" for c in PDGM_TIEBREAK)}) = 1"""
+        ORDER BY updated_at DESC NULLS LAST, {_first(f"e.{c}" for c in _tied("pdgm_episodes", PDGM_TIEBREAK))}) = 1"""
 
 STEPS["managed"] = f"""
     SELECT e.*, i.parent_insurance, i.payment_model
     FROM (SELECT * FROM mc_episodes WHERE CAST(updated_at AS DATE) < {D}
           QUALIFY row_number() OVER (PARTITION BY unique_id
-              ORDER BY updated_at DESC NULLS LAST, {_first(MANAGED_TIEBREAK)}) = 1) AS e
+              ORDER BY updated_at DESC NULLS LAST, {_first(_tied("mc_episodes", MANAGED_TIEBREAK))}) = 1) AS e
     LEFT JOIN payer_map i ON e.insurance = i.insurance AND e.agency = i.office
     WHERE {_ACTIVE}"""
 
@@ -150,7 +158,7 @@ STEPS["placed"] = """
 
 def _rated(visits: str) -> str:
     return f"""
-    SELECT v.*, r.type AS rate_type, r.rate,
+    SELECT v.*, r.type AS rate_type, r.rate, r.from_date AS rate_card_from_date, r.to_date AS rate_card_to_date,
            CAST(CASE r.type WHEN 'Unit' THEN r.rate
                 WHEN 'Hourly' THEN round(CAST(CAST(r.rate * v.total_hours AS VARCHAR) AS DECIMAL(38, 17)), 2)
            END AS DOUBLE) AS revenue
@@ -234,6 +242,7 @@ _CLAIM_ORDER = [
 def _allocated(claims: str, revenue: str) -> str:
     group = ["unique_claim_id", "claim_number", "mrn", "agency", "billed_date", "updated_at"]
     group += ["billing_period_start_date", "billing_period_end_date", "anticipated_payment"]
+    group += ["patient_name", "claim_status", "tob", "insurance"]
     columns = ", ".join(group)
     return f"""
     SELECT {columns}, sum(revenue) AS expected_revenue FROM (
@@ -268,11 +277,11 @@ STEPS["counted"] = _counted("allocated")
 STEPS["open_rows"] = _open("revenue", "counted")
 STEPS["report"] = (
     "SELECT "
-    + ", ".join("revenue AS unbilled_ar" if c == "unbilled_ar" else c for c in OPEN_RECEIVABLES.names)
+    + ", ".join("revenue AS open_amount" if c == "open_amount" else c for c in OPEN_RECEIVABLES.names)
     + " FROM open_rows"
 )
 STEPS["dashboard_rows"] = f"""
-    SELECT * REPLACE ({_whole("unbilled_ar")} AS unbilled_ar) FROM report WHERE visit_date IS NOT NULL"""
+    SELECT * REPLACE ({_whole("open_amount")} AS open_amount) FROM report WHERE visit_date IS NOT NULL"""
 
 STEPS["shipments"] = """
     SELECT l_orderkey, l_partkey, l_suppkey, o_custkey AS custkey, CAST(l_shipdate AS DATE) AS ship_day
@@ -306,7 +315,7 @@ STEPS["order_revenue"] = """
     SELECT l_orderkey || '-' || l_partkey AS unique_id, CAST(o_custkey AS VARCHAR) AS mrn,
            l_returnflag AS agency, CAST(l_shipdate AS DATE) AS visit_date, l_extendedprice AS revenue,
            CASE WHEN l_suppkey % 10 <> 0 THEN o_orderpriority END AS insurance
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40"""
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 STEPS["order_claims"] = """
     SELECT o_custkey || '-' || (o_orderkey % 8) AS unique_claim_id, o_orderdate AS updated_at,
            CAST(o_orderdate AS DATE) + 130 AS billed_date, 'p' AS patient_name,
@@ -339,7 +348,7 @@ def _query(text: str) -> str:
     steps = _needed(text, [])
     if not steps:
         return text.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in steps) + "\n" + text.strip()
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({STEPS[n]})" for n in steps) + "\n" + text.strip()
 
 
 SPAN_MATCH = "custkey = o_custkey AND ship_day BETWEEN span_start AND span_end"
@@ -408,7 +417,11 @@ _TEXTS = {
         SELECT unique_id, mrn, episode_start_date, total_completed_visits FROM mc_episodes WHERE {_ACTIVE}""",
     "pdgm_episodes": """
         SELECT unique_id, episode_identifier, mrn, agency, insurance, episode_start_date, episode_end_date,
-               total_scheduled_visits, total_completed_visits, parent_insurance, insurance_type, payment_model,
+               billing_period_start_date, billing_period_end_date, billing_period, total_scheduled_visits,
+               total_completed_visits, total_missed_visits, lupa_level, eoe_date, updated_at,
+               CAST(anticipated_30_day_payment AS DOUBLE) AS anticipated_30_day_payment,
+               CAST(eoe_anticipated_payment AS DOUBLE) AS eoe_anticipated_payment,
+               parent_insurance, insurance_type, payment_model,
                CAST(payment_multiplier AS DOUBLE) AS payment_multiplier
         FROM pdgm""",
     "managed_care_episodes": """
@@ -427,7 +440,8 @@ _TEXTS = {
         QUALIFY row_number() OVER (PARTITION BY n ORDER BY e.episode_start_date NULLS FIRST,
             e.episode_end_date NULLS FIRST, e.episode_identifier NULLS FIRST) = 1""",
     "rate_card_revenue": f"""
-        SELECT unique_visit_id, updated_at, task_name, insurance, total_hours, rate_type, rate, revenue
+        SELECT unique_visit_id, updated_at, task_name, insurance, total_hours, rate_type, rate,
+               rate_card_from_date, rate_card_to_date, revenue
         FROM ({_rated("loose_visits")})""",
     "prorate_by_month": f"""
         SELECT unique_visit_id, visit_date, billing_period_id,
@@ -454,27 +468,28 @@ _TEXTS = {
         LEFT JOIN (SELECT * FROM pdgm_flags WHERE pdgm_non_pdgm = 'PDGM') f
              ON v.agency = f.office AND payer = f.insurance
         LEFT JOIN revenue_exceptions e ON v.unique_visit_id = e.unique_id""",
-    "allocate_first_claim": """
-        SELECT unique_claim_id, claim_number, billed_date, round(expected_revenue, 2) AS expected_revenue
+    "allocate_first_claim": f"""
+        SELECT {', '.join(CLAIM_COLUMNS_FILLED)}, round(expected_revenue, 2) AS expected_revenue
         FROM order_allocated""",
-    "latest_claims": "SELECT unique_claim_id, claim_number, updated_at FROM order_counted",
+    "latest_claims": f"SELECT {', '.join(CLAIM_COLUMNS_FILLED)} FROM order_counted",
     "open_receivables": """
-        SELECT unique_id, mrn, agency, visit_date, insurance, revenue AS unbilled_ar FROM order_open""",
+        SELECT unique_id, mrn, agency, visit_date, insurance, revenue AS open_amount FROM order_open""",
     "drop_advance_claims": """
-        SELECT unique_claim_id, claim_number, tob, CAST(anticipated_payment AS DOUBLE) AS anticipated_payment
-        FROM real_claims""",
+        SELECT * REPLACE (CAST(anticipated_payment AS DOUBLE) AS anticipated_payment) FROM real_claims""",
     "map_claims": """
         SELECT claim_number, agency, c.insurance, parent_insurance, insurance_type
         FROM claims c LEFT JOIN payer_map i ON c.insurance = i.insurance AND c.agency = i.office""",
     "revenue_fact": "SELECT * FROM revenue",
-    "unbilled_report": f"SELECT {_ALL_REPORT} FROM report",
-    "unbilled_detail": f"SELECT {_ALL_REPORT}, CAST(age AS BIGINT) AS days_difference, "
-    + ", ".join(f'CAST({e} AS DOUBLE) AS "{n}"' for n, e in _buckets("unbilled_ar").items())
+    "open_report": f"SELECT {_ALL_REPORT} FROM report",
+    "read_and_report": f"SELECT {_ALL_REPORT} FROM report",
+    "export_round_trip": "SELECT * FROM orders",
+    "open_detail": f"SELECT {_ALL_REPORT}, CAST(age AS BIGINT) AS days_difference, "
+    + ", ".join(f'CAST({e} AS DOUBLE) AS "{n}"' for n, e in _buckets("open_amount").items())
     + f""" FROM (SELECT *, DATE '{TODAY}' - visit_date AS age FROM dashboard_rows)
         WHERE visit_date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'""",
-    "unbilled_total": "SELECT coalesce(sum(unbilled_ar), 0.0) AS total FROM dashboard_rows",
-    "unbilled_by_agency": _matrix("dashboard_rows", "agency", "visit_date", "unbilled_ar", str(TODAY)),
-    "unbilled_by_insurance": _matrix("dashboard_rows", "insurance", "visit_date", "unbilled_ar", str(TODAY)),
+    "open_amount_total": "SELECT coalesce(sum(open_amount), 0.0) AS total FROM dashboard_rows",
+    "open_by_agency": _matrix("dashboard_rows", "agency", "visit_date", "open_amount", str(TODAY)),
+    "open_by_insurance": _matrix("dashboard_rows", "insurance", "visit_date", "open_amount", str(TODAY)),
 }
 
 ORACLE = {name: _query(text) for name, text in _TEXTS.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from visitledger.operators import (
     spans_without_points,
 )
 from visitledger.plans.claims import (
+    CLAIM_COLUMNS,
     allocate_first_claim,
     drop_advance_claims,
     latest_claims,
@@ -51,9 +53,9 @@ from visitledger.plans.report import (
     dashboard,
     known_on,
     open_receivables,
+    open_report,
     paid_periods,
     price_visits,
-    unbilled_report,
 )
 from visitledger.plans.revenue import (
     EPISODE_EQ,
@@ -72,6 +74,8 @@ from visitledger.plans.visits import (
     completed_visits,
     tidy_visits,
 )
+from visitledger.sources.staging import staging_folder
+from visitledger.sources.tables import read_parquet_inputs, write_detail
 from workload.roles import SNAPSHOT, TODAY, inputs, role, table
 
 EVENTS_DAY = date(2024, 1, 20)
@@ -324,8 +328,17 @@ def q_pdgm_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "insurance",
         "episode_start_date",
         "episode_end_date",
+        "billing_period_start_date",
+        "billing_period_end_date",
+        "billing_period",
         "total_scheduled_visits",
         "total_completed_visits",
+        "total_missed_visits",
+        "lupa_level",
+        "eoe_date",
+        "updated_at",
+        "anticipated_30_day_payment",
+        "eoe_anticipated_payment",
         "parent_insurance",
         "insurance_type",
         "payment_model",
@@ -357,7 +370,16 @@ def q_rate_card_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = _done_visits(spark, sf_dir).withColumn("payment_model", F.lit(None).cast("string"))
     priced = rate_card_revenue(per_visit_payers(visits), role(spark, sf_dir, "rate_cards"))
     return priced.select(
-        "unique_visit_id", "updated_at", "task_name", "insurance", "total_hours", "rate_type", "rate", "revenue"
+        "unique_visit_id",
+        "updated_at",
+        "task_name",
+        "insurance",
+        "total_hours",
+        "rate_type",
+        "rate",
+        "rate_card_from_date",
+        "rate_card_to_date",
+        "revenue",
     )
 
 
@@ -443,11 +465,15 @@ def q_add_flags_and_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The columns of a claim that the star tables can fill.
+CLAIMS_FILLED = [c for c in CLAIM_COLUMNS if c not in ("payer_type", "branch", "medicare_subscriber_number")]
+
+
 def _claim_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large line items as priced visits of a customer at an agency."""
+    """Line items as priced visits of a customer at an agency."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    big = lines.where(F.col("l_quantity") > 40).join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    return big.select(
+    sold = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    return sold.select(
         F.concat_ws("-", "l_orderkey", "l_partkey").alias("unique_id"),
         F.col("o_custkey").cast("string").alias("mrn"),
         F.col("l_returnflag").alias("agency"),
@@ -484,14 +510,12 @@ def _order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_allocate_first_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     allocated = allocate_first_claim(_order_claims(spark, sf_dir), _claim_revenue(spark, sf_dir))
-    return allocated.select(
-        "unique_claim_id", "claim_number", "billed_date", F.round("expected_revenue", 2).alias("expected_revenue")
-    )
+    return allocated.select(*CLAIMS_FILLED, F.round("expected_revenue", 2).alias("expected_revenue"))
 
 
 def q_latest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     allocated = allocate_first_claim(_order_claims(spark, sf_dir), _claim_revenue(spark, sf_dir))
-    return latest_claims(allocated).select("unique_claim_id", "claim_number", "updated_at")
+    return latest_claims(allocated).select(*CLAIMS_FILLED)
 
 
 def q_open_receivables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,12 +526,12 @@ def q_open_receivables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fact = align_revenue(priced).withColumn("pdgm_non_pdgm", F.lit("Non PDGM"))
     rows = open_receivables(fact, paid_periods(counted))
-    return rows.select("unique_id", "mrn", "agency", "visit_date", "insurance", "unbilled_ar")
+    return rows.select("unique_id", "mrn", "agency", "visit_date", "insurance", "open_amount")
 
 
 def q_drop_advance_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = drop_advance_claims(standing_claims(role(spark, sf_dir, "claims"), SNAPSHOT))
-    return claims.select("unique_claim_id", "claim_number", "tob", "anticipated_payment")
+    return claims.select(*CLAIMS_FILLED)
 
 
 def q_map_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,27 +548,42 @@ def q_revenue_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unbilled_report(inputs(spark, sf_dir), SNAPSHOT)
+    return open_report(inputs(spark, sf_dir), SNAPSHOT)
 
 
-def q_unbilled_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_open_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir)
 
 
-def q_unbilled_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_read_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from tables in files, through the library's own reader."""
+    folder = f"{staging_folder(spark)}/inputs-{uuid4().hex}"
+    for name, df in inputs(spark, sf_dir)._asdict().items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return open_report(read_parquet_inputs(spark, folder), SNAPSHOT)
+
+
+def q_export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders exported as Parquet and read back."""
+    path = f"{staging_folder(spark)}/export-{uuid4().hex}"
+    write_detail(table(spark, sf_dir, "orders"), path)
+    return spark.read.parquet(path)
+
+
+def q_open_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = (date(1999, 1, 1), date(2000, 12, 31))
     return dashboard(_report(spark, sf_dir), TODAY, *span).detail
 
 
-def q_unbilled_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_open_amount_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard(_report(spark, sf_dir), TODAY).total
 
 
-def q_unbilled_by_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_open_by_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard(_report(spark, sf_dir), TODAY).by_agency
 
 
-def q_unbilled_by_insurance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_open_by_insurance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard(_report(spark, sf_dir), TODAY).by_insurance
 
 

@@ -28,7 +28,7 @@ _TASK_CLEAN = """CASE {k} % 7 WHEN 0 THEN 'SN Visit' WHEN 1 THEN 'PT Visit' WHEN
 
 ROLES = {
     "visits": f"""
-        SELECT /*+ MERGE(o) */ l_orderkey || '-' || l_linenumber AS unique_visit_id,
+        SELECT l_orderkey || '-' || l_linenumber AS unique_visit_id,
                l_shipdate + INTERVAL '1' DAY * (l_partkey % 40)
                           + INTERVAL '1' HOUR * (l_suppkey % 24) AS updated_at,
                CAST(l_shipdate AS date) AS target_date,
