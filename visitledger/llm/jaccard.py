@@ -118,42 +118,50 @@ def _postings(texts: DataFrame, frequent: pd.DataFrame, threshold: float) -> Dat
     return texts.mapInArrow(work, "shingle long, node long, size int")
 
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The distinct `rows` whose `keys` belong to two nodes at least, with the smallest node as low."""
-    same = Window.partitionBy(*keys)
-    ends = rows.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
-    return ends.where("low < high").drop("high").distinct()
+def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
+    """Groups of candidates: members (the group's number), low (its smallest node), node.
+
+    Candidates share a shingle and have sizes of one or of neighbouring classes,
+    a class reaching from one size to 1 / threshold times that. Shingles with the
+    very same nodes, such as those of one passage, make one group. Everything up
+    to there happens where the postings of a shingle are.
+    """
+    by_shingle, by_class = Window.partitionBy("shingle"), Window.partitionBy("shingle", "class")
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
+    found = postings.repartition("shingle").distinct()
+    for window in (by_shingle, by_class):
+        found = found.withColumn("low", F.min("node").over(window)).withColumn("high", F.max("node").over(window))
+        found = found.where("low < high")
+        if window is by_shingle:
+            found = found.withColumn("class", F.explode(F.array(size_class, size_class + 1)))
+    members = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(by_class), F.count(F.lit(1)).over(by_class), "low")
+    return found.select(members.alias("members"), "low", "node").distinct()
 
 
 def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Nodes with their block, and the nodes to compare in each pair of blocks, numbered `at`.
 
-    Candidates share a shingle and have sizes of one or of neighbouring classes,
-    a class reaching from one size to 1 / threshold times that. A node's leader is
-    the smallest of its candidates, so near copies fall into one block; a leader
-    with many followers gets several. In a block everything is compared, between
-    two blocks what shares a shingle.
+    A node's leader is the smallest of its candidates, so near copies fall into
+    one block; a leader with many followers gets several. In a block everything is
+    compared, between two blocks what is in one group of candidates.
     """
-    size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
-    shared = stage(_shared(postings, "shingle").drop("low"), "jaccard-shared")
-    classed = shared.withColumn("class", F.explode(F.array(size_class, size_class + 1))).drop("size")
-    shared = stage(_shared(classed, "shingle", "class"), "jaccard-classed")
+    shared = stage(_candidates(postings, threshold), "jaccard-shared")
     nodes = stage(shared.groupBy("node").agg(F.min("low").alias("leader")), "jaccard-nodes")
     split = nodes.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     nodes = nodes.join(split, "leader").select("node", F.xxhash64("leader", part).alias("block"))
     nodes = stage(nodes, "jaccard-blocks")
     placed = stage(shared.drop("low").join(nodes, "node"), "jaccard-placed")
-    seen = stage(placed.select("shingle", "class", "block").distinct(), "jaccard-seen")
+    seen = stage(placed.select("members", "block").distinct(), "jaccard-seen")
     meeting = (
         seen.withColumnRenamed("block", "left")
-        .join(seen.withColumnRenamed("block", "right"), ["shingle", "class"])
+        .join(seen.withColumnRenamed("block", "right"), "members")
         .where("left < right")
-        .select("shingle", "class", F.struct("left", "right").alias("pair"))
+        .select("members", F.struct("left", "right").alias("pair"))
     )
     meeting = stage(meeting, "jaccard-meeting")
-    sides = meeting.select("shingle", "class", "pair", F.explode(F.array("pair.left", "pair.right")).alias("block"))
-    across = sides.join(placed, ["shingle", "class", "block"]).select("pair", "block", "node").distinct()
+    sides = meeting.select("members", "pair", F.explode(F.array("pair.left", "pair.right")).alias("block"))
+    across = sides.join(placed, ["members", "block"]).select("pair", "block", "node").distinct()
     across = across.select(F.xxhash64("pair").alias("at"), (F.col("block") == F.col("pair.left")).alias("first"), "node")
     return nodes, stage(across, "jaccard-pairs")
 
