@@ -58,7 +58,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_folder(spark)}/{name}-{uuid4().hex}"
     with _shuffles_removed_after_write(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
 
 
 def stage_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
@@ -87,11 +89,20 @@ def stage_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
     return [found[name] for name in frames]
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete a table that `stage` returned, once what was made from it is staged itself."""
+    _delete(df.sparkSession, df._staged_at)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_staged(spark: SparkSession) -> None:
     """Delete every table this application has staged.
 
     For the end of a run, once its results are written elsewhere. Deletes
     through the Hadoop file system, so the folder may be in any store.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, staging_folder(spark))
