@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitledger.llm.runs import chunks, mix
-from visitledger.sources.staging import stage
+from visitledger.sources.staging import drop_staged, stage
 
 #: Bytes of a repeat, and of the grams the first round ranks.
 THRESHOLD = 100
@@ -54,35 +54,52 @@ def _sliding(values: np.ndarray, width: int, choose: np.ufunc) -> np.ndarray:
     return choose(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Sampled positions of texts written one after the other, and their first ranks.
+class Sample:
+    """Grams of texts written one after the other, and which of them are sampled.
 
     Of the grams in each `threshold` bytes the one of the smallest name is
     sampled, so two equal strings of that length have a sample at the same place.
-    Returns place, name of the gram, name of its context, and how far the context
-    reaches to either side: all strings of `threshold` bytes around the gram, as
-    far as the text goes.
     """
-    nothing = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
-    if len(data) < threshold:
-        return nothing
-    names = Names(data)
-    n = len(data)
-    grams = mix(names.of(slice(0, n - gram + 1), slice(gram, n + 1)))
-    width = threshold - gram + 1
-    lowest = _sliding(grams, width, np.minimum)  # one for each start of a string
-    crossing = np.zeros(n + 1, np.int32)  # strings that start here run over the end of a text
-    for end in offsets[1:]:
-        crossing[max(0, end - threshold + 1) : end] = 1
-    lowest = np.where(crossing[: len(lowest)] == 0, lowest, np.uint64(0))
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), lowest, np.zeros(width - 1, np.uint64)])
-    highest = _sliding(padded, width, np.maximum)[: len(grams)]
-    place = np.flatnonzero((highest == grams) & (highest > 0))
-    text = np.searchsorted(offsets, place, side="right") - 1
-    left = np.minimum(place - offsets[text], threshold - gram)
-    right = np.minimum(offsets[text + 1] - place, threshold)
-    context = names.of(place - left, place + right)
-    return place, grams[place], mix(context + (left << 8).astype(np.uint64)), left, right
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, threshold: int, gram: int) -> None:
+        self.names, self.offsets, self.threshold, self.gram = Names(data), offsets, threshold, gram
+        n = len(data)
+        self.grams = mix(self.names.of(slice(0, n - gram + 1), slice(gram, n + 1)))
+        lowest = _sliding(self.grams, threshold - gram + 1, np.minimum)  # one for each start of a string
+        crossing = np.zeros(n + 1, bool)  # strings that start here run over the end of a text
+        for end in offsets[1:]:
+            crossing[max(0, end - threshold + 1) : end] = True
+        self.lowest = np.where(crossing[: len(lowest)], np.uint64(0), lowest)
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, place, side="right") - 1
+
+    def places(self) -> np.ndarray:
+        """The sampled positions."""
+        edge = np.zeros(self.threshold - self.gram, np.uint64)
+        highest = _sliding(np.concatenate([edge, self.lowest, edge]), self.threshold - self.gram + 1, np.maximum)
+        highest = highest[: len(self.grams)]
+        return np.flatnonzero((highest == self.grams) & (highest > 0))
+
+    def ranks(self, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Names of the grams at `place` and of their contexts, and how far these reach.
+
+        The context holds all strings of `threshold` bytes around the gram, as far
+        as the text goes.
+        """
+        text = self.text_of(place)
+        left = np.minimum(place - self.offsets[text], self.threshold - self.gram)
+        right = np.minimum(self.offsets[text + 1] - place, self.threshold)
+        context = mix(self.names.of(place - left, place + right) + (left << 8).astype(np.uint64))
+        return self.grams[place], context, left, right
+
+    def strings(self, place: np.ndarray) -> np.ndarray:
+        """Where the strings start that have their sample at one of `place`."""
+        width = self.threshold - self.gram + 1
+        starts = place[:, None] - np.arange(width)[None, :]
+        inside = (starts >= 0) & (starts < len(self.lowest))
+        found = np.where(inside, self.lowest[np.clip(starts, 0, max(0, len(self.lowest) - 1))], 0) == self.grams[place][:, None]
+        return np.unique(starts[inside & found])
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -102,33 +119,33 @@ def _long(values: np.ndarray) -> pa.Array:
 _RANKED = "gram long, context long, doc long, at long, left short, right short"
 
 
+def _fields(ddl: str) -> list[str]:
+    return [f.split()[0] for f in ddl.split(", ")]
+
+
 def _ranked(texts: DataFrame, threshold: int, gram: int) -> DataFrame:
     """First ranks of all sampled positions; a context that repeats in a chunk has gram null from its second place on."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in _batches(batches, 2):
-            place, grams, context, left, right = anchors(data, offsets, threshold, gram)
-            text = np.searchsorted(offsets, place, side="right") - 1
+            if len(data) < threshold:
+                continue
+            sample = Sample(data, offsets, threshold, gram)
+            place = sample.places()
+            ranks, text = sample.ranks(place), sample.text_of(place)
             doc = batch.column(0).to_numpy()[text]
             at = place - offsets[text] + (batch.column(1).to_numpy()[text] << _PLACE_BITS)
-            order = np.lexsort((at, doc, context, grams))
-            grams, context, doc, at = grams[order], context[order], doc[order], at[order]
+            order = np.lexsort((at, doc, ranks[1], ranks[0]))
+            grams, context, left, right = (r[order] for r in ranks)
+            doc, at = doc[order], at[order]
             again = np.zeros(len(order), bool)
             again[1:] = (grams[1:] == grams[:-1]) & (context[1:] == context[:-1])
-            columns = [
-                pa.array(grams.view(np.int64), mask=again),
-                pa.array(context.view(np.int64), mask=again),
-                pa.array(doc),
-                pa.array(at),
-                pa.array(left[order].astype(np.int16)),
-                pa.array(right[order].astype(np.int16)),
-            ]
-            keep = np.ones(len(order), bool)
             start = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
             same = again & (doc == doc[start]) & (at == at[start])  # a repeated row, not a repeat
-            keep[same] = False
-            names = [f.split()[0] for f in _RANKED.split(", ")]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+            blank = [pa.array(r.view(np.int64), mask=again) for r in (grams, context)]
+            sides = [pa.array(r.astype(np.int16)) for r in (left, right)]
+            columns = [*blank, pa.array(doc), pa.array(at), *sides]
+            yield pa.RecordBatch.from_arrays(columns, _fields(_RANKED)).filter(pa.array(~same))
 
     return texts.mapInArrow(work, _RANKED)
 
@@ -149,7 +166,7 @@ class Neighbours:
         self.open = True
 
     def add(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Repeats and open positions that `rows` (gram, context, doc, at, left, right) decide."""
+        """Repeats and open positions that `rows` (gram, context, doc, at and more) decide."""
         gram, context, doc, at = rows[0], rows[1], rows[2], rows[3]
         new_gram = np.concatenate([[gram[0] != self.gram], gram[1:] != gram[:-1]])
         new = new_gram | np.concatenate([[context[0] != self.context], context[1:] != context[:-1]])
@@ -187,13 +204,16 @@ class Neighbours:
         return np.zeros((6, 0), np.int64) if self.waiting is None else self.waiting
 
 
+_DECIDED = "doc long, at long, left short, right short, open boolean"
+
+
 def _decided(ranked: DataFrame) -> DataFrame:
-    """Sort the ranks over all partitions; returns repeats and open positions as doc, at, left, right, open."""
+    """Sort the ranks over all partitions; returns repeats and open positions."""
     order = ["gram", "context", "doc", "at"]
 
     def table(rows: np.ndarray, is_open: bool) -> pa.RecordBatch:
-        columns = [pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4].astype(np.int16)), pa.array(rows[5].astype(np.int16))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([is_open] * rows.shape[1], pa.bool_())], ["doc", "at", "left", "right", "open"])
+        columns = [pa.array(rows[2]), pa.array(rows[3]), *(pa.array(r.astype(np.int16)) for r in rows[4:6])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([is_open] * rows.shape[1], pa.bool_())], _fields(_DECIDED))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Neighbours()
@@ -205,20 +225,21 @@ def _decided(ranked: DataFrame) -> DataFrame:
         yield table(state.finish(), True)
 
     spread = ranked.where("gram IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order)
-    found = spread.mapInArrow(work, "doc long, at long, left short, right short, open boolean")
+    found = spread.mapInArrow(work, _DECIDED)
     local = ranked.where("gram IS NULL").select("doc", "at", "left", "right", F.lit(False).alias("open"))
     return found.unionByName(local)
 
 
-_STRINGS = "doc long, at long, head long, second long, wide long, last long"
+_STRINGS = "doc long, at long, head long, tail long, again boolean"
 
 
 def _strings(texts: DataFrame, is_open: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """All strings of `threshold` bytes around open positions, with the names of their parts.
+    """The strings of `threshold` bytes sampled at open positions, with the names of two doubled grams.
 
-    head and second name the grams at offsets 0 and GRAM, wide the first two grams
-    together, last as many bytes up to the end: the pairs that the doubling rounds
-    compare.
+    head is the name of the first two grams' bytes, tail that of as many bytes up
+    to the end: the pair that the last round compares. A string that repeats in a
+    chunk is sent once; from its second place on it is marked `again` and its tail
+    is the place, so that a string of many documents is spread.
     """
     places = is_open.groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("tie")).agg(
         F.collect_list(F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).alias("places")
@@ -228,40 +249,40 @@ def _strings(texts: DataFrame, is_open: DataFrame, threshold: int, gram: int) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in _batches(batches, 2):
-            names = Names(data)
-            wanted = np.zeros(len(data) + 1, np.int32)
-            for i, places in enumerate(batch.column(3).to_pylist()):
-                place = np.array(places, np.int64)
-                low = np.maximum(place - (threshold - gram), 0) + offsets[i]
-                high = np.minimum(place + offsets[i], offsets[i + 1] - threshold) + 1
-                np.add.at(wanted, low[high > low], 1)
-                np.add.at(wanted, high[high > low], -1)
-            start = np.flatnonzero(np.cumsum(wanted) > 0)
-            text = np.searchsorted(offsets, start, side="right") - 1
+            if len(data) < threshold:
+                continue
+            sample = Sample(data, offsets, threshold, gram)
+            own = [np.array(p, np.int64) + offsets[i] for i, p in enumerate(batch.column(3).to_pylist())]
+            place = np.concatenate(own)
+            start = [sample.strings(place[at : at + 20_000]) for at in range(0, len(place), 20_000)]
+            start = np.unique(np.concatenate(start)) if start else place
+            text = sample.text_of(start)
             at = start - offsets[text] + (batch.column(1).to_numpy()[text] << _PLACE_BITS)
-            parts = ((0, gram), (gram, 2 * gram), (0, 2 * gram), (threshold - 2 * gram, threshold))
-            columns = [pa.array(batch.column(0).to_numpy()[text]), pa.array(at)]
-            columns += [_long(names.of(start + a, start + b)) for a, b in parts]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _STRINGS.split(", ")])
+            doc = batch.column(0).to_numpy()[text]
+            head, tail = (sample.names.of(start + a, start + a + 2 * gram) for a in (0, threshold - 2 * gram))
+            order = np.lexsort((at, doc, tail, head))
+            doc, at, head, tail = doc[order], at[order], head[order], tail[order]
+            again = np.zeros(len(order), bool)
+            again[1:] = (head[1:] == head[:-1]) & (tail[1:] == tail[:-1])
+            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+            same = again & (doc == doc[first]) & (at == at[first])  # a repeated row, not a repeat
+            tail = np.where(again, mix(at.astype(np.uint64) ^ tail), tail)
+            columns = [pa.array(doc), pa.array(at), _long(head), _long(tail), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(columns, _fields(_STRINGS)).filter(pa.array(~same))
 
-    columns = joined.select("doc", "tie", "bytes", "places")
-    return columns.mapInArrow(work, _STRINGS).distinct()
+    return joined.select("doc", "tie", "bytes", "places").mapInArrow(work, _STRINGS)
 
 
 def _doubled(strings: DataFrame) -> DataFrame:
     """Strings that also start earlier, as doc, at.
 
-    One round ranks the pairs of grams at offset GRAM and drops what is unique;
-    the next ranks the pairs of such doubled strings at the offset that takes
-    them to the threshold. In it the first position of a rank stays. Ranks are
-    counted before they meet the rows again, so one that many rows share is split.
+    The last round sorts pairs of doubled grams at the offset that takes them to
+    the threshold. Of equal pairs the first position stays.
     """
-    pairs = strings.groupBy("head", "second").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    pairs = stage(pairs.select("head", "second"), "repeat-pairs")
-    strings = stage(strings.join(pairs, ["head", "second"], "left_semi"), "repeat-doubled")
-    firsts = strings.groupBy("wide", "last").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("many"))
-    firsts = stage(firsts.where("many > 1").drop("many"), "repeat-firsts")
-    return strings.join(firsts, ["wide", "last"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at")
+    ranked = Window.partitionBy("head", "tail").orderBy("doc", "at")
+    first = F.first(F.struct("doc", "at")).over(ranked)
+    repeated = F.col("again") | (F.struct("doc", "at") != F.col("first"))
+    return strings.withColumn("first", first).where(repeated).select("doc", "at")
 
 
 def remove_repeats(
@@ -278,9 +299,9 @@ def remove_repeats(
     position would move many times the input, so the first round ranks a sample:
     of the grams in each `threshold` bytes that of the smallest name. Spark sorts
     their pairs of ranks, gram and context (all strings around it). Equal pairs
-    are repeats as a whole, unique grams drop out, and only around grams with
-    several contexts all positions go on to the rounds with growing offsets.
-    Ranks are names, 64-bit hashes, and always compared in pairs.
+    are repeats as a whole and unique grams drop out. Around grams with several
+    contexts the last round sorts all strings as pairs of doubled grams. Ranks are
+    names, 64-bit hashes, and always compared in pairs.
 
     Null texts are empty; texts shorter than `threshold` lose nothing. A null id
     is smaller than any other. Rows that share an id are in the order of their
@@ -297,10 +318,12 @@ def remove_repeats(
     large = texts.where(F.octet_length("bytes") >= threshold).select("doc", "tie", "bytes")
     ranked = stage(_ranked(large, threshold, gram), "repeat-ranks")
     decided = stage(_decided(ranked), "repeat-decided")
-    strings = stage(_strings(large, decided.where("open"), threshold, gram), "repeat-strings")
+    drop_staged(ranked)
+    strings = _strings(large, decided.where("open"), threshold, gram)
+    fresh = stage(_doubled(strings), "repeat-fresh")
     place = F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     known = decided.where("NOT open").select("doc", "at", (place - F.col("left")).alias("start"), (place + F.col("right")).alias("end"))
-    fresh = _doubled(strings).select("doc", "at", place.alias("start"), (place + threshold).alias("end"))
+    fresh = fresh.select("doc", "at", place.alias("start"), (place + threshold).alias("end"))
     spans = (
         known.unionByName(fresh)
         .groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("tie"))
