@@ -16,15 +16,15 @@ from visitledger.sources.staging import drop_staged, stage
 THRESHOLD = 100
 GRAM = 32
 #: Bytes of text a task hashes at once.
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 #: Stands for a null id; smaller than any other.
 _NULL = -(1 << 63)
-#: A position is the place in the text plus, above it, bits of the text's hash: they
-#: tell rows of one id apart.
+#: A position is the place in the text plus, above it, where ids repeat, bits of the
+#: text's hash: they tell rows of one id apart.
 _PLACE_BITS = 40
 
 
@@ -230,16 +230,16 @@ def _decided(ranked: DataFrame) -> DataFrame:
     return found.unionByName(local)
 
 
-_STRINGS = "doc long, at long, head long, tail long, again boolean"
+_STRINGS = "doc long, at long, name long, more int, again boolean"
 
 
 def _strings(texts: DataFrame, is_open: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """The strings of `threshold` bytes sampled at open positions, with the names of two doubled grams.
+    """The strings of `threshold` bytes sampled at open positions, with their ranks.
 
-    head is the name of the first two grams' bytes, tail that of as many bytes up
-    to the end: the pair that the last round compares. A string that repeats in a
-    chunk is sent once; from its second place on it is marked `again` and its tail
-    is the place, so that a string of many documents is spread.
+    A rank is made of the names of two doubled grams, at offset 0 and at the one
+    that takes them to the threshold: 96 bits in name and more. A string that
+    repeats in a chunk is sent once; from its second place on it is marked `again`
+    and named after the place, so that a string of many documents is spread.
     """
     places = is_open.groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("tie")).agg(
         F.collect_list(F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).alias("places")
@@ -260,26 +260,23 @@ def _strings(texts: DataFrame, is_open: DataFrame, threshold: int, gram: int) ->
             at = start - offsets[text] + (batch.column(1).to_numpy()[text] << _PLACE_BITS)
             doc = batch.column(0).to_numpy()[text]
             head, tail = (sample.names.of(start + a, start + a + 2 * gram) for a in (0, threshold - 2 * gram))
-            order = np.lexsort((at, doc, tail, head))
-            doc, at, head, tail = doc[order], at[order], head[order], tail[order]
+            name, more = mix(head + mix(tail)), (mix(tail ^ (head >> np.uint64(7))) >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((at, doc, more, name))
+            doc, at, name, more = doc[order], at[order], name[order], more[order]
             again = np.zeros(len(order), bool)
-            again[1:] = (head[1:] == head[:-1]) & (tail[1:] == tail[:-1])
+            again[1:] = (name[1:] == name[:-1]) & (more[1:] == more[:-1])
             first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
             same = again & (doc == doc[first]) & (at == at[first])  # a repeated row, not a repeat
-            tail = np.where(again, mix(at.astype(np.uint64) ^ tail), tail)
-            columns = [pa.array(doc), pa.array(at), _long(head), _long(tail), pa.array(again)]
+            name = np.where(again, mix(at.astype(np.uint64) ^ name), name)
+            columns = [pa.array(doc), pa.array(at), _long(name), pa.array(more.view(np.int32)), pa.array(again)]
             yield pa.RecordBatch.from_arrays(columns, _fields(_STRINGS)).filter(pa.array(~same))
 
     return joined.select("doc", "tie", "bytes", "places").mapInArrow(work, _STRINGS)
 
 
 def _doubled(strings: DataFrame) -> DataFrame:
-    """Strings that also start earlier, as doc, at.
-
-    The last round sorts pairs of doubled grams at the offset that takes them to
-    the threshold. Of equal pairs the first position stays.
-    """
-    ranked = Window.partitionBy("head", "tail").orderBy("doc", "at")
+    """Strings that also start earlier, as doc, at: of equal ranks the first position stays."""
+    ranked = Window.partitionBy("name", "more").orderBy("doc", "at")
     first = F.first(F.struct("doc", "at")).over(ranked)
     repeated = F.col("again") | (F.struct("doc", "at") != F.col("first"))
     return strings.withColumn("first", first).where(repeated).select("doc", "at")
@@ -301,7 +298,7 @@ def remove_repeats(
     their pairs of ranks, gram and context (all strings around it). Equal pairs
     are repeats as a whole and unique grams drop out. Around grams with several
     contexts the last round sorts all strings as pairs of doubled grams. Ranks are
-    names, 64-bit hashes, and always compared in pairs.
+    names: hashes of 64 bits, and always more than one is compared.
 
     Null texts are empty; texts shorter than `threshold` lose nothing. A null id
     is smaller than any other. Rows that share an id are in the order of their
@@ -311,7 +308,9 @@ def remove_repeats(
     if not 2 * gram <= threshold <= 4 * gram:
         raise ValueError("threshold must be two to four grams")
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), _PLACE_BITS + 1)
+    tie = F.lit(0).cast("long")
+    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), _PLACE_BITS + 1)
     texts = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), tie.alias("tie"), data.alias("bytes"), F.col(id_col).alias("id")
     )
@@ -319,8 +318,9 @@ def remove_repeats(
     ranked = stage(_ranked(large, threshold, gram), "repeat-ranks")
     decided = stage(_decided(ranked), "repeat-decided")
     drop_staged(ranked)
-    strings = _strings(large, decided.where("open"), threshold, gram)
+    strings = stage(_strings(large, decided.where("open"), threshold, gram), "repeat-strings")
     fresh = stage(_doubled(strings), "repeat-fresh")
+    drop_staged(strings)
     place = F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     known = decided.where("NOT open").select("doc", "at", (place - F.col("left")).alias("start"), (place + F.col("right")).alias("end"))
     fresh = fresh.select("doc", "at", place.alias("start"), (place + threshold).alias("end"))
