@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.frames import explained
 from visitledger.plans import claims, episodes, report, revenue, visits
-from visitledger.sources.staging import stage, stage_all, staging_folder
+from visitledger.sources.staging import drop_staged, stage, stage_all, staging_folder, temporary_tables
 from workload.queries import QUERIES
 from workload.roles import SNAPSHOT, inputs
 
@@ -86,6 +86,13 @@ def test_staging_removes_shuffles_and_its_own_files(spark, tmp_path):
     assert df.count() == 7
     mine = Path(df.inputFiles()[0].removeprefix("file://")).parent
     assert mine.exists()
+    with temporary_tables(spark):
+        inner = stage_all({"x": df.select("k"), "y": df.select("count")})
+        places = [Path(t.inputFiles()[0].removeprefix("file://")).parent for t in inner]
+        assert all(p.exists() for p in places)
+    assert not any(p.exists() for p in places) and mine.exists()
+    drop_staged(df)
+    assert not mine.exists()
     with pytest.raises(AnalysisException):
         stage_all({"a": spark.range(3).select("id"), "b": spark.range(3).selectExpr("nothing")})
 

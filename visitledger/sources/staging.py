@@ -14,6 +14,7 @@ SETTING = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = Lock()
 _writers = 0
+_owners: list[list[str]] = []
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -51,11 +52,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Used where several branches need one result: it is computed once, survives
     the loss of executors, and each branch reads only its own columns. The
-    caller's result may be read at any later time, so the files stay until
-    `remove_staged` or until the folder is cleaned, like Spark's checkpoints.
+    caller's result may be read at any later time, so the files stay until the
+    end of `temporary_tables` or until the folder is cleaned, like checkpoints.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/{name}-{uuid4().hex}"
+    with _lock:
+        for paths in _owners:
+            paths.append(path)
     with _shuffles_removed_after_write(spark):
         df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
@@ -89,6 +93,24 @@ def stage_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
     return [found[name] for name in frames]
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside when the block ends.
+
+    Write the result within the block; afterwards its inputs are gone.
+    """
+    paths: list[str] = []
+    with _lock:
+        _owners.append(paths)
+    try:
+        yield
+    finally:
+        with _lock:
+            _owners[:] = [x for x in _owners if x is not paths]
+        for path in paths:
+            _delete(spark, path)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete a table that `stage` returned, once what was made from it is staged itself."""
     _delete(df.sparkSession, df._staged_at)
@@ -97,12 +119,3 @@ def drop_staged(df: DataFrame) -> None:
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def remove_staged(spark: SparkSession) -> None:
-    """Delete every table this application has staged.
-
-    For the end of a run, once its results are written elsewhere. Deletes
-    through the Hadoop file system, so the folder may be in any store.
-    """
-    _delete(spark, staging_folder(spark))
