@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from visitledger.llm.exact_dedup import keyed, row_hash, whole
 from visitledger.llm.runs import chunks
 from visitledger.llm.shingles import min_hashes, set_keys, shingle_sets
-from visitledger.sources.staging import stage
+from visitledger.sources.staging import drop_staged, stage
 
 THRESHOLD = 0.8
 #: MinHash values of a set, how many are compared at a time, and the probability of
@@ -371,7 +371,9 @@ def jaccard_classes(
     nodes, across = _blocks(_postings(rows.select("text"), frequent, threshold), threshold)
     involved = groups.join(nodes, "node").select("rep", "key", "copies", "node", "block")
     texts = rows.join(involved, rows["id"].eqNullSafe(involved["rep"])).select("key", "copies", "node", "block", "text")
-    found = stage(_links(stage(texts, "jaccard-texts"), across, threshold), "jaccard-links")
+    texts = stage(texts, "jaccard-texts")
+    found = stage(_links(texts, across, threshold), "jaccard-links")
+    drop_staged(texts)
     labels = connected(found.select("key", "root"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
 
