@@ -63,14 +63,14 @@ class Evidence:
 
 
 def fit_evidence(labelled: DataFrame) -> Evidence:
-    """Fit on `labelled` (text, quality 0 or 1), all of it.
+    """Fit on `labelled` (the bins of `features` by name, quality 0 or 1), all of it.
 
     Spark counts good and bad rows per bin; what comes back has BINS rows per
     feature. Rows without a label are left out. Without labels there is no
     evidence either way.
     """
-    bins = features(F.col("text"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("bin")) for k, v in bins.items()]))
+    bins = [c for c in labelled.columns if c != "quality"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("bin")) for k in bins]))
     rows = (
         labelled.where("quality IN (0, 1)")
         .select("quality", pairs.alias("x"))
@@ -158,8 +158,9 @@ def score_quality(
     table gives an empty result.
     """
     known = labels.where("quality IN (0, 1)").select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("quality"))
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("_id"))
-    evidence = fit_evidence(labelled)
+    # the bins meet the labels, not the texts
+    binned = docs.select(F.col(id_col).alias("id"), *[v.alias(k) for k, v in features(F.col(text_col)).items()])
+    evidence = fit_evidence(binned.join(known, F.col("id") == F.col("_id")).drop("id", "_id"))
     rate = known.agg(F.avg("quality")).first()[0]
     prior = min(max(0.5 if rate is None else float(rate), 1e-3), 1 - 1e-3)
 
