@@ -117,6 +117,38 @@ def test_quality_on_held_out_rows(spark, tmp_path):
     assert all(got[r[0]]["keep"] == r[1].startswith("w") for r in held)
 
 
+def _repeating(rng, many):
+    """Good texts of all lengths over few short words; junk is mostly one of them."""
+    pool, rows, labels = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(200)], [], []
+    for i in range(many):
+        size, good, said = rng.choice([40, 200, 1000, 4000]), rng.random() < 0.7, rng.choice(pool)
+        text = " ".join(rng.choice(pool) if good or rng.random() < 0.2 else said for _ in range(size))
+        rows.append((*doc(i, text, source=f"s{i % 5}"), good))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    return rows, labels
+
+
+def test_repeated_words_are_rejected_on_held_out_rows(spark):
+    rows, labels = _repeating(random.Random(8), 900)
+    docs = frame(spark, [r[:5] for r in rows]).repartition(8)
+    got = {r["doc"]["doc_id"]: r["keep"] for r in quality.score_quality(docs, frame(spark, labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [r for r in rows if r[0] % 2 == 0]
+    bad, good = [r for r in held if not r[5]], [r for r in held if r[5]]
+    assert sum(got[r[0]] for r in bad) <= 0.02 * len(bad)
+    assert sum(not got[r[0]] for r in good) <= 0.01 * len(good)
+
+
+def test_repetition(spark):
+    texts = ["", "a", "a b", "a a", "a a b b c c", "a b a c a", "The the THE x", "b a " * 50, "x " * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", quality.repetition(F.split(F.lower(F.trim("t")), r"\s+")).alias("r")).collect()
+    for r in got:
+        w = r["t"].strip().lower().split() or [""]
+        most = max(sum(a == b for a, b in zip(w, w[1:])), max(Counter(w).values()) - 1)
+        assert r["r"] == pytest.approx(most / max(1, len(w) - 1)), r["t"]
+
+
 def test_site_posteriors(spark):
     rows = [("big", "a", 3.0)] * 300 + [("big", "b", -3.0)] * 100 + [("tiny", "a", -3.0)] + [(None, None, 3.0)]
     got = {(r["host"], r["path"]): r for r in quality.site_posteriors(frame(spark, rows, "host string, path string, evidence double"), 0.5).collect()}

@@ -14,13 +14,36 @@ from visitledger.sources.staging import stage
 #: Values a feature is binned into, and what is added to each bin's counts.
 BINS = 16
 SMOOTHING = 1.0
-#: A document whose probability of being good is below this is rejected; losing a good
-#: one costs more than keeping a bad one.
+#: A document whose probability of being good is below this is rejected. The README has
+#: the errors on held-out labels at this and other cuts.
 THRESHOLD = 0.2
 #: Bounds of the weight, in documents, of what a site is shrunk towards.
 STRENGTH = (2.0, 10_000.0)
 
 
+def repetition(words: Column) -> Column:
+    """How much of a text is one word again and again, 0 to 1.
+
+    The larger of two shares: that of neighbouring words which are equal, and that of
+    words which repeat the most frequent one. A single word repeats nothing.
+    """
+
+    def equal(w: Column) -> Column:
+        """A 1 for each word that equals the one before it, else a 0."""
+        pairs = F.size(w) - 1
+        marks = F.zip_with(
+            F.slice(w, F.lit(1), pairs), F.slice(w, F.lit(2), pairs), lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0"))
+        )
+        return F.array_join(marks, "")
+
+    def share(w: Column) -> Column:
+        beside = F.length(F.replace(equal(w), F.lit("0"), F.lit("")))
+        again = F.array_max(F.transform(F.split(equal(F.sort_array(w)), "0+"), lambda run: F.length(run)))
+        return F.greatest(beside, again) / F.greatest(F.size(w) - 1, F.lit(1))
+
+    return F.get(F.transform(F.array(words), share), F.lit(0))  # the words are split once
+
+
 def features(text: Column) -> dict[str, Column]:
     """Bin of each feature of a text, 0 to BINS - 1."""
     t = F.coalesce(text, F.lit(""))
@@ -45,6 +68,7 @@ def features(text: Column) -> dict[str, Column]:
         "fresh_words": F.floor(F.size(F.array_distinct(words)) / many * BINS),
         "fresh_lines": F.floor(F.size(F.array_distinct(lines)) / F.size(lines) * BINS),
         "word_length": F.floor(length / many),
+        "repetition": fine(repetition(words)),
     }
     return {k: F.least(F.greatest(v, F.lit(0)), F.lit(BINS - 1)).cast("int") for k, v in found.items()}
 
@@ -158,9 +182,11 @@ def score_quality(
     table gives an empty result.
     """
     known = labels.where("quality IN (0, 1)").select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("quality"))
-    # the bins meet the labels, not the texts
-    binned = docs.select(F.col(id_col).alias("id"), *[v.alias(k) for k, v in features(F.col(text_col)).items()])
-    evidence = fit_evidence(binned.join(known, F.col("id") == F.col("_id")).drop("id", "_id"))
+    # labels and sites meet the bins, not the texts
+    bins = features(F.col(text_col))
+    own_columns = [F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path")]
+    binned = stage(docs.select(*own_columns, *[v.alias(k) for k, v in bins.items()]), "quality-bins")
+    evidence = fit_evidence(binned.join(known, F.col("id") == F.col("_id")).select(*bins, "quality"))
     rate = known.agg(F.avg("quality")).first()[0]
     prior = min(max(0.5 if rate is None else float(rate), 1e-3), 1 - 1e-3)
 
@@ -168,9 +194,11 @@ def score_quality(
         whole(docs),
         F.col(host_col).alias("host"),
         F.col(path_col).alias("path"),
-        evidence.column(features(F.col(text_col))).alias("evidence"),
+        evidence.column(bins).alias("evidence"),
     )
-    sites = stage(site_posteriors(scored.select("host", "path", "evidence"), prior), "quality-sites")
+    known_bins = {k: F.col(k) for k in bins}
+    counted = binned.select("host", "path", evidence.column(known_bins).alias("evidence"))
+    sites = stage(site_posteriors(counted, prior), "quality-sites")
     sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
     own = _sigmoid(F.col("evidence") + F.lit(log(prior / (1 - prior))))
     others = F.greatest(F.col("path_sum") - own, F.lit(0.0)) + F.col("path_strength") * F.col("host_rate")
