@@ -195,6 +195,17 @@ def _like(a, b):
     return 0.0 if min(len(a), len(b)) < spots.LEAST * max(len(a), len(b)) else len(a & b) / len(a | b)
 
 
+def test_likeness_of_very_different_lengths(spark):
+    pairs = [([1], list(range(100))), (list(range(200)), [7, 9]), ([], [1] * 1), ([], []), ([1, 2], [2, 3]), ([500], list(range(100)))]
+    got = spark.createDataFrame(pairs, "a array<int>, b array<int>").select("a", "b", spots.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    for a, b, x in got:
+        a, b = set(a), set(b)
+        assert x == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    texts = {2: " ".join(f"v{i}x" for i in range(300)), 1: "v0x v1x v2x v3x"}
+    rows = {r["id"]: r for r in spots.fingerprints(frame(spark, [doc(i, t) for i, t in texts.items()])).collect()}
+    assert rows[2]["near_next"] == pytest.approx(1 / 297)
+
+
 def test_fingerprints_close_the_circle(spark):
     one = spots.fingerprints(frame(spark, [doc(1, "abcdef")])).first()
     assert one["edited"] == "abcdab" and one["near_next"] == 1.0
