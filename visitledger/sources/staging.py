@@ -21,14 +21,26 @@ def staging_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     `spark.checkpoint.dir`, or the directory given to `setCheckpointDir`. Where
-    neither is set, a folder inside the warehouse, which every executor reaches
-    as well.
+    neither is set, a folder inside the warehouse, unless the executors are on
+    other machines and the warehouse is on this one's disk: that is an error.
     """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    folder = folder or spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
+        if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors reach; {folder} is local")
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def owned_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the end of `temporary_tables`."""
+    path = f"{staging_folder(spark)}/{name}-{uuid4().hex}"
+    with _lock:
+        for paths in _owners:
+            paths.append(path)
+    return path
+
+
 @contextmanager
 def _shuffles_removed_after_write(spark: SparkSession) -> Iterator[None]:
     """While a staged table is written, its shuffle files go as soon as it is done."""
@@ -56,10 +68,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     end of `temporary_tables` or until the folder is cleaned, like checkpoints.
     """
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/{name}-{uuid4().hex}"
-    with _lock:
-        for paths in _owners:
-            paths.append(path)
+    path = owned_path(spark, name)
     with _shuffles_removed_after_write(spark):
         df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
