@@ -1,0 +1,107 @@
+"""Ranked search against brute force and SQL."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tests.compare import differences, duck
+from tests.llm.tables import DOCS, doc, frame, odd_docs, words
+from visitledger.llm import search
+from visitledger.llm.oracle import ORACLE
+from visitledger.llm.queries import QUERIES
+
+_FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+ITEMS = "item_id long, text string"
+
+
+def _terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(_FOLD))
+
+
+def _ranked(docs, items, top=10):
+    held = [(i, Counter(_terms(t))) for i, t in docs]
+    lengths = [sum(c.values()) for _, c in held]
+    many, total = sum(n > 0 for n in lengths), sum(lengths)
+    df = Counter(t for _, c in held for t in c)
+    rows = []
+    for item, text in items:
+        scores = []
+        for (doc_id, c), n in zip(held, lengths):
+            score = 0
+            for t in _terms(text):
+                if c[t]:
+                    w = math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1)))
+                    score += w * ((10**9 * c[t]) // (1000 * c[t] + 8 * (25 + (75 * n * many) // total)))
+            if score > 0:
+                scores.append((-score, doc_id is not None, doc_id or 0, doc_id))
+        rows += [(item, r + 1, s[3], -s[0]) for r, s in enumerate(sorted(scores, key=lambda s: s[:3])[:top])]
+    return sorted(rows, key=str)
+
+
+def _got(docs, items, **options):
+    found = search.search(docs, items, **options)
+    return sorted((tuple(r) for r in found.select("item_id", "rank", "doc_id", "score").collect()), key=str)
+
+
+def _corpus(rng):
+    rows = [doc(i, " ".join(words(rng, rng.randrange(0, 60), 150))) for i in range(400)]
+    rows += [doc(1000 + i, "same words here w1x W2X") for i in range(30)]  # ties
+    items = [(i, " ".join(words(rng, rng.randrange(0, 30), 200))) for i in range(40)] + [(99, "Same w1x w1x")]
+    return rows, items
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_search(spark, block, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(search, "TREE_DOCS", 64)
+    rows, items = _corpus(random.Random(block))
+    items = items[:8] if block == 3 else items
+    got = _got(frame(spark, rows).repartition(6), frame(spark, items, ITEMS))
+    assert got == _ranked([(r[0], r[1]) for r in rows], items)
+
+
+def test_odd_rows(spark):
+    items = [(1, None), (2, ""), (3, "the cat ÀÉ 你好"), (3, "dog the"), (None, "mat ☃ w17x"), (4, "nowhere")]
+    rows = odd_docs()
+    docs = frame(spark, [(*r, 1, "t", 2) for r in rows], DOCS + ", n int, terms string, score int")
+    assert _got(docs, frame(spark, items, ITEMS)) == _ranked([(r[0], r[1]) for r in rows], items)
+    assert _got(docs.limit(0), frame(spark, items, ITEMS)) == []
+    assert _got(docs, frame(spark, [], ITEMS)) == []
+    assert _got(docs, frame(spark, items, ITEMS), top=2) == _ranked([(r[0], r[1]) for r in rows], items, 2)
+
+
+def test_walk_prunes_and_stays_exact(monkeypatch):
+    """Topics that share no rare words: most pairs of leaves are never scored."""
+    monkeypatch.setattr(search, "LEAF_ITEMS", 2)
+    monkeypatch.setattr(search, "LEAF_DOCS", 4)
+    rng = np.random.default_rng(5)
+    topics, terms = 8, 20
+    weighed = np.zeros((32, topics * terms), np.int64)
+    for i in range(32):
+        weighed[i, (i % topics) * terms + rng.integers(0, terms, 8)] = rng.integers(1, 9000, 8)
+    walk, scored, all_scores = search.Search(weighed, 3), [], defaultdict(list)
+    monkeypatch.setattr(search.Search, "_score", lambda self, a, d, docs, f=search.Search._score: (scored.append(1), f(self, a, d, docs)))
+    for at in range(0, 600, 200):
+        owned = [np.sort(rng.choice(terms, 6, replace=False)) + (i % topics) * terms for i in range(200)]
+        shares = rng.integers(1, 900_000, 1200)
+        walk.add(search.Documents(list(range(at, at + 200)), np.arange(0, 1201, 6), np.concatenate(owned), shares, walk.profiles))
+        for j, own in enumerate(owned):
+            for i, score in enumerate((weighed[:, own] @ shares[6 * j : 6 * j + 6]).tolist()):
+                if score:
+                    all_scores[i].append((-score, True, at + j))
+    assert walk.best == [sorted(all_scores[i])[:3] for i in range(32)]
+    assert len(scored) < 16 * 150 / 3
+
+
+def test_query(spark):
+    con = duck("/root/testdata/sf0.001")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    found = QUERIES["op12_search"](spark, "/root/testdata/sf0.001")
+    assert differences(found, con, ORACLE["op12_search"]) == []

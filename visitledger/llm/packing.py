@@ -58,7 +58,9 @@ class WordTokens:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Tokenise `words` and enter them under their hashes, which are sorted."""
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
+        self._enter(hashes, [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words])
+
+    def _enter(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
         count = np.fromiter(map(len, ids), np.int32, len(ids))
         at = np.searchsorted(self.known, hashes)
         begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count

@@ -13,8 +13,11 @@ from visitledger.llm.mixing import mixing_plan
 from visitledger.llm.packing import pack
 from visitledger.llm.quality import score_quality
 from visitledger.llm.repeats import remove_repeats
+from visitledger.llm.search import search
 from visitledger.llm.sharding import assign_shards
+from visitledger.llm.spelling import spelling_variants
 from visitledger.llm.spots import fingerprint, fingerprints
+from visitledger.llm.token_files import round_trip as token_round_trip
 from visitledger.llm.warc import round_trip
 
 
@@ -104,6 +107,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(documents(spark, sf_dir)).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -115,5 +135,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
+    "op11_spelling": op11_spelling,
+    "op12_search": op12_search,
+    "op13_token_files": op13_token_files,
     "pipeline": corpus_pipeline.run,
 }
