@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
+from decimal import Decimal
+
+from pyspark.sql import functions as F
 
 from tests.frames import at, day, frame, rows
 from visitledger.plans.claims import (
@@ -162,3 +165,15 @@ def test_claims_get_their_payer_once(spark):
     ]
     got = map_claims(claims(spark, claim("a", insurance="M"), claim("b")), frame(spark, schemas.INSURANCE_MAP, payers))
     assert rows(got, "unique_claim_id", "parent_insurance") == [("a", "a"), ("b", None)]
+
+
+def test_sums_do_not_depend_on_the_order(spark):
+    """Amounts that doubles add up differently in every order."""
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(30)]
+    amounts = [0.1, 1e11, 0.2, -1e11, 0.3, 1 / 3, 2 / 3] * 5
+    visits = [(f"v{i}", d.isoformat(), amounts[i]) for i, d in enumerate(days)]
+    found = set()
+    for seed in range(5):
+        made = revenue(spark, *visits).orderBy(F.rand(seed)).repartition(seed + 1)
+        found.add(allocate_first_claim(claims(spark, claim("a")), made).first()["expected_revenue"])
+    assert found == {sum(Decimal(str(round(amounts[i], 6))) for i in range(30)).__float__()}

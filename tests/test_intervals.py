@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 from datetime import date, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.frames import explained, frame, rows
@@ -14,6 +17,7 @@ from visitledger.operators import (
     interval_left_join,
     spans_without_points,
 )
+from visitledger.operators.keys import count_below
 
 BASE = date(1969, 10, 1)  # either side of day number zero
 LENGTHS = (0, 1, 30, 62, 63, 64, 65, 90, 510, 511, 512, 513, 3000, -5)
@@ -125,7 +129,7 @@ def test_plans_without_pairing_whole_keys(spark, no_broadcast):
     _, _, left, right = _frames(spark, 0)
     plan = explained(interval_left_join(left, right, take=["j"], **ARGS))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert "__block" in plan and "ScalarSubquery" not in plan and "Subquery" not in plan
+    assert "Subquery" not in plan
     # Existence needs no join of points with spans at all, only the way back.
     assert explained(cover_semi(left, right, **ARGS)).count("SortMergeJoin") == 1
 
@@ -157,17 +161,23 @@ def test_hot_key_makes_no_more_pairs(spark, share):
 
 @pytest.mark.parametrize("hi", ["date_add(d, 599)", "DATE '9999-12-31'", "date_add(d, cast(5000 + id % 900 as int))"])
 def test_long_spans_meet_only_the_points_inside(spark, hi):
-    """One key, many days, long and open spans: the join's output is the hits."""
+    """One key, many days, long and open spans: days are one row, spans meet it once, the rest are hits."""
     from visitledger.operators import intervals
 
     days = spark.range(400).select(F.lit("k").alias("__k0"), F.expr("date_add(DATE '1995-06-30', cast(id * 5 as int))").alias("__at"))
     spans = spark.range(300).select("id", F.lit("k").alias("__k0"), F.expr("date_add(DATE '1994-01-01', cast(id * 7 as int))").alias("d"))
     spans = spans.select("__k0", F.col("d").alias("__lo"), F.expr(hi).alias("__hi"))
-    pairs = intervals._in_blocks(days, spans, ["__k0"])
+    pairs = intervals._inside(days, spans, ["__k0"])
     inside = days.join(spans, "__k0").where(F.col("__at").between(F.col("__lo"), F.col("__hi")))
-    assert pairs.count() == inside.count() > 0
-    assert "Filter" not in explained(pairs).split("Join")[0]
-    blocks = spans.withColumns({"__from": F.unix_date("__lo"), "__to": F.unix_date("__hi") + 1}).select(
-        F.expr(f"size(concat({', '.join(intervals._cut(n) for n in range(intervals.LEVELS))}))").alias("n")
-    )
-    assert blocks.agg(F.max("n")).first()[0] <= 14 * intervals.LEVELS
+    assert rows(pairs) == rows(inside.select(*pairs.columns)) and pairs.count() > 0
+    joined, _, generated = explained(pairs).partition("Generate")[2].partition("Join")
+    assert generated.count("ObjectHashAggregate") + generated.count("SortAggregate") == 2 and "Generate" not in generated
+
+
+@given(st.lists(st.integers(-50, 50), min_size=1, max_size=40), st.lists(st.integers(-60, 60), min_size=1, max_size=20))
+@settings(max_examples=15, deadline=None)
+def test_binary_search(spark, values, bounds):
+    values = sorted(values)
+    df = spark.createDataFrame([(values, b) for b in bounds], "v array<int>, b int")
+    got = df.select("b", count_below(F.col("v"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in got] == [bisect_left(values, r["b"]) for r in got]

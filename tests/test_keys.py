@@ -1,13 +1,23 @@
 from __future__ import annotations
 
 import random
-from datetime import date, datetime
+import statistics
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.frames import at, explained, frame, rows
-from visitledger.operators import as_of, first_per_key, latest_per_key, snapshot_dates
+from visitledger.operators import (
+    as_of,
+    first_per_key,
+    latest_per_key,
+    snapshot_dates,
+    spread_left_join,
+    version_spans,
+    versions_on,
+)
+from visitledger.operators.keys import known_on_day
 
 
 def test_snapshot_dates_newest_first(spark):
@@ -112,3 +122,47 @@ def test_sources_are_typed_like_the_warehouse(spark):
             (1, "0.5", date(2024, 1, 1), None),
             (None, None, None, None),
         ]
+
+
+def _history(rng, keys):
+    rows = []
+    for i in range(300):
+        recorded = datetime(2024, 1, 1) + timedelta(hours=12 * rng.randrange(60))
+        rows.append((rng.choice(keys), recorded if rng.random() > 0.05 else None, rng.choice("abc"), i))
+    return rows
+
+
+@pytest.mark.parametrize("zoned", [True, False])
+def test_version_spans_are_the_snapshots(spark, zoned):
+    """For every day, before, between and after: the versions that as_of and latest_per_key give."""
+    made = _history(random.Random(7), ["k", "l", "m", None])
+    df = spark.createDataFrame(made, f"k string, at timestamp{'' if zoned else '_ntz'}, a string, b int")
+    spans = version_spans(df, ["k"], "at", ["a", "b"])
+    days = [date(2023, 12, 31) + timedelta(days=i) for i in range(35)]
+    want = [(d, *r) for d in days for r in rows(latest_per_key(as_of(df, "at", d), ["k"], "at", ["a", "b"]))]
+    assert rows(versions_on(spans, days + days[:3]), "snapshot", "k", "at", "a", "b") == want
+    assert rows(known_on_day(spans, days[9])) == [r[1:] for r in want if r[0] == days[9]]
+    assert versions_on(spans, []).count() == 0
+    narrow = version_spans(df, ["k"], "at", ["a", "b"], ["a"])
+    assert "b" not in narrow.columns and rows(narrow, "k", "at", "a") == rows(spans, "k", "at", "a")
+    with pytest.raises(ValueError):
+        latest_per_key(df.withColumn("c", F.lit(1)), ["k"], "at", ["a"], ["c"])
+
+
+def test_rows_without_key_are_spread(spark, no_broadcast):
+    """A third of the rows without a key: the join is that of Spark, and no task gets them all."""
+    left = spark.range(30_000).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 500).alias("k"), F.when(F.col("id") % 7 != 0, F.lit("x")).alias("j"))
+    right = spark.range(400).select(F.col("id").alias("r"), F.lit("x").alias("s"), (F.col("id") * 10).alias("v"))
+    right = right.unionByName(spark.sql("SELECT NULL AS r, 'x' AS s, 1L AS v UNION ALL SELECT 5, NULL, 2L"))
+    on = [("k", "r"), ("j", "s")]
+    name = "spark.sql.adaptive.enabled"
+    spark.conf.set(name, "false")
+    try:
+        got = spread_left_join(left, right, on)
+        want = left.join(right, (F.col("k") == F.col("r")) & (F.col("j") == F.col("s")), "left")
+        assert got.columns == want.columns and rows(got) == rows(want)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        plain = [r["count"] for r in want.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set(name, "true")
+    assert max(sizes) < 2 * statistics.median(sizes) and max(plain) > 2 * statistics.median(plain)

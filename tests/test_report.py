@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from datetime import date
+from collections import Counter
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from tests.test_episodes import episode
 from tests.test_visits import visit
 from visitledger import constants as k
 from visitledger.operators import aged_detail, ageing_matrix, date_bounds, in_date_range, open_total
-from visitledger.plans.report import dashboard, open_receivables, paid_periods, open_report
+from visitledger.plans.report import dashboard, open_receivables, open_report, open_reports, paid_periods
 from visitledger.sources import schemas
 from visitledger.sources.tables import (
     SCHEMAS,
     Inputs,
     read_catalog_inputs,
+    read_detail,
     read_parquet_inputs,
     write_detail,
 )
@@ -194,3 +196,41 @@ def test_reading_and_writing(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/out.csv", header=True).columns == inputs.claims.columns
     with pytest.raises(ValueError):
         write_detail(inputs.claims, f"{tmp_path}/out.x", "xlsx")
+
+
+_ODD = ["", None, " ", " a ", '"', '""', 'a "b", c', "two\nlines", "cr\rhere", "\\", '\\"', "a,b", "é你🎉", "null", "\t", "#x"]
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv"])
+def test_export_keeps_types_and_texts(spark, tmp_path, form):
+    schema = "t string, n bigint, x double, d date, at timestamp, naive timestamp_ntz, m decimal(12,3), b boolean, u string"
+    made = [
+        (t, i - 3, [0.1, 1e300, -0.0, float("inf"), 1 / 3][i % 5], date(1, 1, 1) if i else None, datetime(2024, 1, 2, 3, 4, 5, 678901), datetime(1969, 12, 31, 23, 59, 59, 1), None, i % 2 == 0, _ODD[-i])
+        for i, t in enumerate(_ODD)
+    ]
+    df = spark.createDataFrame(made, schema).withColumn("m", F.col("n").cast("decimal(12,3)") / 7)
+    path = f"{tmp_path}/out"
+    write_detail(df.limit(2), path, form)
+    write_detail(df.repartition(3), path, form)
+    again = read_detail(spark, path)
+    assert again.schema.simpleString() == df.schema.simpleString()
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, df.collect()))
+    write_detail(df.limit(0), path, form)
+    assert read_detail(spark, path).count() == 0 and read_detail(spark, path).dtypes == df.dtypes
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception):  # noqa: B017
+        write_detail(df.withColumn("t", F.raise_error(F.lit("no"))), path, form)
+    assert read_detail(spark, path).count() == 0  # the former export is still there
+
+
+def test_csv_holds_no_nested_columns(spark, tmp_path):
+    with pytest.raises(ValueError):
+        write_detail(spark.range(1).select(F.array("id").alias("a")), f"{tmp_path}/out", "csv")
+
+
+def test_reports_of_days_are_the_single_reports(spark):
+    """Several days, one of them twice, from one scan of the history."""
+    inputs = small_inputs(spark)
+    days = [date(2024, 1, 20), date(2024, 2, 20), D]
+    got = rows(open_reports(inputs, [*days, D]), "snapshot", *COLUMNS)
+    assert got == [(d, *r) for d in days for r in rows(open_report(inputs, d), *COLUMNS)] and got

@@ -2,6 +2,7 @@ from visitledger.functions.scalars import (
     base_id,
     first_word,
     half_even,
+    money_sum,
     normal_name,
     quarter_hours,
     squeeze_once,
@@ -12,6 +13,7 @@ __all__ = [
     "base_id",
     "first_word",
     "half_even",
+    "money_sum",
     "normal_name",
     "quarter_hours",
     "squeeze_once",

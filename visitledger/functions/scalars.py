@@ -49,6 +49,16 @@ def base_id(c: Column | str) -> Column:
     return F.substring_index(_col(c), ".", 1)
 
 
+def money_sum(c: Column | str) -> Column:
+    """Sum of amounts to a millionth, the same in whatever order they are added.
+
+    Every amount is rounded to millionths, halves up, and these are added as whole
+    numbers. NULL if there is no amount.
+    """
+    millionths = F.round(_col(c) * F.lit(1e6)).cast("bigint")
+    return F.sum(millionths).cast("double") / F.lit(1e6)
+
+
 def normal_name(c: Column | str) -> Column:
     """Trimmed lower-case form, for joining names typed by hand."""
     return F.lower(trim_ws(c))

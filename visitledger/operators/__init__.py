@@ -20,6 +20,9 @@ from visitledger.operators.keys import (
     first_per_key,
     latest_per_key,
     snapshot_dates,
+    spread_left_join,
+    version_spans,
+    versions_on,
 )
 
 __all__ = [
@@ -41,4 +44,7 @@ __all__ = [
     "open_total",
     "snapshot_dates",
     "spans_without_points",
+    "spread_left_join",
+    "version_spans",
+    "versions_on",
 ]

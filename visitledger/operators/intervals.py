@@ -6,8 +6,9 @@ quadratic for a hot one, so the operators here
 
 - reduce points to distinct (key, day) before comparing. A key then has at most
   one point per calendar day, however many rows it holds;
-- cut intervals into aligned blocks of days and join on (key, block), so that
-  only points inside an interval meet it;
+- keep the days of a key as one sorted array, which the calendar bounds, and look
+  the two ends of every interval up in it by binary search, so that an interval
+  costs as much as the points inside it, whatever its length;
 - or replace the comparison by a running maximum over days where only the
   existence of a match counts.
 
@@ -22,13 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitledger.operators.keys import first_per_key
-
-# Blocks hold 8^level days and start at multiples of that. An interval is cut into
-# the largest blocks that fit, at most 14 of a level; a point lies in one block of
-# each level. Eight levels reach over all of years 1 to 9999.
-LEVELS = 8
-_BITS = 3
+from visitledger.operators.keys import count_below, first_per_key, spread_left_join
 
 Keys = Sequence[tuple[str, str]]
 
@@ -62,41 +57,22 @@ def distinct_points(df: DataFrame, eq: Keys, point: str) -> DataFrame:
     return point_rows(df, eq, point, []).distinct()
 
 
-def _cut(level: int) -> str:
-    """The blocks of one level that an interval is cut into.
-
-    `__from` and `__to` are its first day and the day after its last. Inside they
-    hold the blocks from `low` to before `high`; whatever of it fills blocks of
-    the next level is left to that level.
-    """
-    low, high = f"-shiftright(-__from, {_BITS * level})", f"shiftright(__to, {_BITS * level})"
-    up_low = f"8 * -shiftright(-__from, {_BITS * (level + 1)})"
-    up_high = f"8 * shiftright(__to, {_BITS * (level + 1)})"
-
-    def run(start: str, end: str) -> str:
-        return f"if({start} < {end}, sequence({start}, {end} - 1), cast(array() as array<int>))"
-
-    whole = run(low, high)
-    blocks = whole
-    if level + 1 < LEVELS:
-        blocks = f"if({up_low} < {up_high}, concat({run(low, up_low)}, {run(up_high, high)}), {whole})"
-    return f"transform({blocks}, b -> struct({level} as level, b as block))"
-
-
-def _in_blocks(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+def _inside(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Each (point, span) pair with the point inside the span, exactly once.
 
-    The blocks of a span do not overlap, so the equality join returns the hits
-    and nothing else.
+    `points` are distinct in key and `__at`. Points move once and become one row
+    per key; spans move once, and only those of keys with points go on. Where a
+    key holds most of the spans, Spark's handling of skewed joins deals them out.
     """
-    levels = ", ".join(
-        f"struct({level} as level, shiftright(unix_date(__at), {_BITS * level}) as block)" for level in range(LEVELS)
-    )
-    probes = points.withColumn("__block", F.explode(F.expr(f"array({levels})")))
-    bounds = spans.withColumns({"__from": F.unix_date("__lo"), "__to": F.unix_date("__hi") + 1})
-    cuts = F.explode(F.expr(f"concat({', '.join(_cut(level) for level in range(LEVELS))})"))
-    placed = bounds.withColumn("__block", cuts).drop("__from", "__to")
-    return probes.join(placed, [*keys, "__block"]).drop("__block")
+    extra = [c for c in points.columns if c not in keys]
+    days = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", *(c for c in extra if c != "__at")))).alias("__days"))
+    at = F.col("__days")["__at"]
+    first = count_below(at, F.col("__lo"))
+    many = count_below(at, F.date_add("__hi", 1)) - first
+    met = spans.join(days, keys).withColumn("__first", first).withColumn("__many", many)
+    found = F.explode(F.slice("__days", F.col("__first") + 1, F.col("__many")))
+    hit = met.where("__many > 0").withColumn("__day", found)
+    return hit.select(*keys, *(F.col("__day")[c].alias(c) for c in extra), *(c for c in spans.columns if c not in keys))
 
 
 def interval_hits(
@@ -108,14 +84,13 @@ def interval_hits(
     has the key as `__k0`, `__k1`, .. and the day as `__at`.
     """
     rows = _span_rows(spans, eq, lo, hi, take)
-    return _in_blocks(points, rows, _names(eq)).drop("__lo", "__hi")
+    return _inside(points, rows, _names(eq)).drop("__lo", "__hi")
 
 
 def join_hits(left: DataFrame, hits: DataFrame, eq: Keys, point: str) -> DataFrame:
     """Left join of rows to what `interval_hits` found for their key and day."""
-    on = [F.col(c) == F.col(k) for (c, _), k in zip(eq, _names(eq))]
-    on.append(F.col(point) == F.col("__at"))
-    return left.join(hits, on, "left").drop(*_names(eq), "__at")
+    on = [*((c, k) for (c, _), k in zip(eq, _names(eq))), (point, "__at")]
+    return spread_left_join(left, hits, on).drop(*_names(eq), "__at")
 
 
 def interval_left_join(
@@ -157,7 +132,7 @@ def cover_days(
     keys = _names(eq)
     rows = _span_rows(spans, eq, lo, hi, take)
     best = first_per_key(rows, [*keys, "__lo", "__hi"], order)
-    pairs = _in_blocks(days, best, keys)
+    pairs = _inside(days, best, keys)
     return first_per_key(pairs, [*keys, "__at"], order).drop("__lo", "__hi")
 
 

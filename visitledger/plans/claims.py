@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitledger import constants as k
+from visitledger.functions import money_sum
 from visitledger.operators import (
     as_of,
     drop_excluded,
@@ -68,7 +69,7 @@ def allocate_first_claim(claims: DataFrame, revenue: DataFrame) -> DataFrame:
     """Give each patient day to the first claim over it; sum what claims expect.
 
     First means earliest billed, then newest version. A day brings the revenue
-    of one visit, the one with the lowest id. Claims that cover visit days but
+    of one visit, the one with the lowest id; the sums do not depend on the order. Claims that cover visit days but
     win none disappear; claims that cover none stay, with NULL. Versions of one
     claim compete like strangers; equal rows are one. Both tables are read more
     than once: stage them first.
@@ -90,7 +91,7 @@ def allocate_first_claim(claims: DataFrame, revenue: DataFrame) -> DataFrame:
         cover_days(days, typed, CLAIM_EQ, order=order, take=take, **PERIOD)
         .withColumnsRenamed({"__k0": "mrn", "__k1": "agency"})
         .groupBy(*CLAIM_COLUMNS)
-        .agg(F.sum("revenue").alias("expected_revenue"))
+        .agg(money_sum("revenue").alias("expected_revenue"))
     )
     idle = spans_without_points(typed, revenue, CLAIM_EQ, "visit_date", **PERIOD)
     return won.unionByName(

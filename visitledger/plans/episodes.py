@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitledger.functions import base_id, trim_ws
-from visitledger.operators import as_of, first_per_key, latest_per_key
+from visitledger.operators import as_of, first_per_key, latest_per_key, version_spans
 from visitledger.plans.visits import insurance_lookup
 from visitledger.sources.schemas import MC_EPISODES, PDGM_EPISODES, every_column
 
@@ -101,33 +102,74 @@ def _tidy(df: DataFrame, dates: tuple[str, ...], counts: tuple[str, ...]) -> Dat
     typed = {c: F.col(c).cast("date") for c in dates}
     typed |= {c: F.round(c).cast("bigint") for c in counts}
     typed |= {"mrn": F.col("mrn").cast("string"), "insurance": trim_ws("insurance")}
-    return df.withColumns(typed)
+    return df.withColumns({c: e for c, e in typed.items() if c in df.columns})
+
+
+_ACTIVE = ("total_scheduled_visits", "total_completed_visits", "total_missed_visits")
+_PAYER = ("parent_insurance", "insurance_type", "payment_model", "payment_multiplier")
+
+
+def _read(columns: Sequence[str] | None) -> list[str] | None:
+    """The columns of the history behind `columns` of the episodes."""
+    if columns is None:
+        return None
+    looked_up = ("insurance", "agency") if set(columns) & set(_PAYER) else ()
+    return list(dict.fromkeys([*(c for c in columns if c not in _PAYER), *looked_up, *_ACTIVE]))
+
+
+def _with_payer(df: DataFrame, insurance_map: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    if columns is None or set(columns) & set(_PAYER):
+        df = df.join(insurance_lookup(insurance_map), ["insurance", "agency"], "left")
+    return df if columns is None else df.select(*columns)
 
 
 def pdgm_episodes(
-    episodes: DataFrame, insurance_map: DataFrame, day: date
+    episodes: DataFrame, insurance_map: DataFrame, day: date, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Latest active PDGM episode per base id, with its payer.
 
     The newest version is taken per full id first, and the newest of what is
-    still active per id without suffix after that.
+    still active per id without suffix after that. With `columns` the result has
+    these, and of the history only what they are made of is read and ranked.
     """
     known = as_of(episodes, "updated_at", day)
-    latest = latest_per_key(known, ["unique_id"], "updated_at", PDGM_TIEBREAK)
+    latest = latest_per_key(known, ["unique_id"], "updated_at", PDGM_TIEBREAK, _read(columns))
+    return current_pdgm(latest, insurance_map, columns)
+
+
+def current_pdgm(latest: DataFrame, insurance_map: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """`pdgm_episodes` once the newest version of every full id is known."""
     tidy = _tidy(active_episodes(latest), PDGM_DATES, PDGM_COUNTS)
     stripped = tidy.withColumn("unique_id", base_id("unique_id"))
-    single = latest_per_key(stripped, ["unique_id"], "updated_at", PDGM_TIEBREAK)
-    return single.join(insurance_lookup(insurance_map), ["insurance", "agency"], "left")
+    single = latest_per_key(stripped, ["unique_id"], "updated_at", PDGM_TIEBREAK, _read(columns))
+    return _with_payer(single, insurance_map, columns)
+
+
+def pdgm_spans(episodes: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The days on which each version of a PDGM episode is the newest."""
+    return version_spans(episodes, ["unique_id"], "updated_at", PDGM_TIEBREAK, _read(columns))
 
 
 def managed_care_episodes(
-    episodes: DataFrame, insurance_map: DataFrame, day: date
+    episodes: DataFrame, insurance_map: DataFrame, day: date, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Latest active managed-care episode per id, with its payer; ids keep dots."""
+    """Latest active managed-care episode per id, with its payer; ids keep dots.
+
+    `columns` as for `pdgm_episodes`.
+    """
     known = as_of(episodes, "updated_at", day)
-    latest = latest_per_key(known, ["unique_id"], "updated_at", MANAGED_TIEBREAK)
-    tidy = _tidy(active_episodes(latest), MANAGED_DATES, MANAGED_COUNTS)
-    return tidy.join(insurance_lookup(insurance_map), ["insurance", "agency"], "left")
+    latest = latest_per_key(known, ["unique_id"], "updated_at", MANAGED_TIEBREAK, _read(columns))
+    return current_managed(latest, insurance_map, columns)
+
+
+def current_managed(latest: DataFrame, insurance_map: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """`managed_care_episodes` once the newest version of every id is known."""
+    return _with_payer(_tidy(active_episodes(latest), MANAGED_DATES, MANAGED_COUNTS), insurance_map, columns)
+
+
+def managed_spans(episodes: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The days on which each version of a managed-care episode is the newest."""
+    return version_spans(episodes, ["unique_id"], "updated_at", MANAGED_TIEBREAK, _read(columns))
 
 
 def episode_set(pdgm: DataFrame, managed: DataFrame) -> DataFrame:

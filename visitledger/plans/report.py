@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ from visitledger.operators import (
 )
 from visitledger.operators.exclusion import exclusion_state
 from visitledger.operators.intervals import covered_points
+from visitledger.operators.keys import known_on_day
 from visitledger.plans.claims import (
     CLAIM_COLUMNS,
     CLAIM_EQ,
@@ -32,9 +35,13 @@ from visitledger.plans.claims import (
 )
 from visitledger.plans.episodes import (
     billing_periods,
+    current_managed,
+    current_pdgm,
     episode_set,
     managed_care_episodes,
+    managed_spans,
     pdgm_episodes,
+    pdgm_spans,
 )
 from visitledger.plans.revenue import (
     episodic_payers,
@@ -48,6 +55,8 @@ from visitledger.plans.visits import (
     attach_episode,
     billable_visits,
     clean_visits,
+    current_visits,
+    visit_spans,
 )
 from visitledger.sources.schemas import OPEN_RECEIVABLES
 from visitledger.sources.staging import stage, stage_all
@@ -132,23 +141,60 @@ def known_on(inputs: Inputs, day: date) -> Known:
     """Stage the four tables that feed several branches of the report.
 
     Raw history is scanned and ranked once, and only the columns the branches
-    need are written.
+    need are read and written.
     """
-    pdgm = pdgm_episodes(inputs.pdgm_episodes, inputs.insurance_map, day)
-    managed = managed_care_episodes(inputs.mc_episodes, inputs.insurance_map, day)
-    visits = clean_visits(inputs.visits, inputs.task_map, inputs.insurance_map, day)
+    return _stage_known(
+        pdgm_episodes(inputs.pdgm_episodes, inputs.insurance_map, day, PERIOD_COLUMNS),
+        managed_care_episodes(inputs.mc_episodes, inputs.insurance_map, day, MANAGED_COLUMNS),
+        clean_visits(inputs.visits, inputs.task_map, inputs.insurance_map, day, REPORT_COLUMNS),
+        standing_claims(inputs.claims, day),
+        inputs,
+    )
+
+
+def _stage_known(pdgm: DataFrame, managed: DataFrame, visits: DataFrame, claims: DataFrame, inputs: Inputs) -> Known:
     visits = billable_visits(visits, inputs.non_billable_tasks)
-    claims = standing_claims(inputs.claims, day)
     frames = {
-        "pdgm": pdgm.select(*PERIOD_COLUMNS),
-        "managed": managed.select(*MANAGED_COLUMNS),
-        "visits": visits.select(*REPORT_COLUMNS),
+        "pdgm": pdgm,
+        "managed": managed,
+        "visits": visits,
         "claims": claims.select(*CLAIM_COLUMNS),
     }
     known = Known(*stage_all(frames))
     return known._replace(claims=drop_advance_claims(known.claims))
 
 
+class History(NamedTuple):
+    """What the report needs of all versions, with the days on which each is the newest."""
+
+    pdgm: DataFrame
+    managed: DataFrame
+    visits: DataFrame
+    claims: DataFrame
+
+
+def history(inputs: Inputs) -> History:
+    """Scan and rank the history once, for reports of any number of days."""
+    frames = {
+        "pdgm_history": pdgm_spans(inputs.pdgm_episodes, PERIOD_COLUMNS),
+        "managed_history": managed_spans(inputs.mc_episodes, MANAGED_COLUMNS),
+        "visit_history": visit_spans(inputs.visits, REPORT_COLUMNS),
+        "claim_history": inputs.claims.select(*CLAIM_COLUMNS),
+    }
+    return History(*stage_all(frames))
+
+
+def known_from(past: History, inputs: Inputs, day: date) -> Known:
+    """`known_on` from a staged history: a range lookup for each table."""
+    return _stage_known(
+        current_pdgm(known_on_day(past.pdgm, day), inputs.insurance_map, PERIOD_COLUMNS),
+        current_managed(known_on_day(past.managed, day), inputs.insurance_map, MANAGED_COLUMNS),
+        current_visits(known_on_day(past.visits, day), inputs.task_map, inputs.insurance_map, REPORT_COLUMNS),
+        standing_claims(past.claims, day),
+        inputs,
+    )
+
+
 def price_visits(known: Known, inputs: Inputs) -> DataFrame:
     """The revenue fact: every known billable visit, priced.
 
@@ -173,7 +219,25 @@ def open_report(inputs: Inputs, day: date) -> DataFrame:
     cards are used as they are now. The earliest recorded day itself gives an
     empty report, because nothing was known before it.
     """
-    known = known_on(inputs, day)
+    return _open(known_on(inputs, day), inputs)
+
+
+def open_reports(inputs: Inputs, days: Sequence[date]) -> DataFrame:
+    """The reports of several days, with the day as `snapshot`.
+
+    The history is scanned and ranked once and staged with the days on which each
+    version was the newest; every report then looks its versions up by day. Each
+    report is staged, so the plan does not grow with the number of days.
+    """
+    past = history(inputs)
+    reports = [
+        stage(_open(known_from(past, inputs, day), inputs).withColumn("snapshot", F.lit(day)), "report")
+        for day in dict.fromkeys(days)
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def _open(known: Known, inputs: Inputs) -> DataFrame:
     revenue = stage(price_visits(known, inputs), "revenue")
     counted = latest_claims(allocate_first_claim(known.claims, revenue))
     return open_receivables_by_day(revenue, stage(paid_periods(counted), "paid_periods"))

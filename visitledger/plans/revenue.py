@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from visitledger import constants as k
 from visitledger.functions import normal_name
-from visitledger.operators import drop_excluded, interval_hits
+from visitledger.operators import drop_excluded, interval_hits, spread_left_join
 from visitledger.operators.intervals import join_hits
 from visitledger.sources.schemas import REVENUE
 from visitledger.sources.tables import conform
@@ -151,10 +151,9 @@ def revenue_fact(
     flags = pdgm_flags.where(F.col("pdgm_non_pdgm") == k.PDGM).select(
         F.col("office").alias("agency"), "insurance", "pdgm_non_pdgm"
     )
-    fixes = exceptions.select("unique_id", "new_revenue")
+    fixes = exceptions.select(F.col("unique_id").alias("__fixed"), "new_revenue")
     return (
-        both.join(flags, ["agency", "insurance"], "left")
-        .join(fixes, "unique_id", "left")
+        spread_left_join(both.join(flags, ["agency", "insurance"], "left"), fixes, [("unique_id", "__fixed")])
         .withColumn("pdgm_non_pdgm", F.coalesce("pdgm_non_pdgm", F.lit(k.NON_PDGM)))
         .withColumn("revenue", F.coalesce("revenue", "new_revenue"))
         .select(*REVENUE.fieldNames())

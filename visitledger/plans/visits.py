@@ -17,6 +17,8 @@ from visitledger.operators import (
     first_per_key,
     latest_per_key,
     null_aware_anti,
+    spread_left_join,
+    version_spans,
 )
 from visitledger.sources.schemas import VISITS, every_column
 
@@ -77,27 +79,47 @@ def insurance_lookup(insurance_map: DataFrame) -> DataFrame:
     return lookup.withColumnRenamed("office", "agency")
 
 
-def visit_versions(visits: DataFrame, day: date) -> DataFrame:
-    """The newest version of every visit known before `day`."""
+def visit_versions(visits: DataFrame, day: date, columns: Sequence[str] | None = None) -> DataFrame:
+    """The newest version of every visit known before `day`; only `columns` of it, if given."""
     known = as_of(visits, "updated_at", day)
-    return latest_per_key(known, ["unique_visit_id"], "updated_at", VERSION_TIEBREAK)
+    return latest_per_key(known, ["unique_visit_id"], "updated_at", VERSION_TIEBREAK, columns)
+
+
+# Columns of tidy visits that are not named like the one they are made of.
+_MADE_OF = {
+    "visit_date": ("target_date",),
+    "mrn": ("medical_record_number",),
+    "visit_type": ("task_type",),
+    "total_hours": ("time_in", "time_out"),
+}
+# What the mappings add, and the columns they are looked up by.
+_LOOKED_UP = {
+    "task_group": ("task_name",),
+    "discipline_type": ("task_name",),
+    "parent_insurance": ("insurance", "agency"),
+    "insurance_type": ("insurance", "agency"),
+    "payment_model": ("insurance", "agency"),
+}
+_FILTERED = ("task_type", "status", "patient_last")
 
 
 def tidy_visits(versions: DataFrame) -> DataFrame:
-    """Typed and trimmed visit columns with hours worked."""
-    return versions.select(
-        F.col("target_date").cast("date").alias("visit_date"),
-        first_word("provider_last").alias("provider_last"),
-        first_word("provider_first").alias("provider_first"),
-        "patient_last",
-        "patient_first",
-        F.col("medical_record_number").cast("string").alias("mrn"),
-        squeeze_once(trim_ws("task_name")).alias("task_name"),
-        trim_ws("task_type").alias("task_type"),
-        F.when(trim_ws("task_type") == k.AIDE, k.AIDE).otherwise("Clinical").alias("visit_type"),
-        trim_ws("status").alias("status"),
-        trim_ws("insurance").alias("insurance"),
-        quarter_hours("time_in", "time_out").alias("total_hours"),
+    """Typed and trimmed visit columns with hours worked, as far as `versions` has what they are made of."""
+    tidy = {
+        "visit_date": F.col("target_date").cast("date"),
+        "provider_last": first_word("provider_last"),
+        "provider_first": first_word("provider_first"),
+        "patient_last": F.col("patient_last"),
+        "patient_first": F.col("patient_first"),
+        "mrn": F.col("medical_record_number").cast("string"),
+        "task_name": squeeze_once(trim_ws("task_name")),
+        "task_type": trim_ws("task_type"),
+        "visit_type": F.when(trim_ws("task_type") == k.AIDE, k.AIDE).otherwise("Clinical"),
+        "status": trim_ws("status"),
+        "insurance": trim_ws("insurance"),
+        "total_hours": quarter_hours("time_in", "time_out"),
+    }
+    same = (
         "time_in",
         "time_out",
         "documentation_time_min",
@@ -114,6 +136,9 @@ def tidy_visits(versions: DataFrame) -> DataFrame:
         "updated_at",
         "unique_visit_id",
     )
+    tidy |= {c: F.col(c) for c in same}
+    have = set(versions.columns)
+    return versions.select(*[e.alias(c) for c, e in tidy.items() if have.issuperset(_MADE_OF.get(c, (c,)))])
 
 
 def completed_visits(tidy: DataFrame) -> DataFrame:
@@ -124,33 +149,72 @@ def completed_visits(tidy: DataFrame) -> DataFrame:
 
 
 def map_visits(
-    visits: DataFrame, task_map: DataFrame, insurance_map: DataFrame
+    visits: DataFrame, task_map: DataFrame | None, insurance_map: DataFrame | None
 ) -> DataFrame:
-    """Attach task group, discipline and payer; unmapped visits keep NULLs.
+    """Attach task group, discipline and payer; unmapped visits keep NULLs. A mapping that is None is left out.
 
     Join strategy is left to Spark: small mappings are broadcast under its size
     limit, larger ones are shuffled with skew handling.
     """
-    tasks = one_per_key(task_map, ["task_name"], ["task_group", "discipline_type"])
-    payers = insurance_lookup(insurance_map).drop("payment_multiplier")
-    return visits.join(tasks, "task_name", "left").join(
-        payers, ["insurance", "agency"], "left"
-    )
+    if task_map is not None:
+        tasks = one_per_key(task_map, ["task_name"], ["task_group", "discipline_type"])
+        visits = visits.join(tasks, "task_name", "left")
+    if insurance_map is not None:
+        payers = insurance_lookup(insurance_map).drop("payment_multiplier")
+        payers = payers.withColumnsRenamed({"insurance": "__insurance", "agency": "__agency"})
+        on = [("insurance", "__insurance"), ("agency", "__agency")]
+        visits = spread_left_join(visits, payers, on).drop("__insurance", "__agency")
+    return visits
 
 
 def clean_visits(
-    visits: DataFrame, task_map: DataFrame, insurance_map: DataFrame, day: date
+    visits: DataFrame,
+    task_map: DataFrame,
+    insurance_map: DataFrame,
+    day: date,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Completed visits as known before `day`, one row per visit id, mapped.
+
+    With `columns` the result has these, and of the history only what they are
+    made of is read and ranked. The rows are the same either way.
+    """
+    return current_visits(visit_versions(visits, day, _read(columns)), task_map, insurance_map, columns)
+
+
+def _read(columns: Sequence[str] | None) -> list[str] | None:
+    """The columns of the history behind `columns` of clean visits."""
+    if columns is None:
+        return None
+    tidy = [c for name in columns for c in _LOOKED_UP.get(name, (name,))]
+    return list(dict.fromkeys([*(c for name in tidy for c in _MADE_OF.get(name, (name,))), *_FILTERED]))
+
+
+def visit_spans(visits: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The days on which each version of a visit is the newest."""
+    return version_spans(visits, ["unique_visit_id"], "updated_at", VERSION_TIEBREAK, _read(columns))
+
+
+def current_visits(
+    versions: DataFrame, task_map: DataFrame, insurance_map: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Completed visits as known before `day`, one row per visit id, mapped."""
-    done = completed_visits(tidy_visits(visit_versions(visits, day)))
-    return map_visits(done, task_map, insurance_map)
+    """`clean_visits` once the newest version of every visit is known."""
+    done = completed_visits(tidy_visits(versions))
+    if columns is None:
+        return map_visits(done, task_map, insurance_map)
+    if not any(c in _LOOKED_UP for c in columns):
+        return done.select(*columns)
+    tasks = any(c in columns for c in ("task_group", "discipline_type"))
+    payers = any(c in columns for c in ("parent_insurance", "insurance_type", "payment_model"))
+    return map_visits(done, task_map if tasks else None, insurance_map if payers else None).select(*columns)
 
 
 def attach_episode(visits: DataFrame, episodes: DataFrame) -> DataFrame:
     """The earliest-starting episode around each visit, NULLs if there is none.
 
     The choice depends on patient, agency and day alone, so it is made once per
-    patient day and joined back. `visits` is read twice: stage it first.
+    patient day and joined back; visits without one of them skip the join's keys.
+    `visits` is read twice: stage it first.
     """
     order = [
         F.col("episode_start_date").asc_nulls_first(),
@@ -167,7 +231,9 @@ def attach_episode(visits: DataFrame, episodes: DataFrame) -> DataFrame:
         order=order,
         take=["episode_start_date", "episode_end_date", "episode_identifier"],
     )
-    return visits.join(chosen, ["mrn", "agency", "visit_date"], "left")
+    chosen = chosen.withColumnsRenamed({"mrn": "__mrn", "agency": "__agency", "visit_date": "__day"})
+    on = [("mrn", "__mrn"), ("agency", "__agency"), ("visit_date", "__day")]
+    return spread_left_join(visits, chosen, on).drop("__mrn", "__agency", "__day")
 
 
 def billable_visits(visits: DataFrame, non_billable_tasks: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from uuid import uuid4
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
+from visitledger.sources.files import delete
+
 SETTING = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = Lock()
@@ -117,14 +119,9 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         with _lock:
             _owners[:] = [x for x in _owners if x is not paths]
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete a table that `stage` returned, once what was made from it is staged itself."""
-    _delete(df.sparkSession, df._staged_at)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._staged_at)

@@ -7,6 +7,7 @@ none of the reshaping the Spark operators do for scale.
 from __future__ import annotations
 
 import re
+from datetime import date
 
 from visitledger import constants as k
 from visitledger.plans.claims import CLAIM_COLUMNS
@@ -14,7 +15,7 @@ from visitledger.plans.episodes import MANAGED_TIEBREAK, PDGM_TIEBREAK
 from visitledger.plans.visits import REPORT_COLUMNS, VERSION_TIEBREAK
 from visitledger.sources.schemas import OPEN_RECEIVABLES, REVENUE
 from visitledger.sources.tables import SCHEMAS
-from workload.roles import ROLES, SNAPSHOT, TODAY, role_sql
+from workload.roles import REPORT_DAYS, ROLES, SNAPSHOT, TODAY, role_sql
 
 
 def _list(values: tuple[str, ...]) -> str:
@@ -245,7 +246,8 @@ def _allocated(claims: str, revenue: str) -> str:
     group += ["patient_name", "claim_status", "tob", "insurance"]
     columns = ", ".join(group)
     return f"""
-    SELECT {columns}, sum(revenue) AS expected_revenue FROM (
+    SELECT {columns}, CAST(sum(CAST(round(revenue * 1000000) AS BIGINT)) AS DOUBLE) / 1000000
+        AS expected_revenue FROM (
         SELECT c.*, r.visit_date, r.revenue
         FROM {claims} c LEFT JOIN {revenue} r ON c.mrn = r.mrn AND c.agency = r.agency
              AND r.visit_date BETWEEN c.billing_period_start_date AND c.billing_period_end_date
@@ -469,8 +471,7 @@ _TEXTS = {
              ON v.agency = f.office AND payer = f.insurance
         LEFT JOIN revenue_exceptions e ON v.unique_visit_id = e.unique_id""",
     "allocate_first_claim": f"""
-        SELECT {', '.join(CLAIM_COLUMNS_FILLED)}, round(expected_revenue, 2) AS expected_revenue
-        FROM order_allocated""",
+        SELECT {', '.join(CLAIM_COLUMNS_FILLED)}, expected_revenue FROM order_allocated""",
     "latest_claims": f"SELECT {', '.join(CLAIM_COLUMNS_FILLED)} FROM order_counted",
     "open_receivables": """
         SELECT unique_id, mrn, agency, visit_date, insurance, revenue AS open_amount FROM order_open""",
@@ -492,4 +493,38 @@ _TEXTS = {
     "open_by_insurance": _matrix("dashboard_rows", "insurance", "visit_date", "open_amount", str(TODAY)),
 }
 
+_TEXTS["catalog_report"] = _TEXTS["open_report"]
+_TEXTS["export_detail"] = f"""
+    SELECT *, 'parquet' AS form FROM ({_TEXTS["open_detail"]})
+    UNION ALL SELECT *, 'csv' AS form FROM ({_TEXTS["open_detail"]})"""
+_TEXTS["export_texts"] = """
+    SELECT o_orderkey, o_totalprice, o_orderdate, CAST(o_orderdate AS DATE) AS day,
+           CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'a "b", c'
+                WHEN 3 THEN ' two' || chr(10) || 'lines' || chr(92) || ' ' WHEN 4 THEN '""' ELSE o_orderpriority END AS note
+    FROM orders"""
+_TEXTS["conform_types"] = """
+    SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(round(l_extendedprice / 100) AS BIGINT) AS whole,
+           CASE WHEN l_partkey % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
+                ELSE CAST(l_quantity + 0.5 AS VARCHAR) END AS number,
+           CASE WHEN l_partkey % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
+                WHEN l_tax = 0 THEN '0' ELSE CAST(CAST(l_tax AS DECIMAL(12, 2)) AS VARCHAR) END AS exact,
+           CAST(l_shipdate + INTERVAL '1' SECOND * (l_suppkey * 977 % 86400) AS DATE) AS day,
+           CAST(NULL AS VARCHAR) AS missing
+    FROM lineitem"""
+_TEXTS["version_spans"] = " UNION ALL ".join(
+    f"""SELECT DATE '{day}' AS snapshot, unique_visit_id, updated_at, status FROM (
+        SELECT * FROM visits WHERE CAST(updated_at AS DATE) < DATE '{day}'
+        QUALIFY row_number() OVER (PARTITION BY unique_visit_id
+            ORDER BY updated_at DESC, {_first(_tied("visits", VERSION_TIEBREAK))}) = 1)"""
+    for day in REPORT_DAYS
+)
+
+
+def _on(day: date) -> str:
+    """The report of another day: the same text with that day in it."""
+    report = _query(f"SELECT {_ALL_REPORT} FROM report").replace(str(SNAPSHOT), str(day))
+    return f"SELECT DATE '{day}' AS snapshot, * FROM ({report})"
+
+
 ORACLE = {name: _query(text) for name, text in _TEXTS.items()}
+ORACLE["reports_of_days"] = " UNION ALL ".join(_on(day) for day in REPORT_DAYS)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from visitledger.functions import (
     base_id,
@@ -33,6 +34,8 @@ from visitledger.operators import (
     open_total,
     snapshot_dates,
     spans_without_points,
+    version_spans,
+    versions_on,
 )
 from visitledger.plans.claims import (
     CLAIM_COLUMNS,
@@ -50,10 +53,13 @@ from visitledger.plans.episodes import (
     pdgm_episodes,
 )
 from visitledger.plans.report import (
+    MANAGED_COLUMNS,
+    PERIOD_COLUMNS,
     dashboard,
     known_on,
     open_receivables,
     open_report,
+    open_reports,
     paid_periods,
     price_visits,
 )
@@ -68,15 +74,16 @@ from visitledger.plans.revenue import (
 )
 from visitledger.plans.visits import (
     REPORT_COLUMNS,
+    VERSION_TIEBREAK,
     attach_episode,
     billable_visits,
     clean_visits,
     completed_visits,
     tidy_visits,
 )
-from visitledger.sources.staging import staging_folder
-from visitledger.sources.tables import read_parquet_inputs, write_detail
-from workload.roles import SNAPSHOT, TODAY, inputs, role, table
+from visitledger.sources.staging import owned_path, stage
+from visitledger.sources.tables import conform, read_catalog_inputs, read_detail, read_parquet_inputs, write_detail
+from workload.roles import REPORT_DAYS, SNAPSHOT, TODAY, inputs, role, table
 
 EVENTS_DAY = date(2024, 1, 20)
 ORDERS_TODAY = date(2001, 6, 1)
@@ -291,7 +298,7 @@ def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_clean_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     load = {n: role(spark, sf_dir, n) for n in ("visits", "task_map", "insurance_map")}
-    return clean_visits(**load, day=SNAPSHOT).select(*REPORT_COLUMNS, "provider_last")
+    return clean_visits(**load, day=SNAPSHOT, columns=[*REPORT_COLUMNS, "provider_last"])
 
 
 def _done_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,18 +316,18 @@ def q_active_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unique_id", "mrn", "episode_start_date", "total_completed_visits")
 
 
-def _pdgm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pdgm(spark: SparkSession, sf_dir: str, columns: Sequence[str] = PERIOD_COLUMNS) -> DataFrame:
     load = [role(spark, sf_dir, n) for n in ("pdgm_episodes", "insurance_map")]
-    return pdgm_episodes(*load, SNAPSHOT)
+    return pdgm_episodes(*load, SNAPSHOT, columns)
 
 
-def _managed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _managed(spark: SparkSession, sf_dir: str, columns: Sequence[str] = MANAGED_COLUMNS) -> DataFrame:
     load = [role(spark, sf_dir, n) for n in ("mc_episodes", "insurance_map")]
-    return managed_care_episodes(*load, SNAPSHOT)
+    return managed_care_episodes(*load, SNAPSHOT, columns)
 
 
 def q_pdgm_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pdgm(spark, sf_dir).select(
+    columns = [
         "unique_id",
         "episode_identifier",
         "mrn",
@@ -343,13 +350,12 @@ def q_pdgm_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "insurance_type",
         "payment_model",
         "payment_multiplier",
-    )
+    ]
+    return _pdgm(spark, sf_dir, columns)
 
 
 def q_managed_care_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _managed(spark, sf_dir).select(
-        "unique_id", "mrn", "agency", "episode_start_date", "episode_end_date", "parent_insurance", "payment_model"
-    )
+    return _managed(spark, sf_dir, [*MANAGED_COLUMNS, "parent_insurance", "payment_model"])
 
 
 def q_episode_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,7 +516,7 @@ def _order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_allocate_first_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     allocated = allocate_first_claim(_order_claims(spark, sf_dir), _claim_revenue(spark, sf_dir))
-    return allocated.select(*CLAIMS_FILLED, F.round("expected_revenue", 2).alias("expected_revenue"))
+    return allocated.select(*CLAIMS_FILLED, "expected_revenue")
 
 
 def q_latest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,7 +563,7 @@ def q_open_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_read_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report from tables in files, through the library's own reader."""
-    folder = f"{staging_folder(spark)}/inputs-{uuid4().hex}"
+    folder = owned_path(spark, "inputs")
     for name, df in inputs(spark, sf_dir)._asdict().items():
         df.write.parquet(f"{folder}/{name}.parquet")
     return open_report(read_parquet_inputs(spark, folder), SNAPSHOT)
@@ -565,9 +571,9 @@ def q_read_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders exported as Parquet and read back."""
-    path = f"{staging_folder(spark)}/export-{uuid4().hex}"
+    path = owned_path(spark, "export")
     write_detail(table(spark, sf_dir, "orders"), path)
-    return spark.read.parquet(path)
+    return read_detail(spark, path)
 
 
 def q_open_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,6 +581,66 @@ def q_open_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard(_report(spark, sf_dir), TODAY, *span).detail
 
 
+def q_export_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aged detail with all its columns, exported in both forms and read back with its types."""
+    span = (date(1999, 1, 1), date(2000, 12, 31))
+    detail = stage(dashboard(_report(spark, sf_dir), TODAY, *span).detail, "detail")
+    found = []
+    for form in ("parquet", "csv"):
+        path = owned_path(spark, f"detail-{form}")
+        write_detail(detail, path, form)
+        write_detail(detail, path, form)  # replaces the former as a whole
+        found.append(read_detail(spark, path).withColumn("form", F.lit(form)))
+    return found[0].unionByName(found[1])
+
+
+def q_export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, line ends, blanks at their ends, nothing and NULL, through CSV."""
+    key = F.col("o_orderkey")
+    odd = F.when(key % 7 == 0, F.lit("")).when(key % 7 == 1, F.lit(None)).when(key % 7 == 2, F.lit('a "b", c'))
+    odd = odd.when(key % 7 == 3, F.lit(" two\nlines\\ ")).when(key % 7 == 4, F.lit('""')).otherwise(F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", odd.alias("note"), "o_totalprice", "o_orderdate", F.to_date("o_orderdate").alias("day"))
+    path = owned_path(spark, "texts")
+    write_detail(rows, path, "csv")
+    return read_detail(spark, path)
+
+
+def q_reports_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several days' reports from one scan of the history."""
+    return open_reports(inputs(spark, sf_dir), REPORT_DAYS)
+
+
+def q_version_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visit versions known on each of several days."""
+    spans = version_spans(role(spark, sf_dir, "visits"), ["unique_visit_id"], "updated_at", VERSION_TIEBREAK, ["status"])
+    return versions_on(spans, REPORT_DAYS).select("snapshot", "unique_visit_id", "updated_at", "status")
+
+
+def q_conform_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions as integers, numbers and decimals as text, instants as days."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_extendedprice") / 100).alias("whole"),
+        F.when(F.col("l_partkey") % 2 == 0, F.col("l_quantity")).otherwise(F.col("l_quantity") + 0.5).alias("number"),
+        F.when(F.col("l_partkey") % 2 == 0, F.col("l_quantity")).otherwise(F.col("l_tax")).cast("decimal(12,2)").alias("exact"),
+        F.timestamp_seconds(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("l_suppkey") * 977 % 86400).alias("day"),
+    )
+    wanted = StructType.fromDDL(
+        "l_orderkey bigint, l_linenumber bigint, whole bigint, number string, exact string, day date, missing string"
+    )
+    return conform(lines, wanted)
+
+
+def q_catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from tables of the session's catalog."""
+    names = {}
+    for name, df in inputs(spark, sf_dir)._asdict().items():
+        names[name] = f"catalog_{name}"
+        df.createOrReplaceTempView(names[name])
+    return open_report(read_catalog_inputs(spark, names), SNAPSHOT)
+
+
 def q_open_amount_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard(_report(spark, sf_dir), TODAY).total
 

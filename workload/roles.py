@@ -17,6 +17,8 @@ from visitledger.sources.tables import SCHEMAS, Inputs, conform
 # dated later than either.
 SNAPSHOT = date(2001, 1, 1)
 TODAY = date(2000, 11, 15)
+# Days for reports from one scan: before everything, two in the middle, and the one above.
+REPORT_DAYS = (date(1990, 1, 1), date(1997, 5, 3), date(1999, 12, 31), SNAPSHOT)
 
 _AGENCY = """CASE o_custkey % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'South' ELSE 'East' END"""
 _TASK = """CASE {k} % 10 WHEN 0 THEN 'SN Visit' WHEN 1 THEN ' PT  Visit ' WHEN 2 THEN 'OT Visit'
