@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -43,6 +44,16 @@ _GROUPS = "part int, block long, before long, total long, ids array<long>, count
 _FILES = "path string, part int, first_block long, blocks long, ids long, bytes long"
 
 
+#: Letters of Latin-1, whose lower case is a single letter that no normal form changes.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+@lru_cache(maxsize=1)
+def piece_ids(path: str) -> PieceIds:
+    """One table of known pieces for all tasks of a worker process."""
+    return PieceIds(path)
+
+
 class PieceIds(WordTokens):
     """Ids of texts for a vocabulary that lower-cases and drops white space; each different piece is tokenised once.
 
@@ -67,7 +78,17 @@ class PieceIds(WordTokens):
             self.kinds[list(members)] = kind
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Words of letters alone go straight to the library's model, other pieces through all its steps."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids: list[list[int]] = [[]] * len(words)
+        other = []
+        for i, word in enumerate(words):
+            if LETTERS.fullmatch(word):
+                ids[i] = [t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(letters))]
+            else:
+                other.append(i)
+        for i, found in zip(other, self.tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False)):
+            ids[i] = found.ids
         self._enter(hashes, ids)
 
     def _words(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -206,7 +227,7 @@ def encoded_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        pieces = PieceIds(tokenizer or public_tokenizers.path(TOKENIZER))
+        pieces = piece_ids(tokenizer or public_tokenizers.path(TOKENIZER))
         dtype = "<u2" if pieces.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         part, block, before, total = TaskContext.get().partitionId(), 0, 0, 0
         ids: list[int | None] = []
