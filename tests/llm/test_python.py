@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -132,7 +134,7 @@ def _repeating(rng, many):
 def test_repeated_words_are_rejected_on_held_out_rows(spark):
     rows, labels = _repeating(random.Random(8), 900)
     docs = frame(spark, [r[:5] for r in rows]).repartition(8)
-    got = {r["doc"]["doc_id"]: r["keep"] for r in quality.score_quality(docs, frame(spark, labels, "doc_id long, quality int, toxic int")).collect()}
+    got = {r["id"]: r["keep"] for r in quality.quality_scores(docs, frame(spark, labels, "doc_id long, quality int, toxic int")).collect()}
     held = [r for r in rows if r[0] % 2 == 0]
     bad, good = [r for r in held if not r[5]], [r for r in held if r[5]]
     assert sum(got[r[0]] for r in bad) <= 0.02 * len(bad)
@@ -166,11 +168,96 @@ def test_site_posteriors(spark):
 def test_quality_of_odd_rows(spark):
     docs = frame(spark, [(*r, 0.5, True) for r in odd_docs()], DOCS + ", quality double, keep boolean")
     labels = frame(spark, [(1, None), (None, 1), (4, 1), (4, 0), (6, 7), (99, 1)], "doc_id long, quality int")
-    got = quality.score_quality(docs, labels).collect()
+    got = quality.quality_scores(docs, labels).collect()
     assert len(got) == len(odd_docs()) and all(0 <= r["quality"] <= 1 for r in got)
-    none = quality.score_quality(docs, labels.limit(0)).collect()
+    none = quality.quality_scores(docs, labels.limit(0)).collect()
     assert all(r["keep"] for r in none)
-    assert quality.score_quality(docs.limit(0), labels).count() == 0
+    assert quality.quality_scores(docs.limit(0), labels).count() == 0
+    kept = quality.keep_good(docs, labels.limit(0))
+    assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_labels_of_unknown_documents_change_nothing(spark):
+    docs = frame(spark, [doc(i, "some words in a row", source="s") for i in range(4)])
+    known = [(0, 1), (1, 0)]
+    schema = "doc_id long, quality int"
+    few = quality.quality_scores(docs, frame(spark, known, schema)).collect()
+    many = quality.quality_scores(docs, frame(spark, known + [(1000 + i, 0) for i in range(200)], schema)).collect()
+    assert sorted(few) == sorted(many) and all(r["keep"] for r in many)
+
+
+def _bins(text):
+    """The features of a text, character by character."""
+    t = text or ""
+    n = max(1, len(t))
+    split = re.split(r"[ \t\n\x0b\f\r]+", t.strip(" ").lower())
+    lines = t.split("\n")
+    kind = unicodedata.category
+
+    def fine(x):
+        return math.floor(math.sqrt(x) * 16)
+
+    beside = sum(a == b for a, b in zip(split, split[1:]))
+    again = max(beside, max(Counter(split).values()) - 1) / max(1, len(split) - 1)
+    plain = set(" \t\n\x0b\f\r.,;:!?'\"()-")
+    found = {
+        "capitals": fine(sum(kind(c) == "Lu" for c in t) / n),
+        "symbols": fine(sum(kind(c)[0] not in "LMN" and c not in plain for c in t) / n),
+        "exclaimed": fine((n - len(t.replace("!", ""))) / n if t else 1.0),
+        "digits": fine(sum(kind(c)[0] == "N" for c in t) / n),
+        "fresh_words": math.floor(len(set(split)) / len(split) * 16),
+        "fresh_lines": math.floor(len(set(lines)) / len(lines) * 16),
+        "word_length": math.floor(n / len(split)),
+        "repetition": fine(again),
+    }
+    return {k: min(max(v, 0), 15) for k, v in found.items()}
+
+
+def test_quality_query_against_brute_force(spark, tmp_path):
+    """The whole query: bins, counts, log ratios, site rates and the meeting of both."""
+    rng = random.Random(12)
+    rows, labels = _labelled(rng, 300)
+    rows += [doc(900, None, lang=None, source="s1"), doc(901, "", source=None), doc(902, "A-B c!! 12\nA-B c!! 12\n\n x"), doc(903, "Éa Éa " * 30)]
+    labels += [(901, 0, 0), (902, 1, 0), (902, 0, 0), (5000, 0, 0), (3, None, 0)]
+    folder = write(
+        spark, tmp_path, documents=frame(spark, rows), labels=frame(spark, labels, "doc_id long, quality int, toxic int")
+    )
+    bins = {r[0]: _bins(r[1]) for r in rows}
+    counts = {}
+    for doc_id, label, _ in labels:
+        if doc_id in bins and label is not None:
+            for k, b in bins[doc_id].items():
+                counts.setdefault(k, [[1.0, 1.0] for _ in range(16)])[b][1 - label] += 1
+    ratio = {}
+    for k, found in counts.items():
+        good, bad = (sum(x[j] for x in found) for j in (0, 1))
+        ratio[k] = [math.log(g / good) - math.log(b / bad) for g, b in found]
+    prior = (good - 16) / (good + bad - 32)
+    evidence = {i: sum(ratio[k][v] for k, v in b.items()) for i, b in bins.items()}
+    own = {i: 1 / (1 + math.exp(-(e + math.log(prior / (1 - prior))))) for i, e in evidence.items()}
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for r in rows:
+        paths[r[3], r[2]].append(own[r[0]])
+        hosts[r[3]].append(own[r[0]])
+
+    def strength(mean, spread):
+        return min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 2.0), 10_000.0)
+
+    rate = sum(own.values()) / len(own)
+    pull = strength(rate, np.var([np.mean(v) for v in hosts.values()], ddof=1))
+    host_rate = {h: (sum(v) + pull * rate) / (len(v) + pull) for h, v in hosts.items()}
+    off = [np.mean(v) - host_rate[h] for (h, _), v in paths.items()]
+    path_pull = strength(np.mean([host_rate[h] for h, _ in paths]), np.mean(np.square(off)))
+    got = {r["doc_id"]: r for r in QUERIES["op3_quality"](spark, folder).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        site = paths[r[3], r[2]]
+        path_rate = (max(sum(site) - own[r[0]], 0) + path_pull * host_rate[r[3]]) / (len(site) - 1 + path_pull)
+        inside = min(max(path_rate, 1e-9), 1 - 1e-9)
+        want = 1 / (1 + math.exp(-(evidence[r[0]] + math.log(inside / (1 - inside)))))
+        assert got[r[0]]["evidence"] == pytest.approx(evidence[r[0]]), r
+        assert got[r[0]]["path_rate"] == pytest.approx(path_rate) and got[r[0]]["quality_score"] == pytest.approx(want)
+        assert got[r[0]]["keep"] == (got[r[0]]["quality_score"] >= 0.2)
 
 
 # --- WARC
@@ -228,6 +315,22 @@ def test_archives_are_listed_and_read(spark, tmp_path):
     assert warc.round_trip(frame(spark, [], PAGES)).count() == 0
 
 
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """As many tasks as the ranges call for, whatever adaptive execution would merge."""
+    files = warc.write_warc(frame(spark, _pages() * 20, PAGES), f"file://{tmp_path}/w")
+    read = warc.read_warc(files, 200).withColumn("task", F.spark_partition_id())
+    assert read.select("task").distinct().count() >= spark.sparkContext.defaultParallelism - 1
+
+
+def test_warc_of_a_very_long_page_and_clashing_columns(spark, tmp_path):
+    body = "".join(random.Random(1).choices("abcdefgh <>/é", k=3_000_000))
+    pages = [(1, "u", body, "p", 7), (2, "u", body, "q", 8), (3, None, "short", None, None)]
+    docs = frame(spark, pages, PAGES + ", path string, size int")
+    found = {r["record_id"]: r for r in warc.round_trip(docs, f"file://{tmp_path}/w").where("record_type != 'warcinfo'").collect()}
+    assert found["<urn:page:2>"]["payload"] == body.encode()
+    assert found["<urn:page:1>"]["refers_to"] == "<urn:page:2>" and found["<urn:page:3>"]["payload"] == b"short"
+
+
 # --- language
 
 
@@ -251,6 +354,66 @@ def test_language_on_held_out_rows(spark, tmp_path):
     assert got[503]["lang_pred"] in letters
 
 
+def test_language_learns_every_word_of_its_sample(spark, monkeypatch):
+    """No word is dropped, copies are drawn once and every language has rows, however hot one text is."""
+    rng = random.Random(3)
+    hot = "hot " + " ".join(words(rng, 50, 5000))
+    rows = [(hot, "en")] * 400 + [(f"rare{i}q {i}", "en") for i in range(300)] + [(hot, "fr")] * 300 + [("seul mot", "fr")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    tokens = {w for t, _ in rows for w in re.findall(r"[^\W\d_]+", t)}
+    points, offsets = language.code_points(sorted(tokens))
+    known = language.run_hashes(points, offsets[:-1], np.diff(offsets))
+    assert set(model.words.hashes.tolist()) == set(known.tolist())
+    assert model.languages == ["en", "fr"]
+    assert language.identify(frame(spark, [doc(1, "seul mot"), doc(2, "rare q")]), model).where("lang_pred = 'fr'").count() == 1
+    monkeypatch.setattr(language, "DOCS_PER_LANGUAGE", 100)
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    small = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert small.languages == ["en"] and len(small.words.hashes) <= 100 * 52
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """Every prediction and score from plain counts of words and n-grams."""
+    rng = random.Random(9)
+    letters = {"en": "abcdefg", "fr": "efghijk"}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(letters))
+        text = " ".join("".join(rng.choices(letters[lang], k=rng.randrange(1, 7))) for _ in range(12))
+        rows.append((*doc(i, text.title() if i % 3 else text + " 12!", lang=lang if i % 9 else None), i))
+    rows += [(*doc(500, "zzz", lang="en"), 0), (*doc(501, "abc", lang="fr"), 0)] * 2
+    long_text = " ".join(r[1] for r in rows) * 40
+    rows.append((*doc(600, long_text, lang=None), 0))
+    docs = frame(spark, rows, DOCS + ", token int")
+    learn = {(r[2], r[1]) for r in rows if r[2] and r[1] and zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    held = Counter(r[2] for r in rows if r[2] and r[1] and zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    langs = sorted(held)
+    counts = {n: {} for n in (0, *language.LENGTHS)}
+    for lang, text in learn:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for n in counts:
+                for t in [w] if n == 0 else [w[i : i + n] for i in range(len(w) - n + 1)]:
+                    counts[n].setdefault(t, Counter())[lang] += 1
+    logs = {}
+    for n, found in counts.items():
+        total = {k: sum(c[k] for c in found.values()) + 0.1 * max(1, len(found)) for k in langs}
+        logs[n] = {t: [math.log((c[k] + 0.1) / total[k]) for k in langs] for t, c in found.items()}
+    got = {}
+    for r in QUERIES["op6_language"](spark, write(spark, tmp_path, documents=docs)).collect():
+        got[r["doc_id"]] = r
+    for r in rows:
+        score = [math.log(held[k] / sum(held.values())) for k in langs]
+        for w in re.findall(r"[^\W\d_]+", r[1].lower()):
+            parts = [logs[0][w]] if w in logs[0] else []
+            for n in language.LENGTHS:
+                parts = parts or [logs[n][w[i : i + n]] for i in range(len(w) - n + 1) if w[i : i + n] in logs[n]]
+            if parts:
+                score = [s + sum(p[j] for p in parts) / len(parts) for j, s in enumerate(score)]
+        best = max(range(len(langs)), key=lambda j: score[j])
+        assert got[r[0]]["lang_pred"] == langs[best], r
+        assert got[r[0]]["score"] == pytest.approx(1 / sum(math.exp(s - score[best]) for s in score))
+
+
 def test_unseen_words_back_off():
     def table(tokens):
         points, offsets = language.code_points(list(tokens))

@@ -8,12 +8,14 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitledger.llm.exact_dedup import whole
+from visitledger.llm.exact_dedup import keyed, row_hash, whole
 from visitledger.sources.staging import stage
 
 #: Values a feature is binned into, and what is added to each bin's counts.
 BINS = 16
 SMOOTHING = 1.0
+#: The classifier is fitted on about this many labelled documents, chosen by a hash of their id.
+LABELLED = 20_000
 #: A document whose probability of being good is below this is rejected. The README has
 #: the errors on held-out labels at this and other cuts.
 THRESHOLD = 0.2
@@ -86,23 +88,22 @@ class Evidence:
         return total
 
 
-def fit_evidence(labelled: DataFrame) -> Evidence:
-    """Fit on `labelled` (the bins of `features` by name, quality 0 or 1), all of it.
+def fit_evidence(labelled: DataFrame) -> tuple[Evidence, float]:
+    """Fit on `labelled`: the bins of `features` by name, and how often each row is called good and bad.
 
-    Spark counts good and bad rows per bin; what comes back has BINS rows per
-    feature. Rows without a label are left out. Without labels there is no
-    evidence either way.
+    Spark counts good and bad per bin; what comes back has BINS rows per feature.
+    Also returns the share of good labels. Without labels there is no evidence
+    either way, and the share is a half.
     """
-    bins = [c for c in labelled.columns if c != "quality"]
+    bins = [c for c in labelled.columns if c not in ("good", "bad")]
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("bin")) for k in bins]))
     rows = (
-        labelled.where("quality IN (0, 1)")
-        .select("quality", pairs.alias("x"))
+        labelled.select("good", "bad", pairs.alias("x"))
         .groupBy("x.feature", "x.bin")
-        .agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         .collect()
     )
-    ratios = {}
+    ratios, share = {}, 0.5
     for name in bins:
         good, bad = [SMOOTHING] * BINS, [SMOOTHING] * BINS
         for r in rows:
@@ -110,7 +111,8 @@ def fit_evidence(labelled: DataFrame) -> Evidence:
                 good[r["bin"]] += float(r["good"])
                 bad[r["bin"]] += float(r["bad"])
         ratios[name] = [log(g / sum(good)) - log(b / sum(bad)) for g, b in zip(good, bad)]
-    return Evidence(ratios)
+        share = (sum(good) - SMOOTHING * BINS) / max(1.0, sum(good) + sum(bad) - 2 * SMOOTHING * BINS) if rows else 0.5
+    return Evidence(ratios), min(max(share, 1e-3), 1 - 1e-3)
 
 
 def _logit(p: Column) -> Column:
@@ -159,7 +161,24 @@ def site_posteriors(scored: DataFrame, prior: float) -> DataFrame:
     return placed.crossJoin(F.broadcast(below))
 
 
-def score_quality(
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Bins and label counts of about LABELLED documents that have labels."""
+    counts = (
+        labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("_id"))
+        .agg(F.sum("quality").cast("long").alias("good"), F.sum(1 - F.col("quality")).cast("long").alias("bad"))
+    )
+    counts = stage(counts, "quality-labels")
+    share = min(1.0, LABELLED / max(1, counts.count()))
+    chosen = counts.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # the sample is bounded by LABELLED, so it may be sent to every task
+    return texts.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select(
+        *[v.alias(k) for k, v in features(F.col("text")).items()], "good", "bad"
+    )
+
+
+def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -167,13 +186,14 @@ def score_quality(
     host_col: str = "source",
     path_col: str = "lang",
 ) -> DataFrame:
-    """Each row as doc, a struct of its columns, with evidence, host_rate, path_rate, quality, keep.
+    """One row per document: id, row (a hash of all columns), evidence, host_rate, path_rate, quality, keep.
 
     A naive Bayes classifier over binned features, fitted on `labels` (id_col,
     quality), gives each document's evidence. Its site gives the prior: the
     path's posterior rate without the document itself, shrunk towards the host's
     and that towards the global rate. Both meet in log odds; a document is kept
-    if its probability of being good reaches THRESHOLD.
+    if its probability of being good reaches THRESHOLD. The evidence of a text is
+    worked out once and written; the rest works on these narrow rows.
 
     Null texts count as empty; null hosts and paths are sites like others. Labels
     that are null, neither 0 nor 1, or of unknown documents are left out; a
@@ -181,24 +201,16 @@ def score_quality(
     its site's rate of 0.5 and is kept. Repeated rows are scored each. An empty
     table gives an empty result.
     """
-    known = labels.where("quality IN (0, 1)").select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("quality"))
-    # labels and sites meet the bins, not the texts
-    bins = features(F.col(text_col))
-    own_columns = [F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path")]
-    binned = stage(docs.select(*own_columns, *[v.alias(k) for k, v in bins.items()]), "quality-bins")
-    evidence = fit_evidence(binned.join(known, F.col("id") == F.col("_id")).select(*bins, "quality"))
-    rate = known.agg(F.avg("quality")).first()[0]
-    prior = min(max(0.5 if rate is None else float(rate), 1e-3), 1 - 1e-3)
-
+    evidence, prior = fit_evidence(_labelled(docs, labels, id_col, text_col))
     scored = docs.select(
-        whole(docs),
+        F.col(id_col).alias("id"),
+        row_hash(docs).alias("row"),
         F.col(host_col).alias("host"),
         F.col(path_col).alias("path"),
-        evidence.column(bins).alias("evidence"),
+        evidence.column(features(F.col(text_col))).alias("evidence"),
     )
-    known_bins = {k: F.col(k) for k in bins}
-    counted = binned.select("host", "path", evidence.column(known_bins).alias("evidence"))
-    sites = stage(site_posteriors(counted, prior), "quality-sites")
+    scored = stage(scored, "quality-evidence")
+    sites = stage(site_posteriors(scored, prior), "quality-sites")
     sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
     own = _sigmoid(F.col("evidence") + F.lit(log(prior / (1 - prior))))
     others = F.greatest(F.col("path_sum") - own, F.lit(0.0)) + F.col("path_strength") * F.col("host_rate")
@@ -207,5 +219,15 @@ def score_quality(
         joined.withColumn("path_rate", others / (F.col("path_n") - 1 + F.col("path_strength")))
         .withColumn("quality", _sigmoid(F.col("evidence") + _logit(F.col("path_rate"))))
         .withColumn("keep", F.col("quality") >= THRESHOLD)
-        .select("doc", "evidence", "host_rate", "path_rate", "quality", "keep")
+        .select("id", "row", "evidence", "host_rate", "path_rate", "quality", "keep")
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
+    """The rows of `docs` that `quality_scores` keeps, with all their columns."""
+    scores = quality_scores(docs, labels, id_col, **columns)
+    kept = scores.where("keep").select(keyed(F.col("id")).alias("_kept_id"), F.col("row").alias("_kept_row"))
+    kept = stage(kept.distinct(), "quality-kept")
+    hashed = docs.select(whole(docs), keyed(F.col(id_col)).alias("id"), row_hash(docs).alias("row"))
+    same = (hashed["id"] == kept["_kept_id"]) & (hashed["row"] == kept["_kept_row"])
+    return hashed.join(kept, same, "left_semi").select("doc.*")

@@ -11,7 +11,7 @@ from visitledger.llm.jaccard import jaccard_classes
 from visitledger.llm.language import fit, held_out, identify
 from visitledger.llm.mixing import mixing_plan
 from visitledger.llm.packing import pack
-from visitledger.llm.quality import score_quality
+from visitledger.llm.quality import quality_scores
 from visitledger.llm.repeats import remove_repeats
 from visitledger.llm.search import search
 from visitledger.llm.sharding import assign_shards
@@ -49,9 +49,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select(
-        "doc.doc_id", "evidence", "host_rate", "path_rate", F.col("quality").alias("quality_score"), "keep"
+        F.col("id").alias("doc_id"), "evidence", "host_rate", "path_rate", F.col("quality").alias("quality_score"), "keep"
     )
 
 
