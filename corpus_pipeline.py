@@ -8,14 +8,14 @@ from visitledger.llm.exact_dedup import drop_copies
 from visitledger.llm.jaccard import drop_near_copies
 from visitledger.llm.mixing import mixed_documents
 from visitledger.llm.packing import pack
-from visitledger.llm.quality import score_quality
+from visitledger.llm.quality import keep_good
 from visitledger.sources.staging import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are probably of low quality."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels).where("keep").select("doc.*")
+    return keep_good(docs, labels)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
