@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from math import ceil
 from uuid import uuid4
 
 import pyarrow as pa
@@ -15,12 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitledger.sources.staging import stage, staging_folder
+from visitledger.sources.staging import owned_path, stage
 
 #: Equal payloads of at least this many bytes are written once.
 REVISIT_BYTES = 1000
-#: Bytes a reading task looks for record starts in, and bytes read at a time.
+#: Bytes of a range, of which a reading task gets so many bytes together, and bytes read at a time.
 RANGE_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
 BLOCK = 1 << 18
 #: Payload bytes of a batch that a reader hands on.
 BATCH_BYTES = 4 << 20
@@ -154,11 +156,12 @@ class _Bytes:
 
     def __init__(self, file: pa.NativeFile, start: int) -> None:
         self.file, self.start, self.size = file, start, file.size()
-        self.data = b""
+        self.data = bytearray()
 
     def drop_before(self, at: int) -> None:
         if at - self.start >= BLOCK:
-            self.data, self.start = self.data[at - self.start :], at
+            del self.data[: at - self.start]
+            self.start = at
 
     def more(self) -> bool:
         at = self.start + len(self.data)
@@ -170,7 +173,7 @@ class _Bytes:
         while True:
             if at >= self.start + len(self.data) and not self.more():
                 return
-            block = self.data[at - self.start : at - self.start + BLOCK]
+            block = bytes(self.data[at - self.start : at - self.start + BLOCK])
             at += len(block)
             yield block
 
@@ -291,10 +294,13 @@ def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
     ranges = archives.where("size > 0").select("path", "size", starts.alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("size"), F.col("start") + range_bytes).alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(work, _RECORDS_DDL)
+    size = archives.agg(F.sum("size"), F.sum(F.ceil(F.col("size") / range_bytes))).first()
+    tasks = max(ceil((size[0] or 0) / TASK_BYTES), min(size[1] or 1, archives.sparkSession.sparkContext.defaultParallelism))
+    # a stated count: adaptive execution would merge these few small rows into one task
+    return ranges.repartition(tasks, "path", "start").mapInArrow(work, _RECORDS_DDL)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write `pages` to archives under `folder` and read their records back."""
-    folder = folder or f"{staging_folder(pages.sparkSession)}/warc-{uuid4().hex}"
+    folder = folder or owned_path(pages.sparkSession, "warc")
     return read_warc(write_warc(pages, folder))
