@@ -7,17 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitledger.llm.runs import LETTER, chunks, code_points, powers, run_hashes, sealed, words_of
 from visitledger.sources.staging import stage
 
-#: The model is fitted on about this many documents of each language, chosen by a hash,
-#: and keeps so many words and so many n-grams of each length.
+#: The model is fitted on so many different texts of each language at most, chosen by
+#: a hash, and of so many languages, the most frequent ones. This alone bounds it: all
+#: words and n-grams of these texts are kept.
 DOCS_PER_LANGUAGE = 1500
-WORDS = 100_000
-GRAMS = 30_000
+LANGUAGES = 500
 LENGTHS = (5, 4, 3, 2, 1)
 #: Added to every count.
 SMOOTHING = 0.1
@@ -101,35 +101,51 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, share, 0.0)
 
 
-def _table(counted: DataFrame, languages: list[str], most: int) -> Table:
-    """The `most` frequent tokens of `counted` (token, one count per language)."""
-    total = sum((F.col(f"n{i}") for i in range(1, len(languages))), F.col("n0"))
-    rows = counted.orderBy(total.desc(), "token").limit(most).toPandas()
-    tokens = rows["token"].tolist()
-    counts = rows[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64).reshape(len(tokens), len(languages))
-    points, offsets = code_points(tokens)
-    hashes = run_hashes(points, offsets[:-1], np.diff(offsets))
-    logs = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * max(1, len(tokens))))
-    order = np.argsort(hashes)
-    return Table(hashes[order], logs[order])
+def _table(counted: DataFrame, languages: list[str]) -> Table:
+    """All tokens of `counted` (token, one count per language)."""
+    rows = counted.toArrow()
+    counts = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(np.float64)
+    hashes = [np.zeros(0, np.uint64)]
+    for batch in rows.select(["token"]).to_batches(50_000):
+        points, offsets = code_points(batch.column(0).to_pylist())
+        hashes.append(run_hashes(points, offsets[:-1], np.diff(offsets)))
+    found = np.concatenate(hashes)
+    logs = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * max(1, len(found))))
+    order = np.argsort(found)
+    return Table(found[order], logs[order])
+
+
+def _drawn(labelled: DataFrame) -> DataFrame:
+    """At most DOCS_PER_LANGUAGE different texts of each language, each of them once.
+
+    Texts are ranked by a hash; of copies only the hash is counted, so a text that
+    a language repeats takes one place. Spark keeps that many per task before the
+    shuffle.
+    """
+    hashed = labelled.withColumn("hash", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("hash")
+    ranked = hashed.select("lang", "hash").distinct().withColumn("place", F.row_number().over(order))
+    places = ranked.where(F.col("place") <= DOCS_PER_LANGUAGE).select("lang", "hash")
+    # at most LANGUAGES * DOCS_PER_LANGUAGE rows of two narrow columns
+    drawn = hashed.join(F.broadcast(stage(places, "language-drawn")), ["lang", "hash"])
+    return drawn.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(labelled: DataFrame) -> Model:
     """Fit on `labelled` (text, lang), whose rows are all allowed to be learned from.
 
-    A hash of the text picks about DOCS_PER_LANGUAGE rows of each language, so
-    that the model and the time to fit it do not grow with the table. Words and
-    n-grams are counted by Spark; the WORDS and GRAMS most frequent come back.
+    Learns from DOCS_PER_LANGUAGE different texts of each of the LANGUAGES most
+    frequent languages, so that the model and the time to fit it do not grow with
+    the table. Words and n-grams are counted by Spark, and all of them come back.
+    The prior counts all rows.
     """
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    many = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    many = {r["lang"]: r["count"] for r in top.collect()}
     languages = sorted(many)
     if not languages:
         return Model([], np.zeros(0), Table(np.zeros(0, np.uint64), np.zeros((0, 0))), {})
-    share = F.element_at(
-        F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, DOCS_PER_LANGUAGE / many[k])))]), F.col("lang")
-    )
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = _drawn(labelled.where(F.col("lang").isin(languages)))
     counts = [F.sum(F.when(F.col("lang") == k, F.col("many")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)]
     words = (
         chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
@@ -143,9 +159,9 @@ def fit(labelled: DataFrame) -> Model:
         cut = F.expr(f"transform(sequence(1, length(token) - {n - 1}), i -> substring(token, i, {n}))")
         cuts = words.where(F.length("token") >= n).select(F.explode(cut).alias("token"), *[f"n{i}" for i in range(len(languages))])
         sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]
-        grams[n] = _table(cuts.groupBy("token").agg(*sums), languages, GRAMS)
+        grams[n] = _table(cuts.groupBy("token").agg(*sums), languages)
     prior = np.array([many[k] for k in languages], float)
-    return Model(languages, prior / prior.sum(), _table(words, languages, WORDS), grams)
+    return Model(languages, prior / prior.sum(), _table(words, languages), grams)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
