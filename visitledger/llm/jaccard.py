@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitledger.llm.exact_dedup import keyed, row_hash, whole
@@ -25,8 +25,12 @@ STEP = 16
 TOLERANCE = 1e-6
 #: Sets compared with each other in one go, at most about so many on either side.
 BLOCK = 256
-#: Entries of the table of frequent shingles that every task gets.
-FREQUENT = 1 << 17
+#: Counters that all shingles of all documents are added up in, and rows they are moved in.
+SLOTS = 1 << 20
+SLICES = 64
+#: Bits of the filter of ids whose texts are looked at again. Where there are more ids
+#: than it can tell apart, more texts move; results are the same.
+FILTER_BITS = 1 << 26
 CHUNK = 2 << 20
 
 
@@ -59,40 +63,61 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def _slot(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(32)).astype(np.int64) % SLOTS
+
+
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """Rows of docs (id, row, text) as id, row, key, size, and frequent shingles as shingle, many."""
+    """Rows of docs (id, row, text) as id, row, key, size, and each task's counters as slice, counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "row", "key", "size", "slice", "counts"]
+        total = np.zeros(SLOTS, np.uint32)
         for batch, texts in _texts(batches, 2):
             owner, found = shingle_sets(texts)
             keys, sizes = set_keys(owner, found, len(texts))
-            common, many = np.unique(found, return_counts=True)
-            common, many = common[many > 1], many[many > 1]
-            blank = pa.nulls(len(texts), pa.int64())
-            names = ["id", "row", "key", "size", "shingle", "many"]
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes), blank, blank]
+            total += np.bincount(_slot(found), minlength=SLOTS).astype(np.uint32)
+            none = [pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())]
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes), *none]
             yield pa.RecordBatch.from_arrays(columns, names)
-            if len(common):
-                no = pa.nulls(len(common), pa.int64())
-                columns = [no, no, pa.nulls(len(common), pa.binary()), no, _signed(common), pa.array(many)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        if total.any():
+            counts = [zlib.compress(part.astype("<u4").tobytes(), 1) for part in np.split(total, SLICES)]
+            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], names)
+
+    return docs.mapInArrow(work, "id long, row long, key binary, size long, slice int, counts binary")
+
+
+def _frequencies(read: DataFrame) -> np.ndarray:
+    """How many shingles of the whole corpus fall into each counter, added up slice by slice."""
 
-    return docs.mapInArrow(work, "id long, row long, key binary, size long, shingle long, many long")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zlib.decompress(counts.as_py()), "<u4").astype(np.uint64)
+                sums[at] = sums[at] + part if at in sums else part
+        done = [np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(done, pa.binary())], ["slice", "counts"])
+
+    slices = read.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(work, "slice int, counts binary")
+    total = np.zeros((SLICES, SLOTS // SLICES), np.uint32)
+    for r in slices.collect():  # SLOTS numbers, whatever the corpus
+        total[r["slice"]] = np.frombuffer(r["counts"], "<u4")
+    return total.ravel()
 
 
-def _postings(texts: DataFrame, frequent: pd.DataFrame, threshold: float) -> DataFrame:
+def _postings(texts: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame:
     """The prefix of each set as shingle, node (the key's first half), size.
 
-    Shingles are taken from the rarest on, unknown ones first; two sets that reach
-    the threshold share one of the first n - ceil(t n) + 1, under any order that
-    is the same for all sets.
+    Shingles are taken from the rarest on, as far as the counters tell; two sets
+    that reach the threshold share one of the first n - ceil(t n) + 1, under any
+    order that is the same for all sets.
     """
-    hashes = frequent["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    shared = texts.sparkSession.sparkContext.broadcast((hashes[order], frequent["many"].to_numpy(np.int64)[order]))
+    shared = texts.sparkSession.sparkContext.broadcast(frequencies)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
+        counts = shared.value
         for _, part in _texts(batches, 0):
             owner, found = shingle_sets(part)
             if not len(owner):
@@ -103,11 +128,7 @@ def _postings(texts: DataFrame, frequent: pd.DataFrame, threshold: float) -> Dat
             chosen[list(first.values())] = True  # equal sets of a chunk are sent once
             inside = chosen[owner]
             owner, found = owner[inside], found[inside]
-            many = np.zeros(len(found), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                many = np.where(known[at] == found, counts[at], 0)
-            order = np.lexsort((found, many, owner))
+            order = np.lexsort((found, counts[_slot(found)], owner))
             owner, found = owner[order], found[order]
             rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
             short = rank <= sizes[owner] - np.ceil(threshold * sizes[owner] - 1e-9)
@@ -118,6 +139,43 @@ def _postings(texts: DataFrame, frequent: pd.DataFrame, threshold: float) -> Dat
     return texts.mapInArrow(work, "shingle long, node long, size int")
 
 
+class IdFilter:
+    """A Bloom filter of ids, of a fixed size: it holds all of them and few others."""
+
+    def __init__(self, ids: DataFrame) -> None:
+        hashed = ids.select(F.xxhash64("id").alias("h"))
+        bits = F.explode(F.array(*[self._place(F.col("h"), i) for i in range(4)])).alias("bit")
+        words = (
+            hashed.select(bits)
+            .groupBy(F.shiftright("bit", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+            .toArrow()  # at most FILTER_BITS / 64 rows
+        )
+        table = np.zeros(FILTER_BITS // 64, np.int64)
+        table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @staticmethod
+    def _place(h: Column, i: int) -> Column:
+        mask = F.lit(FILTER_BITS - 1).cast("long")
+        return (h.bitwiseAND(mask) + F.lit(i) * F.shiftrightunsigned(h, 32).bitwiseAND(mask)).bitwiseAND(mask)
+
+    def texts(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs (id, text) whose id may be in the filter; the others do not leave their task."""
+        shared = self.shared
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h, inside = batch.column(2).to_numpy(), np.ones(batch.num_rows, bool)
+                mask = np.int64(FILTER_BITS - 1)
+                for i in range(4):
+                    place = ((h & mask) + i * ((h.view(np.uint64) >> np.uint64(32)).astype(np.int64) & mask)) & mask
+                    inside &= (shared.value[place >> 6] >> (place & 63)) & 1 == 1
+                yield batch.select(["id", "text"]).filter(pa.array(inside))
+
+        return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(work, "id long, text string")
+
+
 def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
     """Groups of candidates: members (the group's number), low (its smallest node), node.
 
@@ -149,9 +207,11 @@ def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     nodes = stage(shared.groupBy("node").agg(F.min("low").alias("leader")), "jaccard-nodes")
     split = nodes.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    nodes = nodes.join(split, "leader").select("node", F.xxhash64("leader", part).alias("block"))
-    nodes = stage(nodes, "jaccard-blocks")
-    placed = stage(shared.drop("low").join(nodes, "node"), "jaccard-placed")
+    blocks = nodes.join(split, "leader").select("node", F.xxhash64("leader", part).alias("block"))
+    blocks = stage(blocks, "jaccard-blocks")
+    drop_staged(nodes)
+    placed = stage(shared.drop("low").join(blocks, "node"), "jaccard-placed")
+    drop_staged(shared)
     seen = stage(placed.select("members", "block").distinct(), "jaccard-seen")
     meeting = (
         seen.withColumnRenamed("block", "left")
@@ -163,27 +223,34 @@ def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     sides = meeting.select("members", "pair", F.explode(F.array("pair.left", "pair.right")).alias("block"))
     across = sides.join(placed, ["members", "block"]).select("pair", "block", "node").distinct()
     across = across.select(F.xxhash64("pair").alias("at"), (F.col("block") == F.col("pair.left")).alias("first"), "node")
-    return nodes, stage(across, "jaccard-pairs")
+    across = stage(across, "jaccard-pairs")
+    for spent in (placed, seen, meeting):
+        drop_staged(spent)
+    return blocks, across
+
 
+def _signatures(docs: DataFrame, involved: DataFrame) -> DataFrame:
+    """MinHash values of the `involved` sets (rep, key, node, block): key, node, block, size, hashes.
 
-def _signatures(texts: DataFrame) -> DataFrame:
-    """MinHash values of the sets of `texts` (key, node, block, copies, text): key, node, block, size, hashes."""
+    Worked out where the texts are; only the values move.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, part in _texts(batches, 3):
+        for _, part in _texts(batches, 1):
             owner, found = shingle_sets(part)
             keys, sizes = set_keys(owner, found, len(part))
-            rows = [i for i, key in enumerate(batch.column(0).to_pylist()) if key == keys[i]]  # others only share the id
+            rows = list({k: i for i, k in enumerate(keys) if k}.values())
             if not rows:
                 continue
+            rows.sort()
             inside = np.isin(owner, rows)
             values = min_hashes(found[inside], np.searchsorted(owner[inside], rows), HASHES)
-            named = batch.take(pa.array(rows)).select(["key", "node", "block"])
-            columns = [*named.columns, pa.array(sizes[rows]), pa.array([v.tobytes() for v in values], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "block", "size", "hashes"])
+            columns = [pa.array([keys[i] for i in rows], pa.binary()), pa.array(sizes[rows]), pa.array([v.tobytes() for v in values], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "size", "hashes"])
 
-    narrow = texts.select("key", "node", "block", "text")
-    return stage(narrow.mapInArrow(work, "key binary, node long, block long, size long, hashes binary"), "jaccard-sets")
+    texts = IdFilter(involved.select(F.col("rep").alias("id"))).texts(docs)
+    hashed = texts.mapInArrow(work, "key binary, size long, hashes binary").dropDuplicates(["key"])
+    return stage(hashed.join(involved.select("key", "node", "block"), "key"), "jaccard-sets")
 
 
 def hopeful(keys: list[bytes], sizes: np.ndarray, hashes: np.ndarray, split: int, threshold: float) -> dict[bytes, bytes]:
@@ -274,8 +341,11 @@ _OPEN = pa.schema([("key", pa.binary()), ("partners", pa.binary()), ("at", pa.in
 _LINKS = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
 
-def _links(texts: DataFrame, across: DataFrame, threshold: float) -> DataFrame:
-    """Partial link counts and connections of every block and pair of blocks: key, links, root."""
+def _links(docs: DataFrame, involved: DataFrame, across: DataFrame, threshold: float) -> DataFrame:
+    """Partial link counts and connections of every block and pair of blocks: key, links, root.
+
+    Of the texts only those of pairs that MinHash leaves open move.
+    """
 
     def prune(rows: dict[str, list]) -> list[tuple]:
         at = rows["at"][0]
@@ -297,13 +367,21 @@ def _links(texts: DataFrame, across: DataFrame, threshold: float) -> DataFrame:
         copies = np.array([rows["copies"][i] for i in chosen], np.int64)
         return verified(key, partners, copies, [sets[i] for i in chosen], threshold)
 
-    sets = _signatures(texts)
+    sets = _signatures(docs, involved)
     inside = sets.select(F.col("block").alias("at"), F.lit(True).alias("first"), F.lit(True).alias("inside"), "key", "size", "hashes")
     between = across.join(sets, "node").select("at", "first", F.lit(False).alias("inside"), "key", "size", "hashes")
     members = inside.unionByName(between).repartition("at").sortWithinPartitions("at", F.desc("first"))
     found = stage(members.mapInArrow(_by_group(prune, _OPEN), "key binary, partners binary, at long"), "jaccard-open")
-    full = found.join(texts.select("key", "copies", "text"), "key").repartition("at").sortWithinPartitions("at")
-    return full.mapInArrow(_by_group(verify, _LINKS), "key binary, links long, root binary")
+    drop_staged(sets)
+    rows = stage(found.join(involved.select("key", "copies", "rep"), "key"), "jaccard-asked")
+    drop_staged(found)
+    texts = IdFilter(rows.select(F.col("rep").alias("id")).distinct()).texts(docs)
+    full = rows.join(texts, rows["rep"].eqNullSafe(texts["id"])).drop("rep", "id")
+    full = full.repartition("at").sortWithinPartitions("at")
+    links = full.mapInArrow(_by_group(verify, _LINKS), "key binary, links long, root binary")
+    links = stage(links, "jaccard-links")
+    drop_staged(rows)
+    return links
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -315,10 +393,12 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b"))
     both = stage(both.union(both.select("b", "a")).distinct(), "connected-edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "connected").withColumnRenamed("a", "key")
+    first = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key")
+    labels = stage(first, "connected")
     while True:
-        near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, labels["key"] == near["a"]).select("key", "label", F.least("label", "near").alias("better"))
+        near = both.join(labels.select("key", "label"), both["b"] == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
+        known = labels.select("key", "label")
+        better = known.join(near, known["key"] == near["a"]).select("key", "label", F.least("label", "near").alias("better"))
         better = stage(better, "connected-better")
         jump = better.select(F.col("key").alias("_key"), F.col("better").alias("jump"))
         joined = better.join(jump, F.col("better") == F.col("_key"), "left")
@@ -326,9 +406,12 @@ def connected(edges: DataFrame) -> DataFrame:
             joined.select("key", F.least("better", "jump").alias("label"), (F.least("better", "jump") < F.col("label")).alias("moved")),
             "connected",
         )
-        labels = after.select("key", "label")
+        drop_staged(better)
+        drop_staged(labels)
+        labels = after
         if after.where("moved").isEmpty():
-            return labels
+            drop_staged(both)
+            return labels.select("key", "label")
 
 
 def jaccard_classes(
@@ -361,19 +444,17 @@ def jaccard_classes(
         F.col(text_col).alias("text"),
     )
     read = stage(_set_rows(rows), "jaccard-rows")
-    members = read.where("shingle IS NULL").select("id", "row", "key", "size")
-    counts = read.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("many").alias("many"))
-    frequent = counts.orderBy(F.desc("many"), "shingle").limit(FREQUENT).toPandas()
+    members = read.where("slice IS NULL").select("id", "row", "key", "size")
+    frequencies = _frequencies(read)
     node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
     groups = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = stage(groups.withColumn("node", node), "jaccard-groups")
 
-    nodes, across = _blocks(_postings(rows.select("text"), frequent, threshold), threshold)
-    involved = groups.join(nodes, "node").select("rep", "key", "copies", "node", "block")
-    texts = rows.join(involved, rows["id"].eqNullSafe(involved["rep"])).select("key", "copies", "node", "block", "text")
-    texts = stage(texts, "jaccard-texts")
-    found = stage(_links(texts, across, threshold), "jaccard-links")
-    drop_staged(texts)
+    blocks, across = _blocks(_postings(rows.select("text"), frequencies, threshold), threshold)
+    involved = stage(groups.join(blocks, "node").select("rep", "key", "copies", "node", "block"), "jaccard-involved")
+    found = _links(rows.select("id", "text"), involved, across, threshold)
+    for spent in (blocks, across, involved):
+        drop_staged(spent)
     labels = connected(found.select("key", "root"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
 
