@@ -93,11 +93,13 @@ class Sample:
         context = mix(self.names.of(place - left, place + right) + (left << 8).astype(np.uint64))
         return self.grams[place], context, left, right
 
-    def strings(self, place: np.ndarray) -> np.ndarray:
-        """Where the strings start that have their sample at one of `place`."""
+    def strings(self, place: np.ndarray, sides: np.ndarray) -> np.ndarray:
+        """Where the strings start that have their sample at one of `place`, and the half that `sides` leaves open around it."""
         width = self.threshold - self.gram + 1
-        starts = place[:, None] - np.arange(width)[None, :]
-        inside = (starts >= 0) & (starts < len(self.lowest))
+        before = np.arange(width)[None, :]  # bytes of the string before the gram
+        starts = place[:, None] - before
+        half = np.where(before <= half_width(self.threshold, self.gram), RIGHT, LEFT)
+        inside = (starts >= 0) & (starts < len(self.lowest)) & ((sides[:, None] & half) > 0)
         found = np.where(inside, self.lowest[np.clip(starts, 0, max(0, len(self.lowest) - 1))], 0) == self.grams[place][:, None]
         return np.unique(starts[inside & found])
 
@@ -230,32 +232,112 @@ def _decided(ranked: DataFrame) -> DataFrame:
     return found.unionByName(local)
 
 
-_STRINGS = "doc long, at long, name long, more int, again boolean"
+#: The halves around a gram that the second round ranks.
+RIGHT, LEFT = 1, 2
+_HALVES = "name long, doc long, at long, side int"
+
+
+def half_width(threshold: int, gram: int) -> int:
+    return (threshold - gram) // 2
+
+
+def _with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of `texts` that have `places` (doc, at and more columns), as doc, tie, bytes, places."""
+    rest = [c for c in places.columns if c not in ("doc", "at")]
+    place = F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("place")
+    listed = places.groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("tie")).agg(F.collect_list(F.struct(place, *rest)).alias("places"))
+    listed = listed.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "places")
+    joined = texts.join(listed, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")))
+    return joined.select("doc", "tie", "bytes", "places")
+
+
+def _placed(batch: pa.RecordBatch, offsets: np.ndarray, column: str) -> np.ndarray:
+    """A field of the places of all texts of a batch, as one array; places count from the first text on."""
+    lists = batch.column(3)
+    found = lists.flatten().field(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    if column == "place":
+        found += np.repeat(offsets[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
+    return found
+
+
+def _halves(texts: DataFrame, is_open: DataFrame, threshold: int, gram: int) -> DataFrame:
+    """Second ranks of open positions: names of what all strings with the gram in their first, or second, half share.
+
+    With half the bytes that a string has besides the gram being h, a string that
+    has at most h of them before the gram holds the gram and h bytes after it; any
+    other holds the gram and h bytes before it.
+    """
+    half = half_width(threshold, gram)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in _batches(batches, 2):
+            names, place = Names(data), _placed(batch, offsets, "place")
+            text = np.searchsorted(offsets, place, side="right") - 1
+            doc = batch.column(0).to_numpy()[text]
+            at = place - offsets[text] + (batch.column(1).to_numpy()[text] << _PLACE_BITS)
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for side, start, end in ((RIGHT, place, place + threshold - half), (LEFT, place - half - 1, place + gram)):
+                fits = (start >= offsets[text]) & (end <= offsets[text + 1])
+                name = mix(names.of(start[fits], end[fits])) ^ np.uint64(side)
+                for c, v in zip(columns, (name.view(np.int64), doc[fits], at[fits], np.full(len(name), side, np.int32))):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], _fields(_HALVES))
+
+    return _with_places(texts, is_open.select("doc", "at")).mapInArrow(work, _HALVES)
+
+
+def _repeated_halves(halves: DataFrame) -> DataFrame:
+    """Sort the second ranks over all partitions; returns doc, at, sides of those that are not unique.
+
+    A rank at the edge of a partition may go on in the next and stays, too: what
+    stays is only looked at more closely.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None  # the last row, whose rank the next batch may go on with
+        same_before = True
+
+        def kept(rows: pa.RecordBatch, same: np.ndarray) -> pa.RecordBatch:
+            return rows.select(["doc", "at", "side"]).filter(pa.array(same))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            name = rows.column("name").to_numpy()
+            equal = name[1:] == name[:-1]
+            same = np.concatenate([[same_before], equal]) | np.concatenate([equal, [False]])
+            yield kept(rows.slice(0, rows.num_rows - 1), same[:-1])
+            rest, same_before = rows.slice(rows.num_rows - 1), bool(same[-1])
+        if rest is not None:
+            yield kept(rest, np.array([True]))
+
+    order = ["name", "doc", "at"]
+    sorted_ranks = halves.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = sorted_ranks.mapInArrow(work, "doc long, at long, side int")
+    return found.groupBy("doc", "at").agg(F.bit_or("side").alias("sides"))
+
+
+_STRINGS = "doc long, at long, name long, more int, run int"
 
 
 def _strings(texts: DataFrame, is_open: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """The strings of `threshold` bytes sampled at open positions, with their ranks.
+    """The strings of `threshold` bytes sampled at open positions, in their open halves, with their ranks.
 
     A rank is made of the names of two doubled grams, at offset 0 and at the one
     that takes them to the threshold: 96 bits in name and more. A string that
-    repeats in a chunk is sent once; from its second place on it is marked `again`
-    and named after the place, so that a string of many documents is spread.
+    repeats in a chunk is sent once. From its second place on it is a repeat and
+    needs no rank: `run` says how many such strings start there one after another.
     """
-    places = is_open.groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("tie")).agg(
-        F.collect_list(F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).alias("places")
-    )
-    places = places.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "places")
-    joined = texts.join(places, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in _batches(batches, 2):
             if len(data) < threshold:
                 continue
             sample = Sample(data, offsets, threshold, gram)
-            own = [np.array(p, np.int64) + offsets[i] for i, p in enumerate(batch.column(3).to_pylist())]
-            place = np.concatenate(own)
-            start = [sample.strings(place[at : at + 20_000]) for at in range(0, len(place), 20_000)]
-            start = np.unique(np.concatenate(start)) if start else place
+            place, sides = _placed(batch, offsets, "place"), _placed(batch, offsets, "sides")
+            cuts = range(0, len(place), 20_000)
+            start = np.unique(np.concatenate([sample.strings(place[i : i + 20_000], sides[i : i + 20_000]) for i in cuts]))
             text = sample.text_of(start)
             at = start - offsets[text] + (batch.column(1).to_numpy()[text] << _PLACE_BITS)
             doc = batch.column(0).to_numpy()[text]
@@ -267,19 +349,29 @@ def _strings(texts: DataFrame, is_open: DataFrame, threshold: int, gram: int) ->
             again[1:] = (name[1:] == name[:-1]) & (more[1:] == more[:-1])
             first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
             same = again & (doc == doc[first]) & (at == at[first])  # a repeated row, not a repeat
-            name = np.where(again, mix(at.astype(np.uint64) ^ name), name)
-            columns = [pa.array(doc), pa.array(at), _long(name), pa.array(more.view(np.int32)), pa.array(again)]
-            yield pa.RecordBatch.from_arrays(columns, _fields(_STRINGS)).filter(pa.array(~same))
+            new = ~again
+            columns = [pa.array(doc[new]), pa.array(at[new]), _long(name[new]), pa.array(more[new].view(np.int32)), pa.nulls(int(new.sum()), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, _fields(_STRINGS))
+            doc, at = doc[again & ~same], at[again & ~same]
+            order = np.lexsort((at, doc))
+            doc, at = doc[order], at[order]
+            opens = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
+            if len(opens):
+                last = np.append(opens[1:], len(at)) - 1
+                run = pa.array((at[last] - at[opens] + 1).astype(np.int32))
+                none = pa.nulls(len(opens), pa.int64()), pa.nulls(len(opens), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(doc[opens]), pa.array(at[opens]), *none, run], _fields(_STRINGS))
 
-    return joined.select("doc", "tie", "bytes", "places").mapInArrow(work, _STRINGS)
+    return _with_places(texts, is_open).mapInArrow(work, _STRINGS)
 
 
 def _doubled(strings: DataFrame) -> DataFrame:
-    """Strings that also start earlier, as doc, at: of equal ranks the first position stays."""
+    """Strings that also start earlier, as doc, at, run: of equal ranks the first position stays."""
     ranked = Window.partitionBy("name", "more").orderBy("doc", "at")
     first = F.first(F.struct("doc", "at")).over(ranked)
-    repeated = F.col("again") | (F.struct("doc", "at") != F.col("first"))
-    return strings.withColumn("first", first).where(repeated).select("doc", "at")
+    sorted_ranks = strings.where("run IS NULL").drop("run").withColumn("first", first)
+    repeated = sorted_ranks.where(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).alias("run"))
+    return repeated.unionByName(strings.where("run IS NOT NULL").select("doc", "at", "run"))
 
 
 def remove_repeats(
@@ -297,8 +389,11 @@ def remove_repeats(
     of the grams in each `threshold` bytes that of the smallest name. Spark sorts
     their pairs of ranks, gram and context (all strings around it). Equal pairs
     are repeats as a whole and unique grams drop out. Around grams with several
-    contexts the last round sorts all strings as pairs of doubled grams. Ranks are
-    names: hashes of 64 bits, and always more than one is compared.
+    contexts the second round sorts the names of the gram with the bytes after and
+    before it that every string of its half holds, about twice the length, and
+    unique ones drop out again. What is left the last round sorts as strings, in
+    pairs of doubled grams. Ranks are names: hashes of 64 bits, and whatever is
+    removed has been compared by more than one.
 
     Null texts are empty; texts shorter than `threshold` lose nothing. A null id
     is smaller than any other. Rows that share an id are in the order of their
@@ -318,18 +413,24 @@ def remove_repeats(
     ranked = stage(_ranked(large, threshold, gram), "repeat-ranks")
     decided = stage(_decided(ranked), "repeat-decided")
     drop_staged(ranked)
-    strings = stage(_strings(large, decided.where("open"), threshold, gram), "repeat-strings")
-    fresh = stage(_doubled(strings), "repeat-fresh")
+    halves = stage(_halves(large, decided.where("open"), threshold, gram), "repeat-halves")
+    is_open = stage(_repeated_halves(halves), "repeat-open")
+    drop_staged(halves)
+    strings = stage(_strings(large, is_open, threshold, gram), "repeat-strings")
+    drop_staged(is_open)
+    found = stage(_doubled(strings), "repeat-fresh")
     drop_staged(strings)
     place = F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     known = decided.where("NOT open").select("doc", "at", (place - F.col("left")).alias("start"), (place + F.col("right")).alias("end"))
-    fresh = fresh.select("doc", "at", place.alias("start"), (place + threshold).alias("end"))
+    fresh = found.select("doc", "at", place.alias("start"), (place + F.col("run") - 1 + threshold).alias("end"))
     spans = (
         known.unionByName(fresh)
         .groupBy("doc", F.shiftright("at", _PLACE_BITS).alias("tie"))
         .agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     )
     spans = stage(spans, "repeat-spans").select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "starts", "ends")
+    drop_staged(decided)
+    drop_staged(found)
     joined = texts.join(spans, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
