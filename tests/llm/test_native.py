@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import differences, duck
 from tests.llm.tables import DOCS, doc, frame, odd_docs, words, write
-from visitledger.llm import exact_dedup, mixing, sharding, spots
+from visitledger.llm import exact_dedup, jaccard, mixing, sharding, spots
 from visitledger.llm.oracle import ORACLE
 from visitledger.llm.queries import QUERIES
 
@@ -206,6 +206,45 @@ def test_likeness_of_very_different_lengths(spark):
     assert rows[2]["near_next"] == pytest.approx(1 / 297)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_copies(spark, block, monkeypatch):
+    """Classes and links against all pairs of signature sets; a hot group of copies and near copies."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(block)
+    pool = [*spots.ANCHORS[:8], *words(rng, 200)]
+    texts = []
+    for _ in range(25):
+        base = rng.choices(pool, k=rng.randrange(10, 90))
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(pool)
+            texts.append(" ".join(copy))
+    hot = rng.choices(pool, k=150)
+    texts += [" ".join([*hot[:i], f"own{i}x", *hot[i:]]) for i in range(40)] + [" ".join(hot)] * 15
+    rows = [doc(i * 5, t) for i, t in enumerate(texts)] + [r for r in odd_docs() if r[0] not in (None, 5)]
+    docs = frame(spark, [(*r, "k", 7) for r in rows], DOCS + ", key string, block int").repartition(6)
+    sets = {i: x for i, x in docs.select("doc_id", spots.spot_signatures(F.col("text"))).collect()}
+    near = defaultdict(set)
+    for a in sets:
+        for b in sets:
+            x, y = set(sets[a]), set(sets[b])
+            if a < b and x and y and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                near[a].add(b)
+                near[b].add(a)
+    want = {}
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            todo = [b for a in todo for b in near[a] if b not in seen and not seen.add(b)]
+        want[i] = (min(seen), len(near[i]), len(sets[i]))
+    got = {r["id"]: (r["class_id"], r["n_links"], r["n_signatures"]) for r in spots.near_copies(docs).collect()}
+    assert got == want and max(n for _, n, _ in want.values()) > 40
+    plan = spots.near_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+    assert spots.near_copies(docs.limit(0)).count() == 0
+
+
 def test_fingerprints_beside_clashing_columns(spark):
     names = "doc_id long, text string, slice int, tie int, helper string, following string"
     docs = spark.createDataFrame([(i, "the cat sat " * i, 1, 2, "h", None) for i in range(5)], names)

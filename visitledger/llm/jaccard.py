@@ -196,7 +196,7 @@ def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
     return found.select(members.alias("members"), "low", "node").distinct()
 
 
-def _blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def candidate_blocks(postings: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Nodes with their block, and the nodes to compare in each pair of blocks, numbered `at`.
 
     A node's leader is the smallest of its candidates, so near copies fall into
@@ -450,7 +450,7 @@ def jaccard_classes(
     groups = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = stage(groups.withColumn("node", node), "jaccard-groups")
 
-    blocks, across = _blocks(_postings(rows.select("text"), frequencies, threshold), threshold)
+    blocks, across = candidate_blocks(_postings(rows.select("text"), frequencies, threshold), threshold)
     involved = stage(groups.join(blocks, "node").select("rep", "key", "copies", "node", "block"), "jaccard-involved")
     found = _links(rows.select("id", "text"), involved, across, threshold)
     for spent in (blocks, across, involved):
