@@ -633,3 +633,52 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in again.collect()) == Counter(
         (r["doc_id"], r["start"], r["ids_crc32"]) for r in seen["packing"]
     )
+
+
+def _shingles(text):
+    found = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_pipeline_keeps_the_right_copies(spark):
+    """Exact and near copies that the stages keep, against all pairs; columns that clash ride along."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    texts = [" ".join(words(rng, rng.randrange(5, 60), 50)) for _ in range(40)]
+    rows = [doc(i, t) for i, t in enumerate(texts)]
+    rows += [doc(100 + i, t.upper()) for i, t in enumerate(texts[:10])] + [doc(200 + i, t + " tail") for i, t in enumerate(texts[5:30])]
+    rows += [doc(300 + i, f"{texts[0]} x{i}y") for i in range(30)] + [doc(400, None), doc(401, ""), doc(402, "!!"), doc(403, "??")]
+    names = DOCS + ", id int, row string, key string, kept boolean, block long, position double, copies int"
+    docs = frame(spark, [(*r, 1, "r", "k", False, 5, 0.5, 3) for r in rows], names).repartition(5)
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    last = {}
+    for i, t, *_ in rows:
+        last[(t or "").translate(fold)] = max(i, last.get((t or "").translate(fold), i))
+    once = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, "")
+    assert once.columns == docs.columns
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(last.values())
+    left = {r[0]: _shingles(r[1]) for r in rows if r[0] in last.values()}
+    root = {i: i for i in left}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in left:
+        for b in left:
+            if a < b and left[a] and left[b] and len(left[a] & left[b]) >= 0.8 * len(left[a] | left[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    near = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, once, "")
+    assert near.columns == docs.columns
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted({top(i) for i in left})
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, near, "")
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in near.collect()}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = write(spark, tmp_path, documents=frame(spark, []), labels=frame(spark, [], "doc_id long, quality int, toxic int"))
+    assert corpus_pipeline.run(spark, folder).count() == 0
