@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.frames import day, frame, rows
 from visitledger import constants as k
+from visitledger.plans import revenue
 from visitledger.plans.revenue import (
     episodic_payers,
     per_visit_payers,
@@ -37,6 +40,27 @@ def visits(spark, *found):
     return frame(spark, VISIT, [base | v for v in found])
 
 
+def test_ten_thousand_cards_of_one_key(spark, monkeypatch):
+    """Priced by day: the same rows as card by card, overlaps and visits without a key included."""
+    days = [{"visit_date": date(2000, 1, 1) + timedelta(days=i * 7), "unique_visit_id": str(i)} for i in range(900)]
+    odd = [{"insurance": None, "unique_visit_id": "n"}, {"visit_date": None, "unique_visit_id": "d"}, {"agency": "South", "unique_visit_id": "s"}]
+    df = visits(spark, *days, *odd)
+    start = F.expr("date_add(DATE '1998-01-01', cast(id as int))")
+    cards = spark.range(10_000).select(
+        F.lit("Cash").alias("insurer"),
+        F.lit("SN Visit").alias("task_name"),
+        F.when(F.col("id") % 100 == 1, " south").otherwise("NORTH ").alias("location"),
+        F.when(F.col("id") % 2 == 0, k.UNIT).otherwise(k.HOURLY).alias("type"),
+        start.alias("from_date"),
+        F.when(F.col("id") % 3000 == 0, F.lit(date(9999, 12, 31))).otherwise(F.date_add(start, (F.col("id") % 3).cast("int"))).alias("to_date"),
+        F.col("id").cast("double").alias("rate"),
+    )
+    got = rate_card_revenue(df, cards)
+    monkeypatch.setattr(revenue, "CROWD", 1 << 20)
+    assert rows(got, *sorted(got.columns)) == rows(rate_card_revenue(df, cards), *sorted(got.columns))
+    assert got.where("rate IS NOT NULL").count() > 900
+
+
 def test_payment_models(spark):
     df = visits(
         spark,

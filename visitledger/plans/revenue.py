@@ -9,8 +9,9 @@ from pyspark.sql.types import StructType
 from visitledger import constants as k
 from visitledger.functions import normal_name
 from visitledger.operators import drop_excluded, interval_hits, spread_left_join
-from visitledger.operators.intervals import join_hits
+from visitledger.operators.intervals import distinct_points, join_hits
 from visitledger.sources.schemas import REVENUE
+from visitledger.sources.staging import stage
 from visitledger.sources.tables import conform
 
 # What both kinds of pricing bring, before the PDGM flag is added.
@@ -32,6 +33,15 @@ def episodic_payers(visits: DataFrame) -> DataFrame:
     return priced.where(F.col("payment_model") == k.EPISODIC)
 
 
+#: Cards of one payer, task and place that a visit is compared with one by one at most.
+CROWD = 64
+
+_CARD_KEY = ["card_insurer", "card_task", "card_place"]
+_VISIT_KEY = ["insurance", "task_name", "__place"]
+_CARD_EQ = list(zip(_VISIT_KEY, _CARD_KEY))
+_CARD_SPAN = {"lo": "rate_card_from_date", "hi": "rate_card_to_date"}
+
+
 def rate_card_revenue(visits: DataFrame, rate_cards: DataFrame) -> DataFrame:
     """Add rate type, rate, validity and revenue from the cards valid on the visit day.
 
@@ -40,7 +50,9 @@ def rate_card_revenue(visits: DataFrame, rate_cards: DataFrame) -> DataFrame:
 
     Rate cards are a mapping: one left join on payer, task and place with the
     dates beside it. Spark broadcasts the cards while they are under its own
-    limit, and the visits are read once and do not move.
+    limit, and the visits are read once and do not move. Where a key has more
+    than CROWD cards, its visits are priced by day (`_price_by_day`), so no visit
+    is compared with them one by one.
     """
     cards = rate_cards.select(
         F.col("insurer").alias("card_insurer"),
@@ -51,18 +63,40 @@ def rate_card_revenue(visits: DataFrame, rate_cards: DataFrame) -> DataFrame:
         F.col("type").alias("rate_type"),
         "rate",
     )
-    valid = (
-        (F.col("insurance") == F.col("card_insurer"))
-        & (F.col("task_name") == F.col("card_task"))
-        & (normal_name("agency") == F.col("card_place"))
-        & F.col("visit_date").between(F.col("rate_card_from_date"), F.col("rate_card_to_date"))
-    )
-    priced = visits.join(cards, valid, "left").drop("card_insurer", "card_task", "card_place")
+    placed = visits.withColumn("__place", normal_name("agency"))
+    crowds = cards.groupBy(*_CARD_KEY).count().where(F.col("count") > CROWD).dropna().select(*_CARD_KEY)
+    if crowds.isEmpty():
+        priced = _price(placed, cards)
+    else:
+        crowds = stage(crowds, "crowded_cards")
+        crowded = [F.col(a) == F.col(b) for a, b in _CARD_EQ]
+        few = _price(placed.join(crowds, crowded, "left_anti"), cards.join(crowds, _CARD_KEY, "left_anti"))
+        many = _price_by_day(placed.join(crowds, crowded, "left_semi"), cards.join(crowds, _CARD_KEY, "left_semi"))
+        priced = few.unionByName(many)
     rate, kind = F.col("rate"), F.col("rate_type")
     amount = F.when(kind == k.HOURLY, F.round(rate * F.col("total_hours"), 2)).when(
         kind == k.UNIT, rate
     )
-    return priced.withColumn("revenue", amount.cast("double"))
+    return priced.drop("__place").withColumn("revenue", amount.cast("double"))
+
+
+def _price(visits: DataFrame, cards: DataFrame) -> DataFrame:
+    """Each visit with the cards of its key that are valid on its day."""
+    valid = [F.col(a) == F.col(b) for a, b in _CARD_EQ]
+    valid.append(F.col("visit_date").between(*(F.col(c) for c in _CARD_SPAN.values())))
+    return visits.join(cards, valid, "left").drop(*_CARD_KEY)
+
+
+def _price_by_day(visits: DataFrame, cards: DataFrame) -> DataFrame:
+    """The same for keys with many cards: the cards of every day on which a key has visits are found first.
+
+    Each card looks its first and last day up among the days of its key, and the
+    visits then meet the cards of their day by equality alone. The cards by day
+    are staged, so Spark knows their size and broadcasts them if they are small.
+    """
+    take = [*_CARD_SPAN.values(), "rate_type", "rate"]
+    hits = interval_hits(distinct_points(visits, _CARD_EQ, "visit_date"), cards, _CARD_EQ, take=take, **_CARD_SPAN)
+    return join_hits(visits, stage(hits, "cards_by_day"), _CARD_EQ, "visit_date")
 
 
 def prorate_by_month(visits: DataFrame, periods: DataFrame) -> DataFrame:

@@ -493,6 +493,25 @@ _TEXTS = {
     "open_by_insurance": _matrix("dashboard_rows", "insurance", "visit_date", "open_amount", str(TODAY)),
 }
 
+_TEXTS["rate_cards_crowded"] = """
+    WITH cards AS (
+        SELECT CASE WHEN o_orderkey % 1000 = 1 THEN 'PT Visit' ELSE 'SN Visit' END AS card_task,
+               ['north', 'south', 'east'][o_custkey % 3 + 1] AS place, CAST(o_orderdate AS DATE) AS from_date,
+               CASE WHEN o_orderkey % 2000 = 0 THEN DATE '9999-12-31' ELSE CAST(o_orderdate AS DATE) END AS to_date,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'Unit' ELSE 'Hourly' END AS rate_type, o_totalprice AS rate
+        FROM orders),
+    seen AS (
+        SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 30 <> 0 THEN 'Cash' END AS payer,
+               CASE WHEN l_partkey % 100 = 0 THEN 'PT Visit' ELSE 'SN Visit' END AS task_name,
+               ['north', 'SOUTH', 'West'][l_suppkey % 3 + 1] AS agency, CAST(l_shipdate AS DATE) AS visit_date
+        FROM lineitem)
+    SELECT l_orderkey, l_linenumber, task_name, agency, visit_date, from_date AS rate_card_from_date,
+           to_date AS rate_card_to_date, rate_type, rate,
+           CASE rate_type WHEN 'Unit' THEN rate
+                WHEN 'Hourly' THEN CAST(round(CAST(CAST(rate * 2.0::DOUBLE AS VARCHAR) AS DECIMAL(38, 17)), 2) AS DOUBLE)
+           END AS revenue
+    FROM seen LEFT JOIN cards ON payer = 'Cash' AND card_task = task_name AND place = lower(agency)
+         AND visit_date BETWEEN from_date AND to_date"""
 _TEXTS["catalog_report"] = _TEXTS["open_report"]
 _TEXTS["export_detail"] = f"""
     SELECT *, 'parquet' AS form FROM ({_TEXTS["open_detail"]})

@@ -389,6 +389,31 @@ def q_rate_card_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_rate_cards_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items priced by the orders' days as cards: three keys hold all but a few of them."""
+    place = F.element_at(F.array(*map(F.lit, (" North", "South", "East "))), (F.col("o_custkey") % 3 + 1).cast("int"))
+    start = F.to_date("o_orderdate")
+    cards = table(spark, sf_dir, "orders").select(
+        F.lit("Cash").alias("insurer"),
+        F.when(F.col("o_orderkey") % 1000 == 1, "PT Visit").otherwise("SN Visit").alias("task_name"),
+        place.alias("location"),
+        start.alias("from_date"),
+        F.when(F.col("o_orderkey") % 2000 == 0, F.lit(date(9999, 12, 31))).otherwise(start).alias("to_date"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Unit").otherwise("Hourly").alias("type"),
+        F.col("o_totalprice").alias("rate"),
+    )
+    visits = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_suppkey") % 30 != 0, "Cash").alias("insurance"),
+        F.when(F.col("l_partkey") % 100 == 0, "PT Visit").otherwise("SN Visit").alias("task_name"),
+        F.element_at(F.array(*map(F.lit, ("north", "SOUTH", "West"))), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("agency"),
+        F.to_date("l_shipdate").alias("visit_date"),
+        F.lit(2.0).alias("total_hours"),
+    )
+    return rate_card_revenue(visits, cards).drop("insurance", "total_hours")
+
+
 def _order_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as episodic visits of their own order."""
     return table(spark, sf_dir, "lineitem").select(
