@@ -635,11 +635,6 @@ def test_pipeline_stages(spark, tmp_path):
     )
 
 
-def _shingles(text):
-    found = re.findall(r"[^\W_]+", (text or "").lower())
-    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
-
-
 def test_pipeline_keeps_the_right_copies(spark):
     """Exact and near copies that the stages keep, against all pairs; columns that clash ride along."""
     import corpus_pipeline
