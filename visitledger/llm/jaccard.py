@@ -160,11 +160,11 @@ class IdFilter:
         mask = F.lit(FILTER_BITS - 1).cast("long")
         return (h.bitwiseAND(mask) + F.lit(i) * F.shiftrightunsigned(h, 32).bitwiseAND(mask)).bitwiseAND(mask)
 
-    def texts(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs (id, text) whose id may be in the filter; the others do not leave their task."""
+    def map_texts(self, docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """`work` on the rows of docs (id, text) whose id may be in the filter; the others do not leave their task."""
         shared = self.shared
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h, inside = batch.column(2).to_numpy(), np.ones(batch.num_rows, bool)
                 mask = np.int64(FILTER_BITS - 1)
@@ -173,7 +173,7 @@ class IdFilter:
                     inside &= (shared.value[place >> 6] >> (place & 63)) & 1 == 1
                 yield batch.select(["id", "text"]).filter(pa.array(inside))
 
-        return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(work, "id long, text string")
+        return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(lambda batches: work(chosen(batches)), schema)
 
 
 def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
@@ -248,8 +248,8 @@ def _signatures(docs: DataFrame, involved: DataFrame) -> DataFrame:
             columns = [pa.array([keys[i] for i in rows], pa.binary()), pa.array(sizes[rows]), pa.array([v.tobytes() for v in values], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "size", "hashes"])
 
-    texts = IdFilter(involved.select(F.col("rep").alias("id"))).texts(docs)
-    hashed = texts.mapInArrow(work, "key binary, size long, hashes binary").dropDuplicates(["key"])
+    ids = IdFilter(involved.select(F.col("rep").alias("id")))
+    hashed = ids.map_texts(docs, work, "key binary, size long, hashes binary").dropDuplicates(["key"])
     return stage(hashed.join(involved.select("key", "node", "block"), "key"), "jaccard-sets")
 
 
@@ -375,7 +375,8 @@ def _links(docs: DataFrame, involved: DataFrame, across: DataFrame, threshold: f
     drop_staged(sets)
     rows = stage(found.join(involved.select("key", "copies", "rep"), "key"), "jaccard-asked")
     drop_staged(found)
-    texts = IdFilter(rows.select(F.col("rep").alias("id")).distinct()).texts(docs)
+    asked = IdFilter(rows.select(F.col("rep").alias("id")).distinct())
+    texts = asked.map_texts(docs, lambda batches: batches, "id long, text string")
     full = rows.join(texts, rows["rep"].eqNullSafe(texts["id"])).drop("rep", "id")
     full = full.repartition("at").sortWithinPartitions("at")
     links = full.mapInArrow(_by_group(verify, _LINKS), "key binary, links long, root binary")
