@@ -66,7 +66,6 @@ from visitledger.plans.report import (
 from visitledger.plans.revenue import (
     EPISODE_EQ,
     align_revenue,
-    episodic_payers,
     per_visit_payers,
     prorate_by_month,
     rate_card_revenue,
