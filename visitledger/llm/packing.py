@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitledger.llm.runs import LETTER, NUMBER, SPACE, chunks, classes, code_points, run_hashes
+from visitledger.llm.runs import SPACE, chunks, classes, code_points, run_hashes
 
 #: Tokens of a sequence, and the length below which the rest of a document is not cut any more.
 CAPACITY = 1024
