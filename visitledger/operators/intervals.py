@@ -64,15 +64,19 @@ def _inside(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     per key; spans move once, and only those of keys with points go on. Where a
     key holds most of the spans, Spark's handling of skewed joins deals them out.
     """
-    extra = [c for c in points.columns if c not in keys]
-    days = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", *(c for c in extra if c != "__at")))).alias("__days"))
-    at = F.col("__days")["__at"]
-    first = count_below(at, F.col("__lo"))
-    many = count_below(at, F.date_add("__hi", 1)) - first
-    met = spans.join(days, keys).withColumn("__first", first).withColumn("__many", many)
-    found = F.explode(F.slice("__days", F.col("__first") + 1, F.col("__many")))
-    hit = met.where("__many > 0").withColumn("__day", found)
-    return hit.select(*keys, *(F.col("__day")[c].alias(c) for c in extra), *(c for c in spans.columns if c not in keys))
+    rest = [c for c in points.columns if c not in (*keys, "__at")]
+    whole = F.struct("__at", *rest) if rest else F.col("__at")
+    days = points.groupBy(*keys).agg(F.sort_array(F.collect_list(whole)).alias("__days"))
+    # the days by themselves, made once per key: the search looks at single elements
+    days = days.withColumn("__ats", F.transform("__days", lambda x: x["__at"]) if rest else F.col("__days"))
+    met = spans.join(days if rest else days.drop("__days"), keys)
+    first = count_below(F.col("__ats"), F.col("__lo"))
+    until = count_below(F.col("__ats"), F.date_add("__hi", 1))
+    found = met.withColumn("__first", first).withColumn("__until", until).where("__first < __until")
+    within = F.slice("__days" if rest else "__ats", F.col("__first") + 1, F.col("__until") - F.col("__first"))
+    hit = found.withColumn("__day", F.explode(within))
+    day = [F.col("__day")[c].alias(c) for c in ("__at", *rest)] if rest else [F.col("__day").alias("__at")]
+    return hit.select(*keys, *day, *(c for c in spans.columns if c not in keys))
 
 
 def interval_hits(
