@@ -20,7 +20,8 @@ TOP = 10
 #: Items searched in one pass over the corpus: so many at most, and so many items times different terms.
 BLOCK_ITEMS = 1024
 BLOCK_CELLS = 1 << 22
-#: Documents of one tree, and items and documents of a leaf.
+#: Documents of a searching task, of one tree, and items and documents of a leaf.
+TASK_DOCS = 16_384
 TREE_DOCS = 4096
 LEAF_ITEMS = 8
 LEAF_DOCS = 16
@@ -304,7 +305,10 @@ def search(
         for term, many in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
             holding[term] = many
         weight = weights(holding, size["documents"])
-        found = _search(counted.where("size(terms) > 0"), block, weight, size["documents"], size["total"], top)
+        # the counts are small and the walk is not, so tasks are made by documents, not by bytes
+        tasks = max(1, math.ceil(size["documents"] / TASK_DOCS))
+        dealt = counted.where("size(terms) > 0").repartition(tasks, "doc_id", "n")
+        found = _search(dealt, block, weight, size["documents"], size["total"], top)
         found = stage(found.withColumn("tie", F.monotonically_increasing_id()), "search-found")
         found = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(64)))
         best = _best(_best(found, top, "item", "part"), top, "item")
