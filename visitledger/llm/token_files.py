@@ -34,7 +34,7 @@ FILE_BYTES = 128 << 20
 READ_BYTES = 16 << 20
 READ_BLOCKS = 8
 #: Code points tokenised at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 MAGIC = b"IDSH\x01"
 #: Bytes of a file before and of its footer: see `write_token_files`.
