@@ -5,7 +5,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tests.frames import at, day, frame, rows
+from tests.frames import at, day, explained, frame, rows
+from visitledger.plans import claims as steps
 from visitledger.plans.claims import (
     allocate_first_claim,
     drop_advance_claims,
@@ -177,3 +178,29 @@ def test_sums_do_not_depend_on_the_order(spark):
         made = revenue(spark, *visits).orderBy(F.rand(seed)).repartition(seed + 1)
         found.add(allocate_first_claim(claims(spark, claim("a")), made).first()["expected_revenue"])
     assert found == {sum(Decimal(str(round(amounts[i], 6))) for i in range(30)).__float__()}
+
+
+def test_claims_move_once(spark, no_broadcast):
+    """Only the days move twice, and nothing moves for sums that are not asked for."""
+    found = claims(spark, claim("a"), claim("b", mrn="2"))
+    visits = revenue(spark, ("v1", "2024-01-05", 10.0))
+    plan = explained(paid_periods(allocate_first_claim(found, visits)))
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(moved) == 4  # two of days, one of claims, one of claims without key or days
+
+
+def test_patients_with_many_claims(spark, monkeypatch):
+    """The same claims and sums whether the claims of a patient meet in one task or are spread."""
+    found = [
+        claim(f"{i}", billed=f"2024-02-{i % 9 + 10}", start=f"2024-01-{i % 20 + 1:02}", end=f"2024-01-{i % 28 + 1:02}", mrn=str(i % 3), claim_number=str(i % 7))
+        for i in range(60)
+    ]
+    found += [found[5], claim("n", mrn=None), claim("o", start=None), claim("p", end=None, mrn="0")]
+    df = claims(spark, *found)
+    visits = revenue(spark, *[(f"v{i}", f"2024-01-{i % 9 * 3 + 1:02}", float(i)) for i in range(18)])
+    visits = visits.unionByName(visits.withColumn("mrn", F.lit("2")))
+    plain = rows(allocate_first_claim(df, visits))
+    monkeypatch.setattr(steps, "CROWD", 19)
+    assert rows(allocate_first_claim(df, visits)) == plain and len(plain) > 20
+    monkeypatch.setattr(steps, "CROWD", 0)
+    assert rows(allocate_first_claim(df, visits)) == plain
