@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.frames import day, frame, rows
+from tests.frames import day, explained, frame, rows
 from visitledger import constants as k
 from visitledger.plans import revenue
 from visitledger.plans.revenue import (
@@ -14,6 +14,7 @@ from visitledger.plans.revenue import (
     prorate_by_month,
     rate_card_revenue,
     revenue_fact,
+    with_exceptions,
 )
 from visitledger.sources import schemas
 
@@ -236,3 +237,22 @@ def test_repeated_flags_and_exceptions_repeat_the_visit(spark, copies):
     )
     got = fact(spark, rated, none, [flag] * copies, fixes)
     assert got.count() == copies * copies
+
+
+def test_exceptions_brought_along(spark, no_broadcast):
+    """The same fact whether exceptions are joined to priced visits or come with them, which then do not move."""
+    found = [{"unique_visit_id": u, "agency": "N", "insurance": "M"} for u in ("a", "b", "c", None)]
+    known = frame(spark, VISIT, found)
+    fixes = [{"unique_id": u, "new_revenue": r} for u, r in (("a", 1.0), ("a", 2.0), ("b", None), ("b", None), (None, 4.0), ("z", 5.0))]
+    exceptions = frame(spark, schemas.REVENUE_EXCEPTIONS, fixes)
+    flags = frame(spark, schemas.PDGM_FLAGS, [])
+
+    def priced(df):
+        paid = {"closed_revenue": F.when(F.col("unique_visit_id") == "a", 9.0), "ongoing_revenue": F.lit(None).cast("double")}
+        return df.withColumn("revenue", F.lit(None).cast("double")), df.withColumns(paid)
+
+    joined = revenue_fact(*priced(known), flags, exceptions)
+    brought = revenue_fact(*priced(with_exceptions(known, exceptions)), flags)
+    assert rows(brought) == rows(joined) and joined.count() == 12
+    wide = with_exceptions(known, exceptions).localCheckpoint()
+    assert "(unique_id" not in explained(revenue_fact(*priced(wide), flags))

@@ -3,7 +3,14 @@ from __future__ import annotations
 from datetime import date
 
 from tests.frames import at, day, frame, rows
-from visitledger.plans.visits import attach_episode, billable_visits, clean_visits
+from visitledger.plans.visits import (
+    attach_episode,
+    billable_visits,
+    blank_open,
+    clean_visits,
+    current_visits,
+    visit_versions,
+)
 from visitledger.sources import schemas
 
 D = date(2024, 3, 1)
@@ -155,3 +162,20 @@ def test_episode_of_a_visit(spark):
         ("same day", "early"),
         ("two", "early"),
     ]
+
+
+def test_open_versions_bring_only_what_is_compared(spark):
+    """Ties of completed and open versions come out as among whole rows, which are no longer moved whole."""
+    kinds = [("Completed", "SN"), ("Missed Visit", "SN"), ("Completed", "DIET"), (None, "SN"), ("Submitted", "SN"), ("Submitted", None)]
+    found = [
+        visit(f"{i}{j}", status=status, task_type=kind, insurance=insurance, patient_last=name)
+        for i, a in enumerate(kinds)
+        for j, b in enumerate(kinds)
+        for (status, kind), insurance, name in ((a, "Z", "Y"), (b, "A", "ZZZZ"), (b, "A", "X"))
+    ]
+    maps = frame(spark, schemas.TASK_MAP, []), frame(spark, schemas.INSURANCE_MAP, [])
+    df = frame(spark, schemas.VISITS, found)
+    whole = current_visits(visit_versions(df, D), *maps)
+    assert rows(clean_visits(df, *maps, D), *whole.columns) == rows(whole) != []
+    versions = blank_open(df).where("status = 'Missed Visit'")
+    assert set(versions.select("insurance", "patient_last", "time_in", "agency").distinct().collect()) == {(None, None, None, None)}
