@@ -166,3 +166,20 @@ def test_rows_without_key_are_spread(spark, no_broadcast):
     finally:
         spark.conf.set(name, "true")
     assert max(sizes) < 2 * statistics.median(sizes) and max(plain) > 2 * statistics.median(plain)
+
+
+@pytest.mark.parametrize("zoned", [True, False])
+def test_versions_of_some_days_move_once(spark, no_broadcast, zoned):
+    """Asked for some days, the history gives their snapshots as before, and is dealt out by key alone."""
+    made = _history(random.Random(11), ["k", "l", "m", None])
+    df = spark.createDataFrame(made, f"k string, at timestamp{'' if zoned else '_ntz'}, a string, b int")
+    days = [date(2023, 12, 31), date(2024, 1, 9), date(2024, 1, 10), date(2024, 1, 25), date(2024, 3, 1)]
+    spans = version_spans(df, ["k"], "at", ["a", "b"], days=[days[3], *days])
+    whole = version_spans(df, ["k"], "at", ["a", "b"])
+    assert spans.dtypes == whole.dtypes
+    want = rows(versions_on(whole, days), "snapshot", "k", "at", "a", "b")
+    assert rows(versions_on(spans, days), "snapshot", "k", "at", "a", "b") == want != []
+    for day in days:
+        assert rows(known_on_day(spans, day)) == rows(known_on_day(whole, day))
+    assert explained(spans).split("== Initial Plan")[0].count("Exchange hash") == 1
+    assert rows(version_spans(df, ["k"], "at", ["a"], ["a"], days), "k", "a") == rows(spans, "k", "a")

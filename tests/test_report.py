@@ -12,8 +12,9 @@ from tests.test_episodes import episode
 from tests.test_visits import visit
 from visitledger import constants as k
 from visitledger.operators import aged_detail, ageing_matrix, date_bounds, in_date_range, open_total
+from visitledger.plans import report
 from visitledger.plans.report import dashboard, open_receivables, open_report, open_reports, paid_periods
-from visitledger.sources import schemas
+from visitledger.sources import schemas, staging
 from visitledger.sources.tables import (
     SCHEMAS,
     Inputs,
@@ -234,3 +235,14 @@ def test_reports_of_days_are_the_single_reports(spark):
     days = [date(2024, 1, 20), date(2024, 2, 20), D]
     got = rows(open_reports(inputs, [*days, D]), "snapshot", *COLUMNS)
     assert got == [(d, *r) for d in days for r in rows(open_report(inputs, d), *COLUMNS)] and got
+
+
+def test_mappings_are_staged_once_for_all_days(spark, monkeypatch):
+    """Spark knows their size then, and the visits need not move to meet them; known claims are not written again."""
+    names, write = [], staging.stage
+    for place in (staging, report):
+        monkeypatch.setattr(place, "stage", lambda df, name: names.append(name) or write(df, name))
+    open_reports(small_inputs(spark), [date(2024, 1, 20), D])
+    for name in ("task_map", "insurance_map", "non_billable_tasks", "rate_cards", "pdgm_flags", "claim_history"):
+        assert names.count(name) == 1, name
+    assert names.count("visits") == 2 and "claims" not in names and "managed" not in names

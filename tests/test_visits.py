@@ -1,14 +1,21 @@
 from __future__ import annotations
 
+import random
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.frames import at, day, frame, rows
 from visitledger.plans.visits import (
+    REPORT_COLUMNS,
     attach_episode,
     billable_visits,
     blank_open,
     clean_visits,
     current_visits,
+    packed,
+    unpacked,
     visit_versions,
 )
 from visitledger.sources import schemas
@@ -179,3 +186,28 @@ def test_open_versions_bring_only_what_is_compared(spark):
     assert rows(clean_visits(df, *maps, D), *whole.columns) == rows(whole) != []
     versions = blank_open(df).where("status = 'Missed Visit'")
     assert set(versions.select("insurance", "patient_last", "time_in", "agency").distinct().collect()) == {(None, None, None, None)}
+
+
+@pytest.mark.parametrize("zoned", [True, False])
+def test_packed_versions_come_out_in_the_same_order(spark, zoned):
+    """Times as distance from the day and surnames as their place: the choice among ties is that of the whole rows."""
+    names = [None, "Again", "Abel", "Test", "Test1", "Test2", "ZZZZ", "Zz", "", "AAAA"]
+    times = [None, at("2024-01-05 08:00:00.000001"), at("2023-12-31 23:59:59"), at("2024-03-10 02:30:00")]
+    days = [day("2024-01-05"), None, day("0001-01-01")]
+    rng = random.Random(5)
+    found = [
+        visit(str(rng.randrange(40)), target_date=rng.choice(days), time_in=rng.choice(times), time_out=rng.choice(times), patient_last=rng.choice(names))
+        for _ in range(400)
+    ]
+    df = frame(spark, schemas.VISITS, found)
+    if not zoned:
+        df = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("updated_at", "time_in", "time_out")})
+    maps = frame(spark, schemas.TASK_MAP, []), frame(spark, schemas.INSURANCE_MAP, [])
+    whole = current_visits(visit_versions(df, D), *maps)
+    for columns in (REPORT_COLUMNS, (*REPORT_COLUMNS, "provider_last"), None):
+        got = clean_visits(df, *maps, D, columns)
+        assert rows(got) == rows(whole, *got.columns) != []
+    small = dict(packed(df, ["time_in", "time_out", "patient_last"]).dtypes)
+    assert small["patient_last"] == "int" and "timestamp" not in small["time_in"] + small["time_out"]
+    again = unpacked(packed(df), df)
+    assert again.dtypes == df.dtypes and rows(again) == rows(df)
