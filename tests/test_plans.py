@@ -158,6 +158,19 @@ def test_the_report_reads_what_it_needs(spark, no_broadcast, monkeypatch):
     assert standing.count("FileScan") == 1
 
 
+def test_the_report_prices_only_what_is_open(spark, no_broadcast, monkeypatch):
+    """Episodes, shares and what is billed are found on days; no priced visits are written to look them up."""
+    names, write = [], stage
+    monkeypatch.setattr(report, "stage", lambda df, name: names.append(name) or write(df, name))
+    found = report.staged_mappings(inputs(spark, SF_DIR))
+    known = report.known_on(found, SNAPSHOT)
+    got = report._open(known, found)
+    assert names == ["patient_days", "paid_periods", "billed_days", "marked_days"]
+    fact = stage(report.price_visits(known, found), "revenue")
+    paid = stage(report.paid_periods(claims.latest_claims(claims.allocate_first_claim(known.claims, fact))), "paid")
+    assert rows(got) == rows(report.open_receivables(fact, paid)) and got.count() > 500
+
+
 def test_rate_cards_do_not_move_the_visits(spark):
     found = inputs(spark, SF_DIR)
     done = stage(visits.completed_visits(visits.tidy_visits(found.visits)).withColumn("payment_model", F.lit(None).cast("string")), "done")
