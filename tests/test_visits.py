@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.frames import at, day, frame, rows
+from tests.frames import at, day, explained, frame, rows
 from visitledger.plans.visits import (
     REPORT_COLUMNS,
     attach_episode,
@@ -14,7 +15,10 @@ from visitledger.plans.visits import (
     blank_open,
     clean_visits,
     current_visits,
+    joined_texts,
     packed,
+    split_texts,
+    text_runs,
     unpacked,
     visit_versions,
 )
@@ -211,3 +215,26 @@ def test_packed_versions_come_out_in_the_same_order(spark, zoned):
     assert small["patient_last"] == "int" and "timestamp" not in small["time_in"] + small["time_out"]
     again = unpacked(packed(df), df)
     assert again.dtypes == df.dtypes and rows(again) == rows(df)
+
+
+def test_texts_that_move_as_one_keep_their_order(spark):
+    """NULL, empty texts and the signs that mark their ends: the order is that of the texts one by one."""
+    texts = [None, "", "\0", "\1", "\2", "\0\2", "\1\1", "\1\2", "\2\1", "a", "a\0", "a\1b", "ab", "a\uffff", "\U0001f600"]
+    found = [visit(str(i), task_name=a, task_type=b, status=c) for i, (a, b, c) in enumerate(itertools.product(texts, texts, texts))]
+    df = frame(spark, schemas.VISITS, found).select("unique_visit_id", "task_name", "task_type", "status")
+    runs = text_runs(df, ["task_name", "status"])
+    assert list(runs.values()) == [["task_name", "task_type", "status"]]
+    joined = joined_texts(df, runs)
+    assert len(joined.columns) == 2
+    assert rows(split_texts(joined, runs), *df.columns) == rows(df)
+    order = [F.col(c).asc_nulls_first() for c in runs["__texts0"]]
+    plain = [r[0] for r in df.orderBy(*order).select("unique_visit_id").collect()]
+    assert [r[0] for r in joined.orderBy("__texts0").select("unique_visit_id").collect()] == plain
+
+
+def test_versions_move_their_texts_as_one(spark, no_broadcast):
+    df = frame(spark, schemas.VISITS, [visit("a")])
+    maps = frame(spark, schemas.TASK_MAP, []), frame(spark, schemas.INSURANCE_MAP, [])
+    plan = explained(clean_visits(df, *maps, D, ["visit_date", "mrn", "task_name", "status", "insurance", "unique_visit_id"]))
+    moved = [line for line in plan.splitlines() if "WindowGroupLimit" in line and "Partial" in line]
+    assert moved and all("__texts" in line and "task_name" not in line and "insurance" not in line for line in moved)
