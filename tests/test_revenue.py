@@ -17,6 +17,7 @@ from visitledger.plans.revenue import (
     with_exceptions,
 )
 from visitledger.sources import schemas
+from visitledger.sources.staging import stage
 
 VISIT = (
     "unique_visit_id string, mrn string, agency string, visit_date date, task_name string,"
@@ -62,6 +63,33 @@ def test_ten_thousand_cards_of_one_key(spark, monkeypatch):
     assert got.where("rate IS NOT NULL").count() > 900
 
 
+def test_cards_of_a_day_meet_visits_as_lists(spark, monkeypatch):
+    """A visit meets a row per list and not per card; every card is still paired, copies included."""
+    df = visits(
+        spark,
+        *[{"unique_visit_id": str(i), "visit_date": date(2024, 1, 1 + i % 3), "total_hours": i / 8} for i in range(30)],
+        {"unique_visit_id": "none valid", "visit_date": day("2023-01-01")},
+        {"unique_visit_id": "no day", "visit_date": None},
+        {"unique_visit_id": "no key", "insurance": None},
+    )
+    base = {"insurer": "Cash", "task_name": "SN Visit", "location": "North", "type": "Hourly", "from_date": day("2024-01-01")}
+    found = [base | {"rate": i // 2 + 0.35, "to_date": date(2024, 1, 1 + i % 2)} for i in range(100)]
+    cards = frame(spark, schemas.RATE_CARDS, [*found, base | {"rate": None, "to_date": day("2024-01-02"), "type": None}])
+    staged, write = {}, stage
+
+    def seen(df, name):
+        staged[name] = write(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(revenue, "stage", seen)
+    monkeypatch.setattr(revenue, "CARD_LIST", 8)
+    got = rate_card_revenue(df, cards)
+    assert staged["cards_by_day"].count() == 13 + 7  # 101 cards on the first day, 51 on the second
+    assert got.count() == 10 * 101 + 10 * 51 + 10 + 3
+    monkeypatch.setattr(revenue, "CROWD", 1 << 20)
+    assert rows(got, *sorted(got.columns)) == rows(rate_card_revenue(df, cards), *sorted(got.columns))
+
+
 def test_payment_models(spark):
     df = visits(
         spark,

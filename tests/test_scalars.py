@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.frames import at, frame, rows
 from visitledger.functions import (
     base_id,
+    cents,
     first_word,
     half_even,
     normal_name,
@@ -78,3 +81,15 @@ def test_no_python_workers(spark):
     df = spark.range(3).select(F.col("id").cast("string").alias("t"))
     plan = df.select(trim_ws("t"), base_id("t"))._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_cents_is_round(spark):
+    """The fast way and the slow one agree on halves, next to halves, and on what has no cents."""
+    odd = [None, 0.0, -0.0, 1.005, -1.005, 0.125, -0.125, 62.9375, 1e-300, 999999999.995, 1e9, 1e15 + 0.5, -1e22, 1.7e308]
+    odd += [float("nan"), float("inf"), float("-inf")]
+    near = [math.nextafter(h, to) for i in range(200) for h in [i * 7.31 + 0.005] for to in (-1e9, 1e9)]
+    plain = [i * 0.125 * r for i in range(-50, 50) for r in (20.35, 81.1, 333.33)]
+    df = frame(spark, "x double", [{"x": x} for x in [*odd, *near, *plain]])
+    both = df.select(cents("x").alias("fast"), F.round("x", 2).alias("slow"))
+    assert both.where("NOT (fast <=> slow)").count() == 0
+    assert [repr(a) for a, _ in both.collect()] == [repr(b) for _, b in both.collect()]

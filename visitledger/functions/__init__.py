@@ -1,5 +1,6 @@
 from visitledger.functions.scalars import (
     base_id,
+    cents,
     first_word,
     half_even,
     money_sum,
@@ -11,6 +12,7 @@ from visitledger.functions.scalars import (
 
 __all__ = [
     "base_id",
+    "cents",
     "first_word",
     "half_even",
     "money_sum",
