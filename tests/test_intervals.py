@@ -17,6 +17,7 @@ from visitledger.operators import (
     interval_left_join,
     spans_without_points,
 )
+from visitledger.operators.intervals import crowded_hits, point_rows
 from visitledger.operators.keys import count_below
 
 BASE = date(1969, 10, 1)  # either side of day number zero
@@ -117,6 +118,18 @@ def test_spans_without_points(spark, seed):
     assert rows(spans_without_points(right, left, **ARGS), "j") == expected
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_hits_of_crowded_keys(spark, seed):
+    """Spans with equal bounds, whole copies, open and reversed ones: each meets every distinct day inside once."""
+    points, spans, left, right = _frames(spark, seed)
+    spans += spans[:7]
+    expected = sorted({(p["p"], p["a"], p["d"], i, s["j"]) for p in points for i, s in enumerate(spans) if _inside(p, s)})
+    assert expected
+    eq = ARGS["eq"]
+    got = crowded_hits(point_rows(left, eq, "d", []), right.union(right.where("j < 7")), eq, "lo", "hi", ["j"])
+    assert rows(got, "__k0", "__k1", "__at", "j") == sorted((p, a, d, j) for p, a, d, _, j in expected)
+
+
 def test_no_spans_at_all(spark):
     _, _, left, right = _frames(spark, 0)
     none = right.where("j < 0")

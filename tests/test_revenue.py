@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.frames import day, explained, frame, rows
 from visitledger import constants as k
+from visitledger.operators import intervals
 from visitledger.plans import revenue
 from visitledger.plans.revenue import (
     episodic_payers,
@@ -90,6 +91,28 @@ def test_cards_of_a_day_meet_visits_as_lists(spark, monkeypatch):
     assert rows(got, *sorted(got.columns)) == rows(rate_card_revenue(df, cards), *sorted(got.columns))
 
 
+def test_bounds_of_crowded_cards_are_looked_up_once(spark, monkeypatch):
+    """Cards with the same bounds do not go along with all days of their key one by one."""
+    df = visits(spark, *[{"unique_visit_id": str(i), "visit_date": date(2024, 1, 1) + timedelta(days=i % 40)} for i in range(80)])
+    base = {"insurer": "Cash", "task_name": "SN Visit", "location": "North", "type": "Unit"}
+    first = [day("2024-01-05"), day("2024-01-09"), day("2024-02-08"), None]
+    last = [day("2024-01-07"), day("9999-12-31"), day("2024-02-01"), day("2024-01-31")]  # the third ends before it begins
+    cards = [base | {"rate": float(i // 2), "from_date": first[i % 4], "to_date": last[i % 4]} for i in range(400)]
+    cards = frame(spark, schemas.RATE_CARDS, cards)
+    looked_up, find = [], intervals._looked_up
+
+    def seen(points, spans, *rest):
+        looked_up.append(spans.count())
+        return find(points, spans, *rest)
+
+    monkeypatch.setattr(intervals, "_looked_up", seen)
+    got = rate_card_revenue(df, cards)
+    assert looked_up == [2]  # 200 rows with the two pairs of bounds before
+    assert got.where("rate IS NOT NULL").count() == 100 * 2 * (3 + 32)
+    monkeypatch.setattr(revenue, "CROWD", 1 << 20)
+    assert rows(got, *sorted(got.columns)) == rows(rate_card_revenue(df, cards), *sorted(got.columns))
+
+
 def test_payment_models(spark):
     df = visits(
         spark,
