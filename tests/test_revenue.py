@@ -113,6 +113,32 @@ def test_bounds_of_crowded_cards_are_looked_up_once(spark, monkeypatch):
     assert rows(got, *sorted(got.columns)) == rows(rate_card_revenue(df, cards), *sorted(got.columns))
 
 
+def test_visits_of_other_keys_do_not_move(spark, monkeypatch):
+    """Cards of one crowded key hide how few the others are: these are written, so Spark knows and broadcasts them."""
+    df = visits(spark, *[{"unique_visit_id": str(i), "agency": "North" if i % 3 == 0 else "West"} for i in range(30)])
+    start = F.expr("date_add(DATE '2022-01-01', cast(id % 900 as int))")
+    cards = spark.range(9_000).select(
+        F.lit("Cash").alias("insurer"),
+        F.lit("SN Visit").alias("task_name"),
+        F.when(F.col("id") % 3000 == 0, "West").otherwise("North").alias("location"),
+        F.lit(k.UNIT).alias("type"),
+        start.alias("from_date"),
+        F.lit(day("2024-06-30")).alias("to_date"),
+        F.col("id").cast("double").alias("rate"),
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+        got = rate_card_revenue(df, cards)
+        assert explained(got).count("SortMergeJoin") == 1  # the pairing; another one for the other visits before
+        found = rows(got, *sorted(got.columns))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(revenue, "CROWD", 1 << 20)
+    assert found == rows(rate_card_revenue(df, cards), *sorted(got.columns))
+    assert got.where("agency = 'West' AND rate IS NOT NULL").count() == 20 * 3
+
+
 def test_payment_models(spark):
     df = visits(
         spark,
